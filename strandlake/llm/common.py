@@ -222,3 +222,41 @@ _SCRIPT_NAME = [b for _, b in _BLOCKS]
 
 def null_safe_text(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
+
+
+def block_rows(counts: np.ndarray, width: int) -> pa.RecordBatch:
+    """A task's count vector as compressed blocks of ``width`` counts; empty blocks are left out."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    blocks = counts.reshape(-1, width)
+    at = np.flatnonzero(blocks.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([pack(blocks[i].astype(np.int64).tobytes()) for i in at], pa.binary())], names=["block", "counts"])
+
+
+BLOCKS = "block int, counts binary"
+
+
+def sum_blocks(parts: DataFrame, size: int, width: int) -> np.ndarray:
+    """Sum of the tasks' count vectors. Blocks are summed as a stream, so no group is held in memory; ``size`` counts reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                part = np.frombuffer(unpack(raw), np.int64)
+                total[block] = total[block] + part if block in total else part
+        if total:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pack(x.tobytes()) for x in total.values()], pa.binary())], names=["block", "counts"])
+
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    out = np.zeros((size // width, width), np.int64)
+    for row in parts.repartition("block").mapInArrow(add, BLOCKS).collect():  # size / width rows
+        out[row.block] = np.frombuffer(unpack(row.counts), np.int64)
+    return out.reshape(-1)
