@@ -1,15 +1,234 @@
-"""Registered queries of the sequence operators and their DuckDB twins."""
+"""Registered queries of the sequence operators and their DuckDB twins.
+
+All read ``documents`` whole. Tables that several steps of a job read (the bucket
+index, segments, k-mer hits) are written once in the shared folder.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.functions import seq as S
+from strandlake.operators import analysis, index, locator, mapper, models
+from strandlake.params import BUCKETS, DEFAULT, Params
+from strandlake.sources import dna
+
+P = DEFAULT
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """A table written in the folder that the cluster shares, and read again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/strandlake-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _refs(spark: SparkSession, sf: str) -> DataFrame:
+    return dna.refs(spark, sf)
+
+
+def _buckets(spark: SparkSession, sf: str, p: Params = P) -> DataFrame:
+    return index.bucketize(_refs(spark, sf), p)
+
+
+def _reads(spark: SparkSession, sf: str, p: Params = P) -> DataFrame:
+    return dna.reads(_refs(spark, sf), p)
+
+
+def contigs(spark: SparkSession, sf: str) -> DataFrame:
+    return _refs(spark, sf).select("ref_ord", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("digest"))
+
+
+def bucketize(spark: SparkSession, sf: str) -> DataFrame:
+    return _buckets(spark, sf).select("bucket_id", "ref_ord", "idx", "ref_offset", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("digest"))
+
+
+def bucket_ordinals(spark: SparkSession, sf: str) -> DataFrame:
+    return index.dense_ids(_buckets(spark, sf).drop("seq")).select("bucket_id", "ordinal")
+
+
+def genome_stats(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.length("seq")
+    return _refs(spark, sf).agg(F.count(F.lit(1)).alias("n_refs"), F.sum(n).cast("long").alias("n_bases"), F.sum(F.ceil(n / F.lit(P.B))).cast("long").alias("n_slices"), F.max(n).cast("long").alias("longest"))
+
+
+def qgram_df(spark: SparkSession, sf: str) -> DataFrame:
+    return index.qgram_df(index.with_qgrams(_buckets(spark, sf), P))
+
+
+def bucket_postings(spark: SparkSession, sf: str) -> DataFrame:
+    b = index.with_qgrams(_buckets(spark, sf), P)
+    return b.select("bucket_id", F.size("qgrams").cast("long").alias("n_distinct"), F.array_min("qgrams").alias("least"), F.array_max("qgrams").alias("most"))
+
+
+def frac_min_hash(spark: SparkSession, sf: str) -> DataFrame:
+    grams = index.qgram_df(index.with_qgrams(_buckets(spark, sf), P)).select("qgram")
+    return grams.select("qgram", S.frac_min_hash("qgram").alias("hash"), S.sampled("qgram", 0.25).alias("kept"))
+
+
+def distinguishability(spark: SparkSession, sf: str) -> DataFrame:
+    b = stored(index.with_qgrams(_buckets(spark, sf), P).select("bucket_id", "qgrams"), "buckets")
+    n = b.count()
+    df = index.qgram_df(b)
+    zeros = F.lit(n) - F.col("df")
+    return df.agg(F.count(F.lit(1)).alias("n_qgrams"), F.count(F.when(zeros >= int(P.d * n), 1)).alias("n_rare"), F.count(F.when(zeros > int(P.d * n), 1)).alias("n_rare_strict"), F.max("df").alias("most"))
+
+
+def simulated_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return _reads(spark, sf)
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    return mapper.segments(_reads(spark, sf), P).select("read_id", "seg_off", "seg_len", "read_len", "seq")
+
+
+def good_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    g = mapper.good_kmers(mapper.segments(_reads(spark, sf), P), P)
+    return g.select("read_id", "seg_off", F.size("good").cast("long").alias("n_good"), F.get("good.kmer", F.lit(0)).alias("first_kmer"))
+
+
+def locating_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return locator.locating_seeds(mapper.segments(_reads(spark, sf), P), P)
+
+
+def reverse_complement(spark: SparkSession, sf: str) -> DataFrame:
+    r = _reads(spark, sf)
+    first = F.substring("seq", 1, P.k)
+    code = S.encode(first)
+    return r.select("read_id", code.alias("code"), S.revcomp_code(code, P.k).alias("rc_code"), S.canonical(code, P.k).alias("canonical"), S.decode(code, P.k).alias("decoded"), S.revcomp("seq").alias("rc_seq"), F.to_json(S.subcodes(code, P.k, P.q)).alias("subcodes"))
+
+
+def _mapped(spark: SparkSession, sf: str, p: Params = P) -> dict[str, DataFrame]:
+    """Everything up to the candidates."""
+    buckets = stored(index.with_qgrams(_buckets(spark, sf, p), p), "buckets")
+    reads = stored(_reads(spark, sf, p), "reads")
+    segs = mapper.segments(reads, p)
+    df = stored(index.qgram_df(buckets), "df")
+    common = index.common_qgrams(df, buckets.count(), p)
+    good = mapper.distinguishable(mapper.good_kmers(segs, p), common, p)
+    rows = stored(mapper.both_strands(mapper.seeds(good, p.S, 0.2), p), "seeds")
+    hits = mapper.kmer_buckets(rows.select("kmer").distinct(), buckets, df, p)
+    return {"buckets": buckets, "reads": reads, "segs": segs, "rows": rows, "hits": hits, "cands": mapper.candidates(rows, hits, p)}
+
+
+def candidate_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship: candidate buckets of every segment of every read, on both strands."""
+    return _mapped(spark, sf)["cands"].select("read_id", "seg_off", "is_original", "bucket_id", "misses")
+
+
+def candidate_levels(spark: SparkSession, sf: str) -> DataFrame:
+    m = _mapped(spark, sf)
+    return mapper.levels(m["rows"], m["hits"], P)
+
+
+def candidate_stats(spark: SparkSession, sf: str) -> DataFrame:
+    m = _mapped(spark, sf)
+    return analysis.candidate_stats(stored(m["cands"], "cands"), m["reads"].select("read_id"))
+
+
+def candidate_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    m = _mapped(spark, sf)
+    return analysis.candidate_histogram(m["cands"], m["reads"])
+
+
+def _truth(reads: DataFrame) -> DataFrame:
+    return reads.select("read_id", (~F.col("is_rev")).alias("is_original"), (F.col("ref_ord") * BUCKETS + F.floor(F.col("pos") / P.B)).alias("true_bucket"))
+
+
+def mapping_recall(spark: SparkSession, sf: str) -> DataFrame:
+    m = _mapped(spark, sf)
+    return analysis.candidate_recall(m["cands"], _truth(m["reads"]))
+
+
+def unmapped_reads(spark: SparkSession, sf: str) -> DataFrame:
+    m = _mapped(spark, sf)
+    return m["reads"].select("read_id", "name").join(m["cands"].select("read_id"), "read_id", "left_anti")
+
+
+def _located(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    m = _mapped(spark, sf)
+    seeds = locator.locating_seeds(m["segs"], P)
+    m["locations"] = stored(locator.locations(stored(m["cands"], "cands"), m["segs"], seeds, m["buckets"], P), "locations")
+    m["merged"] = locator.merge_locations(m["locations"], m["reads"].select("read_id", F.length("seq").alias("read_len")), P)
+    return m
+
+
+def locations(spark: SparkSession, sf: str) -> DataFrame:
+    return _located(spark, sf)["locations"]
+
+
+def best_locations(spark: SparkSession, sf: str) -> DataFrame:
+    return _located(spark, sf)["merged"]
+
+
+def sam(spark: SparkSession, sf: str) -> DataFrame:
+    m = _located(spark, sf)
+    return locator.sam_rows(m["merged"], m["reads"], P)
+
+
+def sam_report(spark: SparkSession, sf: str) -> DataFrame:
+    m = _located(spark, sf)
+    truth = m["reads"].select(F.col("name").alias("qname"), F.when(F.col("is_rev"), 16).otherwise(0).alias("flag"), F.col("ref_ord").alias("rname"), "pos", F.lit(False).alias("is_random"))
+    return analysis.sam_report(stored(locator.sam_rows(m["merged"], m["reads"], P), "sam"), truth)
+
+
+def fastq_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.fastq_profile(_reads(spark, sf), P.b)
+
+
+def kmer_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return models.canonical_profile(_refs(spark, sf), "ref_ord", 4)
+
+
+def gapped_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    return models.gapped_counts(_buckets(spark, sf), "ref_ord", [0, 2, 3, 5])
+
+
+def frequency_model(spark: SparkSession, sf: str) -> DataFrame:
+    return models.frequency_model(_refs(spark, sf), "ref_ord", 5).select("ref_ord", "kmer", F.round("logp", 6).alias("logp"))
+
+
+def frequency_model_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return models.frequency_model(_refs(spark, sf), "ref_ord", 4, rate=0.01).select("ref_ord", "kmer", F.round("logp", 6).alias("logp"))
+
+
+def markov_model(spark: SparkSession, sf: str) -> DataFrame:
+    return models.markov_model(_refs(spark, sf), "ref_ord", 4).select("ref_ord", "prefix", "base", F.round("logp", 6).alias("logp"))
+
+
+def classified_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Each read's most likely contig by 9-mer frequencies."""
+    model = models.frequency_model(_refs(spark, sf), "ref_ord", P.q)
+    reads = _reads(spark, sf).select("read_id", F.when(F.col("is_rev"), S.revcomp("seq")).otherwise(F.col("seq")).alias("seq"))
+    return models.classify(model, models.kmers(reads, "read_id", P.q), "ref_ord", "read_id")
+
+
+def bucket_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return models.jaccard(_refs(spark, sf), "ref_ord", 14, 20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        f.__name__: f
+        for f in (
+            contigs, bucketize, bucket_ordinals, genome_stats, qgram_df, bucket_postings, frac_min_hash, distinguishability, simulated_reads, segments, good_kmers, locating_seeds, reverse_complement, candidate_buckets,
+            candidate_levels, candidate_stats, candidate_histogram, mapping_recall, unmapped_reads, locations, best_locations, sam, sam_report, fastq_profile, kmer_profile, gapped_kmers, frequency_model,
+            frequency_model_spread, markov_model, classified_reads, bucket_jaccard,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from strandlake.jobs import oracle
+
+    return oracle.sql()
