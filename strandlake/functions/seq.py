@@ -6,6 +6,8 @@ significant. All are built-in expressions, so they stay in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,10 +61,15 @@ def positions(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once a row; inside a lambda it would be once an element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kmer_codes(seq: Column | str, k: int) -> Column:
     """Codes of every window of length k, in order."""
-    digits = F.translate(_col(seq), "ACGT", "0123")
-    return F.transform(positions(F.length(_col(seq)) - (k - 1)), lambda p: F.conv(F.substring(digits, p + 1, F.lit(k)), 4, 10).cast("long"))
+    window = lambda d: lambda p: F.conv(F.substring(d, p + 1, F.lit(k)), 4, 10).cast("long")
+    return let(F.translate(_col(seq), "ACGT", "0123"), lambda d: F.transform(positions(F.length(d) - (k - 1)), window(d)))
 
 
 def phred(qual: Column | str) -> Column:
@@ -72,10 +79,9 @@ def phred(qual: Column | str) -> Column:
 
 
 def window_sums(values: Column, k: int) -> Column:
-    """Sums over every window of k values, by differences of prefix sums."""
-    start = F.array(F.lit(0))
-    prefix = F.aggregate(values, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    return F.transform(positions(F.size(values) - (k - 1)), lambda p: F.element_at(prefix, p + k + 1) - F.element_at(prefix, p + 1))
+    """Sums over every window of k values."""
+    total = lambda v: lambda p: F.aggregate(F.slice(v, p + 1, F.lit(k)), F.lit(0), lambda a, x: a + x)
+    return let(values, lambda v: F.transform(positions(F.size(v) - (k - 1)), total(v)))
 
 
 def sampler(n: int, last: Column) -> Column:
