@@ -36,8 +36,8 @@ MARK = "▁"
 TOKENIZERS = "/opt/tokenizers"
 CACHE_CHUNKS = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: A run of spaces and what follows it; spaces at the end stay with the last chunk.
-_CHUNKS = re.compile(r" *[^ ]+(?: +\Z)?|\A +\Z")
+#: A run of spaces (or of the marker, which the model takes for one) and what follows it; those at the end stay with the last chunk.
+_CHUNKS = re.compile(r"[ \u2581]*[^ \u2581]+(?:[ \u2581]+\Z)?|\A[ \u2581]+\Z")
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -203,7 +203,7 @@ class Codec:
             return []
         if not self.spec.splits:
             return [text]
-        if text[0] != " " and text[-1] != " " and "  " not in text:
+        if text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
             return text.split(" ")
         return [c[1:] for c in _CHUNKS.findall(" " + text)]
 
@@ -282,7 +282,8 @@ def encode(docs: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model
     """Adds to the columns ``keep`` (default: all) the text's ids, little-endian uint32, and what was verified.
 
     ``parity``: ids and decoded text equal the sentencepiece library's.
-    ``round_trip``: decoding gives the text back, character for character.
+    ``round_trip``: decoding gives the text back, character for character; never where the text
+    has the marker itself, which decodes to a space.
     """
     raw = read_model(model_path)
     cols = docs.columns if keep is None else keep
@@ -302,7 +303,7 @@ def encode(docs: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model
                     pa.array([sum([x.n for x in r]) for r in rows], pa.int64()),
                     pa.array([sum([x.n_bytes for x in r]) for r in rows], pa.int64()),
                     pa.array([all([x.parity for x in r]) for r in rows], pa.bool_()),
-                    pa.array([all([x.text_back for x in r]) for r in rows], pa.bool_()),
+                    pa.array([all([x.text_back for x in r]) and MARK not in t for r, t in zip(rows, texts[lo:hi], strict=True)], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), *made], names=[*cols, "ids", "n_tokens", "n_byte_tokens", "parity", "round_trip"])
 
