@@ -58,17 +58,21 @@ def both_strands(rows: DataFrame, p: Params) -> DataFrame:
 def kmer_buckets(kmers: DataFrame, indexed: DataFrame, df: DataFrame, p: Params) -> DataFrame:
     """(kmer, bucket_id): the buckets that hold every indexed q-gram of a k-mer.
 
-    Each distinct k-mer joins the postings by its rarest q-gram alone; the bucket's own
-    list then decides on the others. So a frequent q-gram costs nothing where a rarer stands beside it.
+    Each distinct k-mer joins the postings by its rarest q-gram alone; what it finds is then held against the
+    postings of its other q-grams, the rarer first, by semi-joins on (qgram, bucket_id). So a frequent q-gram
+    costs nothing where a rarer stands beside it, and only pairs of numbers are moved.
     """
     grams = kmers.select("kmer", F.explode(S.subcodes("kmer", p.k, p.q)).alias("qgram"))
     grams = grams.where(S.sampled("qgram", p.f)) if p.f < 1 else grams
-    known = grams.join(df, "qgram", "left").groupBy("kmer").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "qgram")).alias("rarest"), F.collect_set("qgram").alias("all")
-    ).where("rarest.df > 0").select("kmer", F.col("rarest.qgram").alias("qgram"), F.expr("filter(all, g -> g != rarest.qgram)").alias("others"))
-    hits = postings(indexed).join(known, "qgram")
-    lists = indexed.select("bucket_id", "qgrams")
-    return hits.join(lists, "bucket_id").where(F.forall("others", lambda g: F.array_contains("qgrams", g))).select("kmer", "bucket_id")
+    rarest_first = F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "qgram")))
+    known = grams.join(df, "qgram", "left").groupBy("kmer").agg(rarest_first.alias("g")).where(F.col("g")[0]["df"] > 0).select("kmer", F.col("g.qgram").alias("g"))
+    n = p.k - p.q + 1
+    known = known.withColumn("g", F.concat("g", F.array_repeat(F.element_at("g", -1), F.lit(n) - F.size("g"))))  # a k-mer with fewer has its last again
+    posted = postings(indexed)
+    found = posted.join(known.withColumn("qgram", F.col("g")[0]), "qgram").select("kmer", "bucket_id", "g")
+    for i in range(1, n):
+        found = found.withColumn("qgram", F.col("g")[i]).join(posted, ["qgram", "bucket_id"], "left_semi").select("kmer", "bucket_id", "g")
+    return found.select("kmer", "bucket_id")
 
 
 def candidates(rows: DataFrame, found: DataFrame, p: Params) -> DataFrame:
