@@ -17,15 +17,17 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file's rows spread over all cores: what follows is CPU work on few, large rows."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """(doc_id, text); spread over all cores where the files have fewer splits, as what follows is CPU work on large rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ref_ord, seq) of every document with a text."""
     dna = F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, "ACGT" * 13)
     docs = documents(spark, sf_dir).where(F.col("text").isNotNull())
-    return docs.repartition(spark.sparkContext.defaultParallelism).select(F.col("doc_id").alias("ref_ord"), dna.alias("seq"))
+    return docs.select(F.col("doc_id").alias("ref_ord"), dna.alias("seq"))
 
 
 def reads(contigs: DataFrame, p: Params) -> DataFrame:
