@@ -29,14 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIR: dict[str, str] = {}
+
+
+def _own_dir(spark: SparkSession) -> str:
+    _OWN_DIR[spark.sparkContext.applicationId] = own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _OWN_DIR.setdefault(spark.sparkContext.applicationId, "") or _own_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
