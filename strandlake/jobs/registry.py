@@ -19,15 +19,16 @@ from strandlake.params import BUCKETS, DEFAULT, Params
 from strandlake.sources import dna
 
 P = DEFAULT
+_OWN_DIR: dict[str, str] = {}
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """A table written in the folder that the cluster shares, and read again."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:  # as in tests: one folder of our own for each application
+        app = spark.sparkContext.applicationId
+        base = _OWN_DIR[app] = _OWN_DIR.get(app) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     path = f"{base}/strandlake-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
