@@ -8,11 +8,13 @@
    sampling; two texts agree on a sample with a probability equal to their
    weighted Jaccard similarity. ``ROWS`` samples make a band's key.
 3. Equal texts are one node from here on, so copies cost nothing more. Nodes that
-   share a band's key are candidates: each is compared with the bucket's pivot,
-   never with all others. What isn't linked to the pivot stays in the bucket and
-   gets a new pivot in the next of ``MAX_ROUNDS`` rounds.
+   share a band's key are candidates: each is compared with the bucket's pivot
+   first. What isn't linked to the pivot stays in the bucket and gets a new pivot
+   in the next of ``MAX_ROUNDS`` rounds. These rounds only spare work: buckets whose
+   members are not all in one class after them are then compared whole, without
+   pairs that are in one class already (``across``), so no pair is left out.
 4. Candidates are verified by their exact weighted Jaccard similarity, a pivot's
-   members streaming past it, in salted groups of bounded size.
+   members (or a block of a bucket's) streaming past it, in salted groups of bounded size.
 5. Verified links are joined to classes by hash-to-min label propagation.
 
 Result: one row per document with ``class_id``, the least doc_id of its class,
@@ -257,14 +259,81 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def links_of(docs: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, text: str = "text", max_rounds: int = MAX_ROUNDS) -> DataFrame | None:
-    """(pivot, node): all verified links; None where no two texts share a band's key.
+def across(members: DataFrame, labels: DataFrame, texts: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
+    """(pivot, node): links between members of a bucket that are not in one class yet; every such pair is compared or joined on the way.
+
+    Of a bucket all members but those of its largest class are dealt to blocks of bounded size, which are held; all members
+    stream past the blocks, in salted groups. No list of pairs is made. Buckets with the same members count once.
+    """
+    inside = members.select("key", "node", "words", "weight").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sums = inside.groupBy("key", "comp").agg(F.sum("words").alias("w"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("b"))
+    buckets = (
+        sums.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("most"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("classes"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+        .where("classes > 1")
+        .groupBy("a", "b", "total").agg(F.min(F.struct("key", "most")).alias("m"))
+        .select("m.key", F.col("m.most.comp").alias("largest"), F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("m.most.w")) / GROUP_WORDS)).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("total") / GROUP_WORDS)).alias("salts"))
+    )
+    dealt = common.cut(
+        inside.join(buckets, "key").withColumn("outside", F.col("comp") != F.col("largest"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), "salts"))
+    )
+    held = dealt.where("outside").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("member", F.lit(0))
+    past = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("block")).otherwise(F.col("blocks") - 1)))).withColumn("member", F.lit(1))
+    rows = held.unionByName(past).select("key", "block", "salt", "member", "node", "comp", "weight").join(texts, "node")
+    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, group = shared.value, None
+        nodes, vectors, heavy, classes, parent = [], [], [], {}, {}
+        sizes = label = np.zeros(0)
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        for batch in batches:
+            for part in common.text_chunks(batch, "text", 1 << 20):
+                e, w, first = weighted_shingles(part.column("text"), weights)
+                out: list[tuple[dict, dict]] = []
+                columns = (part.column(c).to_pylist() for c in ("key", "block", "salt", "member", "node", "comp", "weight"))
+                for i, (key, block, salt, member, node, comp, weight) in enumerate(zip(*columns, strict=True)):
+                    if (key, block, salt) != group:
+                        group, label = (key, block, salt), None
+                        nodes, vectors, heavy, classes, parent = [], [], [], {}, {}
+                    vector = e[first[i] : first[i + 1]], w[first[i] : first[i + 1]]
+                    c = (comp["a"], comp["b"])
+                    if not member:
+                        nodes.append(node)
+                        vectors.append((vector[0].copy(), vector[1].copy()))
+                        heavy.append((weight, classes.setdefault(c, len(classes))))
+                        continue
+                    if label is None:
+                        sizes, label = np.array([x for x, _ in heavy]), np.array([x for _, x in heavy], np.int64)
+                    own = root(classes.setdefault(c, len(classes)))
+                    near = (label != own) & (np.minimum(sizes, weight) >= threshold * 0.999999 * np.maximum(sizes, weight))
+                    for j in np.flatnonzero(near):
+                        if label[j] != own and similarity(vectors[j], vector) >= threshold:
+                            out.append((nodes[j], node))
+                            was = int(label[j])
+                            parent[was] = own
+                            label[label == was] = own
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pair), pa.array([n for _, n in out], pair)], names=["pivot", "node"])
+
+    return rows.repartition("key", "block", "salt").sortWithinPartitions("key", "block", "salt", "member", "node").mapInArrow(run, "pivot struct<a:long,b:long>, node struct<a:long,b:long>")
+
+
+def links_of(docs: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, text: str = "text", max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame] | None:
+    """(pivot, node): verified links, and (node, comp): their classes; None where no two texts share a band's key.
 
     In each round a bucket's pivot meets the bucket's other members. The pivot and what it is linked to leave
     the bucket; the rest get a new pivot in the next. The pivot is the member that meets most others in all its
     buckets: among copies that were edited each in its own way, that is the text nearest to all of them, so the
     group is done in one round though its copies are not similar to each other. A pair whose weights alone rule
     the threshold out is not compared: similarity is at most their ratio.
+
+    The first pivot of a bucket has met all of its members. The others are compared across classes after the rounds.
     """
     nodes = signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("words").alias("words"), F.first("weight").alias("weight"))
     flat = nodes.select("node", "words", "weight", F.explode("keys").alias("key"))
@@ -275,26 +344,39 @@ def links_of(docs: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: flo
     texts = common.written(texts_of(docs, members.select("node").distinct(), text), "texts")
     shared = docs.sparkSession.sparkContext.broadcast(idf)
     found: list[DataFrame] = []
+    every, first_pivots = members, None
     for round_ in range(max_rounds):
         first = F.max(F.struct("score", F.xxhash64(F.lit(round_), "node").alias("h"), "node", "weight"))
         pivots = members.groupBy("key").agg(first.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("pivot_weight"))
         met = common.cut(members.join(pivots, "key").where(F.col("node") != F.col("pivot")))
         if met.isEmpty():
             break
+        if first_pivots is None:
+            first_pivots = common.cut(met.select("key", F.col("pivot").alias("node")).distinct())
         near = F.least("weight", "pivot_weight") >= F.lit(threshold) * F.greatest("weight", "pivot_weight")
         links = common.cut(verified(met.where(near).select("pivot", "node", "words").distinct(), texts, shared, threshold))
         found.append(links)
         members = met.join(links, ["pivot", "node"], "left_anti").select("key", "node", "words", "weight", "score")
-    return reduce(DataFrame.union, found).distinct() if found else None
+    if not found:
+        return None
+    links = common.cut(_undirected(reduce(DataFrame.union, found)))
+    labels = components(links)
+    more = common.cut(across(every.join(first_pivots, ["key", "node"], "left_anti"), labels, texts, shared, threshold))
+    if more.isEmpty():
+        return links, labels
+    links = common.cut(_undirected(links.union(more)))
+    return links, components(links)
+
+
+def _undirected(links: DataFrame) -> DataFrame:
+    return links.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, node, class_id, class_size, n_links) of every row; n_links counts the text's verified links to other texts."""
     idf = damped_idf(document_frequency(docs, text))
     signed = common.written(signatures(docs, idf, text), "signatures")
-    links = links_of(docs, signed, idf, threshold, text)
-    links = links if links is None else common.cut(links)
-    labels = None if links is None or links.isEmpty() else components(links)
+    links, labels = links_of(docs, signed, idf, threshold, text) or (None, None)
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     if labels is None:
         classes = nodes.where("n > 1").select("node", F.col("least").alias("class_id"), F.col("n").alias("class_size"), F.lit(0).cast("long").alias("n_links"))

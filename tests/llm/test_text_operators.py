@@ -243,6 +243,35 @@ def test_components(spark):
     assert {r.node.a: r.comp.a for r in near_dedup.components(links).collect()} == {**{i: 0 for i in range(10)}, 20: 20, 21: 20}
 
 
+def test_near_duplicates_of_derivation_chains(spark):
+    """Texts derived from earlier ones, against all pairs of every bucket."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        family = [words(rng, 120)]
+        while len(family) < 150:
+            new = list(rng.choice(family))
+            for _ in range(rng.randint(1, 3)):
+                new[rng.randrange(len(new))] = f"x{rng.getrandbits(30)}"
+            family.append(new)
+        texts += [" ".join(t) for t in family]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    idf = near_dedup.damped_idf(near_dedup.document_frequency(docs))
+    e, w, first = near_dedup.weighted_shingles(pa.array(texts), idf)
+    vectors = [(e[a:b], w[a:b]) for a, b in zip(first[:-1], first[1:])]
+    buckets = {}
+    for i, keys in enumerate(near_dedup.Sampler().band_keys(e, w, first).tolist()):
+        for k in keys:
+            buckets.setdefault(k, []).append(i)
+    least = list(range(len(texts)))
+    for a, b in {(a, b) for m in buckets.values() for a in m for b in m if a < b}:
+        if least[a] != least[b] and near_dedup.similarity(vectors[a], vectors[b]) >= near_dedup.THRESHOLD:
+            lo, hi = sorted((least[a], least[b]))
+            least = [lo if x == hi else x for x in least]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(least))
+
+
 # 9
 
 
