@@ -30,19 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _OWN_DIR: dict[str, str] = {}
-
-
-def _own_dir(spark: SparkSession) -> str:
-    _OWN_DIR[spark.sparkContext.applicationId] = own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return own
+#: A key with at least a 1/HOT_KEYS share of the rows is hot, so there are at most HOT_KEYS such keys.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """The cluster's shared folder. Where the session names none: the context's checkpoint folder, or one of our own in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    return _OWN_DIR.setdefault(spark.sparkContext.applicationId, "") or _own_dir(spark)
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN_DIR.setdefault(context.applicationId, "") or _own_dir(context.applicationId)
+
+
+def _own_dir(app: str) -> str:
+    _OWN_DIR[app] = own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,13 +60,67 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/strandlake-{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write a table in the shared folder and read it: compressed, and readable by column."""
-    path = f"{shared_dir(df.sparkSession)}/strandlake-{what}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:  # a flat folder: the first file tells it
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever others are called (in another case, or the same again)."""
+    own, at = _by_place(df)
+    return own.select(*(F.col(f"c{at[n]}").alias(n) for n in names))
+
+
+def _by_place(df: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), {c: i for i, c in reversed(list(enumerate(df.columns)))}
+
+
+class Shield:
+    """The rows of a table under column names that no operator uses; ``back`` restores the names.
+
+    An operator's own column takes the place of an extra one that has its name in any case.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = list(df.columns)
+        self.at = {c: f"carried_column_{i}" for i, c in reversed(list(enumerate(self.names)))}
+        self.columns = [f"carried_column_{i}" for i in range(len(self.names))]
+        self.rows = df.toDF(*self.columns)
+
+    def back(self, out: DataFrame, keep: list[str] | None = None, made: list[str] | None = None) -> DataFrame:
+        """The original columns (or ``keep`` of them) and then those that the operator made."""
+        made = [c for c in out.columns if c not in self.columns] if made is None else made
+        taken = {c.lower() for c in made}
+        pairs = list(zip(self.names, self.columns, strict=True)) if keep is None else [(c, self.at[c]) for c in keep]
+        return out.select(*(F.col(own).alias(c) for c, own in pairs if c.lower() not in taken), *made)
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """Rows joined with a table that has one row a key, and in ``n`` how many rows have it, of ``total`` in all.
+
+    Keys with a share of at least 1 / HOT_KEYS are at most HOT_KEYS, so these alone are broadcast and their rows stay where
+    they are; all others are joined by a shuffle in which no key has more than that share.
+    """
+    hot = table.where(F.col(n) * HOT_KEYS >= F.lit(total))
+    cold = table.where(F.col(n) * HOT_KEYS < F.lit(total))
+    kept = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rows.join(F.broadcast(hot), on).select(*kept.columns).unionByName(kept)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` has not got."""
     taken = {c.lower() for c in df.columns}

@@ -1,36 +1,39 @@
 """Near-duplicate detection by improved consistent weighted sampling.
 
-1. Texts become sets of five-word shingles (lower case) weighted by sublinear term
-   frequency times a damped inverse document frequency. Document frequencies are
+1. Texts become sets of five-word shingles (lower case) weighted by TF-IDF: sublinear
+   term frequency (1 + ln tf) times an augmented inverse document frequency (0.5 to 1
+   by the logarithm of the shingle's share of documents). Document frequencies are
    counted over every document, in hashed buckets (their share of documents, and
    so the weights, do not depend on the corpus' size), summed per task.
 2. Every text is sampled ``BANDS * ROWS`` times by improved consistent weighted
    sampling; two texts agree on a sample with a probability equal to their
    weighted Jaccard similarity. ``ROWS`` samples make a band's key.
 3. Equal texts are one node from here on, so copies cost nothing more. Nodes that
-   share a band's key are candidates: each is compared with the bucket's pivot
-   first. What isn't linked to the pivot stays in the bucket and gets a new pivot
-   in the next of ``MAX_ROUNDS`` rounds. These rounds only spare work: buckets whose
-   members are not all in one class after them are then compared whole, without
-   pairs that are in one class already (``across``), so no pair is left out.
+   share a band's key are candidates: all members of a bucket are compared with its
+   pivot, the most central one. Buckets whose members are not all in one class
+   after that are compared whole (``across``): every pair of members that is not in
+   one class yet is compared, so no pair is left out and no round is capped.
 4. Candidates are verified by their exact weighted Jaccard similarity, a pivot's
    members (or a block of a bucket's) streaming past it, in salted groups of bounded size.
 5. Verified links are joined to classes by hash-to-min label propagation.
 
+Joins on a key that may have a third of all rows (a node's copies, a bucket, a
+pivot, a class) keep the rows of such keys where they are (``common.keyed_join``).
+
 Result: one row per document with ``class_id``, the least doc_id of its class,
 and ``class_size``. Nothing about single documents reaches the driver.
 
-Defined results: null and empty texts are one class of equal texts each (null
-counts as empty); a text of fewer than five words is one shingle of all its
+Defined results: texts without words, null and empty ones too, are one class
+(null counts as empty); a text of fewer than five words is one shingle of all its
 words. A null doc_id is ignored where the least is taken; a class with none has a
-null class_id. Repeated rows are in one class. Ties in pivots are broken by hash,
-then node. Extra columns are ignored; an empty table gives an empty result.
+null class_id. Repeated rows are in one class, and ``deduplicate`` keeps one of
+them. Ties in pivots are broken by hash, then node. Extra columns are ignored
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +48,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 DF_BITS = 18
-#: A shingle weighs between 1 - IDF_SHARE (in every document) and 1 (in hardly any): a stronger weighting
-#: would let the few words that differ outweigh what thousands of near copies share.
-IDF_SHARE = 0.2
-#: How much the logarithm of a shingle's count in its text adds to its weight.
-TF_SHARE = 0.2
+#: Augmented IDF: a shingle weighs between 1 - IDF_SHARE (in every document) and 1 (in hardly any). An IDF without
+#: that floor would let the few words that differ outweigh what thousands of near copies share.
+IDF_SHARE = 0.5
 GROUP_WORDS = 200_000
-MAX_ROUNDS = 8
-SEEN = 200_000
+#: Texts whose results (or node, 16 bytes) a task keeps so that copies are not computed (or sent) again; what is not kept is.
+SEEN = 20_000
 _WIDTH = 1024
 
 
@@ -79,7 +80,7 @@ def weighted_shingles(texts: pa.Array, idf: np.ndarray | None = None) -> tuple[n
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(e)))
     e, d = e[at], d[at]
-    weight = 1 + TF_SHARE * np.log(tf)
+    weight = 1 + np.log(tf)
     if idf is not None:
         weight = weight * idf[(e >> common.U64(64 - DF_BITS)).astype(np.int64)]
     return e, weight, np.searchsorted(d, np.arange(n + 1))
@@ -168,26 +169,40 @@ def signatures(docs: DataFrame, idf: np.ndarray, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, weights = Sampler(), shared.value
-        seen: dict[tuple[int, int], tuple[int, float, list[int]]] = {}
+        seen: dict[bytes, bytes] = {}  # node to its words, weight and keys, as bytes
+        row = np.dtype([("words", "<i8"), ("weight", "<f8"), ("keys", "<u8", (BANDS,))])
         for batch in batches:
             for part in common.text_chunks(batch, "text", 256 << 10):
-                nodes = [(x["a"], x["b"]) for x in part.column("node").to_pylist()]
-                fresh = list({k: i for i, k in reversed(list(enumerate(nodes))) if k not in seen}.values())
-                own: dict[tuple[int, int], tuple[int, float, list[int]]] = {}
+                ids = np.stack([part.column("node").field(x).to_numpy(zero_copy_only=False) for x in (0, 1)], axis=1)
+                nodes = [x.tobytes() for x in ids]
+                fresh = {k: i for i, k in reversed(list(enumerate(nodes))) if k not in seen}
+                own: dict[bytes, bytes] = {}
                 if fresh:
-                    e, w, first = weighted_shingles(part.column("text").take(pa.array(fresh)), weights)
-                    keys = common.signed(sampler.band_keys(e, w, first)).tolist()
-                    own = {nodes[i]: (int(first[j + 1] - first[j]), float(w[first[j] : first[j + 1]].sum()), keys[j]) for j, i in enumerate(fresh)}
-                found = [own[k] if k in own else seen[k] for k in nodes]
+                    e, w, first = weighted_shingles(part.column("text").take(pa.array(list(fresh.values()))), weights)
+                    made = np.empty(len(fresh), row)
+                    made["words"] = np.diff(first)
+                    sums = np.concatenate([[0.0], np.cumsum(w)])
+                    made["weight"] = sums[first[1:]] - sums[first[:-1]]
+                    made["keys"] = sampler.band_keys(e, w, first)
+                    own = {k: x.tobytes() for k, x in zip(fresh, made, strict=True)}
+                found = np.frombuffer(b"".join([own[k] if k in own else seen[k] for k in nodes]), row)
                 if len(seen) + len(own) <= SEEN:
                     seen.update(own)
-                made = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), *made], names=["doc_id", "node", "words", "weight", "keys"])
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(common.signed(np.ascontiguousarray(found["keys"]).reshape(-1))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(np.ascontiguousarray(found["words"])), pa.array(np.ascontiguousarray(found["weight"])), keys], names=["doc_id", "node", "words", "weight", "keys"])
 
     rows = docs.select("doc_id", node_id(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, node struct<a:long,b:long>, words long, weight double, keys array<long>")
 
 
+def distinct_nodes(signed: DataFrame) -> DataFrame:
+    """(node, least, n, words, weight, keys): a row for each distinct text, its least doc_id and its number of copies."""
+    each = [F.first(F.col("keys")[i]).alias(f"k{i}") for i in range(BANDS)]  # longs, so that the aggregate is hashed
+    grouped = signed.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "doc_id", "words", "weight", "keys").groupBy("a", "b")
+    rows = grouped.agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"), F.first("weight").alias("weight"), *each)
+    return rows.select(F.struct("a", "b").alias("node"), "least", "n", "words", "weight", F.array(*(f"k{i}" for i in range(BANDS))).alias("keys"))
+
+
 def texts_of(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
     """(node, text) of the nodes asked for, one row each. Tasks drop the copies they have seen before anything is shuffled."""
 
@@ -221,10 +236,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
     """(pivot, node) of the pairs whose similarity is ``threshold`` or more; pairs: (pivot, node, words), texts: (node, text)."""
-    size = pairs.groupBy("pivot").agg(F.ceil(F.sum("words") / F.lit(GROUP_WORDS)).alias("salts"))
-    salted = (pairs.join(size, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.greatest("salts", F.lit(1))).alias("salt")))
+    size = common.cut(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1), F.ceil(F.sum("words") / F.lit(GROUP_WORDS))).alias("salts")))
+    salted = common.keyed_join(pairs, size, ["pivot"], "n", pairs.count()).select("pivot", "node", F.pmod(F.xxhash64("node"), "salts").alias("salt"))
     members = salted.join(texts, "node").select("pivot", "salt", F.lit(1).alias("member"), "node", "text")
-    pivots = salted.select("pivot", "salt").distinct().join(texts.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "salt", F.lit(0).alias("member"), F.col("pivot").alias("node"), "text")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    pivots = size.join(texts.withColumnRenamed("node", "pivot"), "pivot").select("pivot", salts, F.lit(0).alias("member"), F.col("pivot").alias("node"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, pivot, own = shared.value, None, None
@@ -245,18 +261,24 @@ def verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, threshold: f
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the least node of each node's component, by hash-to-min with pointer jumping."""
+    """(node, comp): the least node of each node's component, by hash-to-min with pointer jumping.
+
+    A node of many links, and a class of many nodes, are hot keys; both have their count beside them.
+    """
     both = common.cut(links.select(F.col("pivot").alias("u"), F.col("node").alias("v")).union(links.select(F.col("node").alias("u"), F.col("pivot").alias("v"))).distinct())
-    labels = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")))
+    labels = common.cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp"), "degree"))
+    n_links, n_nodes = both.count(), labels.count()
     while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
-        nearer = labels.join(seen, F.col("node") == F.col("u")).select("node", F.col("comp").alias("was"), F.least("comp", "c").alias("comp"))
-        jump = labels.select(F.col("node").alias("j"), F.col("comp").alias("jc"))
-        step = common.cut(nearer.join(jump, F.col("comp") == F.col("j"), "left").select("node", "was", F.least("comp", F.coalesce("jc", "comp")).alias("comp")))
+        near = common.keyed_join(both, labels.select(F.col("node").alias("v"), F.col("comp").alias("c"), "degree"), ["v"], "degree", n_links)
+        seen = near.groupBy("u").agg(F.min("c").alias("c"))
+        nearer = common.cut(labels.join(seen, F.col("node") == F.col("u")).select("node", "degree", F.col("comp").alias("was"), F.least("comp", "c").alias("comp")))
+        sizes = nearer.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+        jump = sizes.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("jc")), "comp")
+        step = common.cut(common.keyed_join(nearer, jump, ["comp"], "size", n_nodes).select("node", "degree", "was", F.least("comp", "jc").alias("comp")))
         changed = step.where(F.col("was") != F.col("comp")).limit(1).count()
-        labels = step.select("node", "comp")
+        labels = step.select("node", "comp", "degree")
         if not changed:
-            return labels
+            return labels.select("node", "comp")
 
 
 def across(members: DataFrame, labels: DataFrame, texts: DataFrame, shared: Broadcast, threshold: float) -> DataFrame:
@@ -265,21 +287,24 @@ def across(members: DataFrame, labels: DataFrame, texts: DataFrame, shared: Broa
     Of a bucket all members but those of its largest class are dealt to blocks of bounded size, which are held; all members
     stream past the blocks, in salted groups. No list of pairs is made. Buckets with the same members count once.
     """
-    inside = members.select("key", "node", "words", "weight").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sums = inside.groupBy("key", "comp").agg(F.sum("words").alias("w"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("b"))
-    buckets = (
-        sums.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("most"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("classes"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    inside = common.cut(members.select("key", "node", "words", "weight").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    sums = inside.groupBy("key", "comp").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("b"))
+    buckets = common.cut(
+        sums.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("most"), F.sum("w").alias("total"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("classes"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
         .where("classes > 1")
-        .groupBy("a", "b", "total").agg(F.min(F.struct("key", "most")).alias("m"))
-        .select("m.key", F.col("m.most.comp").alias("largest"), F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("m.most.w")) / GROUP_WORDS)).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("total") / GROUP_WORDS)).alias("salts"))
+        .groupBy("a", "b", "total").agg(F.min(F.struct("key", "most", "n")).alias("m"))
+        .select("m.key", "m.n", F.col("m.most.comp").alias("largest"), F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("m.most.w")) / GROUP_WORDS)).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("total") / GROUP_WORDS)).alias("salts"))
     )
-    dealt = common.cut(
-        inside.join(buckets, "key").withColumn("outside", F.col("comp") != F.col("largest"))
+    dealt = (
+        common.keyed_join(inside, buckets, ["key"], "n", inside.count()).withColumn("outside", F.col("comp") != F.col("largest"))
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), "salts"))
+        .join(texts, "node")
     )
-    held = dealt.where("outside").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("member", F.lit(0))
-    past = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("block")).otherwise(F.col("blocks") - 1)))).withColumn("member", F.lit(1))
-    rows = held.unionByName(past).select("key", "block", "salt", "member", "node", "comp", "weight").join(texts, "node")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n)
+    place = lambda block, salt, member: F.struct(block.alias("block"), salt.alias("salt"), F.lit(member).alias("member"))
+    held = F.when(F.col("outside"), F.transform(upto(F.col("salts") - 1), lambda s: place(F.col("block"), s, 0))).otherwise(F.expr("cast(array() as array<struct<block:bigint,salt:bigint,member:int>>)"))
+    past = F.transform(upto(F.when(F.col("outside"), F.col("block")).otherwise(F.col("blocks") - 1)), lambda b: place(b, F.col("salt"), 1))
+    rows = dealt.withColumn("p", F.explode(F.concat(held, past))).select("key", "p.block", "p.salt", "p.member", "node", "comp", "weight", "text")
     pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,83 +349,90 @@ def across(members: DataFrame, labels: DataFrame, texts: DataFrame, shared: Broa
     return rows.repartition("key", "block", "salt").sortWithinPartitions("key", "block", "salt", "member", "node").mapInArrow(run, "pivot struct<a:long,b:long>, node struct<a:long,b:long>")
 
 
-def links_of(docs: DataFrame, signed: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, text: str = "text", max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame] | None:
+def links_of(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, text: str = "text") -> tuple[DataFrame, DataFrame] | None:
     """(pivot, node): verified links, and (node, comp): their classes; None where no two texts share a band's key.
 
-    In each round a bucket's pivot meets the bucket's other members. The pivot and what it is linked to leave
-    the bucket; the rest get a new pivot in the next. The pivot is the member that meets most others in all its
-    buckets: among copies that were edited each in its own way, that is the text nearest to all of them, so the
-    group is done in one round though its copies are not similar to each other. A pair whose weights alone rule
-    the threshold out is not compared: similarity is at most their ratio.
-
-    The first pivot of a bucket has met all of its members. The others are compared across classes after the rounds.
+    The pivot of a bucket is the member that meets most others in all its buckets: among copies that were edited
+    each in its own way, that is the text nearest to all of them, so the group is done at once though its copies
+    are not similar to each other. A pair whose weights alone rule the threshold out is not compared: similarity
+    is at most their ratio. The pivots have met all members; the others are then compared across classes.
     """
-    nodes = signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("words").alias("words"), F.first("weight").alias("weight"))
     flat = nodes.select("node", "words", "weight", F.explode("keys").alias("key"))
-    shared_keys = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met_keys = flat.join(shared_keys, "key")
-    score = met_keys.groupBy("node").agg(F.sum("n").alias("score"))
-    members = common.cut(met_keys.join(score, "node").select("key", "node", "words", "weight", "score"))
+    shared_keys = common.cut(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if shared_keys.isEmpty():
+        return None
+    met_keys = common.keyed_join(flat, shared_keys, ["key"], "n", BANDS * nodes.count())
+    members = common.cut(met_keys.groupBy("node", "words", "weight").agg(F.collect_list(F.struct("key", "n")).alias("k"), F.sum("n").alias("score")).select("node", "words", "weight", "score", F.explode("k").alias("k")).select("node", "words", "weight", "score", "k.key", "k.n"))  # at most BANDS keys a node
     texts = common.written(texts_of(docs, members.select("node").distinct(), text), "texts")
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    found: list[DataFrame] = []
-    every, first_pivots = members, None
-    for round_ in range(max_rounds):
-        first = F.max(F.struct("score", F.xxhash64(F.lit(round_), "node").alias("h"), "node", "weight"))
-        pivots = members.groupBy("key").agg(first.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("pivot_weight"))
-        met = common.cut(members.join(pivots, "key").where(F.col("node") != F.col("pivot")))
-        if met.isEmpty():
-            break
-        if first_pivots is None:
-            first_pivots = common.cut(met.select("key", F.col("pivot").alias("node")).distinct())
-        near = F.least("weight", "pivot_weight") >= F.lit(threshold) * F.greatest("weight", "pivot_weight")
-        links = common.cut(verified(met.where(near).select("pivot", "node", "words").distinct(), texts, shared, threshold))
-        found.append(links)
-        members = met.join(links, ["pivot", "node"], "left_anti").select("key", "node", "words", "weight", "score")
-    if not found:
-        return None
-    links = common.cut(_undirected(reduce(DataFrame.union, found)))
+    first = F.max(F.struct("score", F.xxhash64("node").alias("h"), "node", "weight"))
+    pivots = common.cut(members.groupBy("key").agg(first.alias("p"), F.count(F.lit(1)).alias("n")).select("key", F.col("p.node").alias("pivot"), F.col("p.weight").alias("pivot_weight"), "n"))
+    met = common.cut(common.keyed_join(members.drop("n", "score"), pivots, ["key"], "n", members.count()).where(F.col("node") != F.col("pivot")))
+    near = F.least("weight", "pivot_weight") >= F.lit(threshold) * F.greatest("weight", "pivot_weight")
+    links = common.cut(_undirected(verified(common.cut(met.where(near).select("pivot", "node", "words").distinct()), texts, shared, threshold)))
     labels = components(links)
-    more = common.cut(across(every.join(first_pivots, ["key", "node"], "left_anti"), labels, texts, shared, threshold))
-    if more.isEmpty():
-        return links, labels
-    links = common.cut(_undirected(links.union(more)))
-    return links, components(links)
+    more = common.cut(across(met, labels, texts, shared, threshold))
+    if not more.isEmpty():
+        links = common.cut(_undirected(links.union(more)))
+        labels = components(links)
+    common.discard(texts)
+    return links, labels
 
 
 def _undirected(links: DataFrame) -> DataFrame:
     return links.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
 
 
+def _classes(nodes: DataFrame, found: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """(node, n, class_id, class_size, n_links) of every distinct text."""
+    alone = nodes.select("node", "n", "least")
+    if found is None:
+        return alone.select("node", "n", F.col("least").alias("class_id"), F.col("n").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    links, labels = found
+    degree = links.select("node").union(links.select(F.col("pivot").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = common.cut(labels.join(degree, "node").join(alone, "node"))
+    total = common.cut(linked.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("k")))
+    known = common.keyed_join(linked, total, ["comp"], "k", linked.count()).select("node", "class_id", "class_size", "n_links", F.lit(True).alias("linked"))
+    return alone.join(known, "node", "left").select(
+        "node", "n", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("class_size", "n").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, node, class_id, class_size, n_links) of every row; n_links counts the text's verified links to other texts."""
+    docs = common.only(docs, "doc_id", text)
     idf = damped_idf(document_frequency(docs, text))
     signed = common.written(signatures(docs, idf, text), "signatures")
-    links, labels = links_of(docs, signed, idf, threshold, text) or (None, None)
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    if labels is None:
-        classes = nodes.where("n > 1").select("node", F.col("least").alias("class_id"), F.col("n").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        degree = links.select("node").union(links.select(F.col("pivot").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        linked = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        total = linked.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
-        classes = linked.join(total, "comp").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "node").join(classes, "node", "left").select(
-        "doc_id", "node", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    nodes = common.written(distinct_nodes(signed), "nodes")
+    classes = common.written(_classes(nodes, links_of(docs, nodes, idf, threshold, text)), "classes")
+    rows = common.keyed_join(signed.select("doc_id", "node"), classes, ["node"], "n", signed.count())
+    return rows.select("doc_id", "node", F.when(F.col("class_size") == 1, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_size", "n_links")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, with all columns: that of the least doc_id (without any, one of each distinct text)."""
-    classes = near_duplicates(docs, text, threshold)
-    a, b, i = (common.free_name(docs, x) for x in ("node_a", "node_b", "keep"))
-    keep = _kept(classes, i, a, b)
-    node = node_id(text)
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[i]) & (node["a"] == keep[a]) & (node["b"] == keep[b]), "left_semi")
+    """One row of each class, with all columns: that of the least doc_id (without any, one of each distinct text).
+
+    Of rows that are equal in doc_id and text one is kept. Only rows of which there are several are grouped for that.
+    """
+    shield = common.Shield(docs)
+    i, t = shield.at["doc_id"], shield.at[text]
+    keep = _kept(near_duplicates(shield.rows.select(F.col(i).alias("doc_id"), F.col(t).alias("text")), "text", threshold))
+    node = node_id(t)
+    rows = shield.rows.withColumn("own_id", _id_key(i)).withColumn("own_a", node["a"]).withColumn("own_b", node["b"])
+    key = ["own_id", "own_a", "own_b"]
+    found = common.keyed_join(rows, keep, key, "copies", docs.count())
+    once = found.where("copies = 1").select(*shield.columns)
+    return shield.back(once.unionByName(found.where("copies > 1").dropDuplicates(key).select(*shield.columns)))
+
+
+def _id_key(column: str) -> Column:
+    """A doc_id as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
-def _kept(classes: DataFrame, i: str, a: str, b: str) -> DataFrame:
-    """(doc_id, node) to keep: of each class the row with its least doc_id; equal ids of other texts in the class don't matter."""
+def _kept(classes: DataFrame) -> DataFrame:
+    """(own_id, own_a, own_b, copies) to keep: of each class the row with its least doc_id; equal ids of other texts in the class don't matter."""
     first = classes.where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-    least = first.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("own")).agg(F.min(F.struct("node", "doc_id")).alias("m"))
-    return least.select(F.col("m.doc_id").alias(i), F.col("m.node.a").alias(a), F.col("m.node.b").alias(b))
+    each = first.groupBy("class_id", "node", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    least = each.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("own")).agg(F.min(F.struct("node", "doc_id", "copies")).alias("m"))
+    return common.cut(least.select(_id_key("m.doc_id").alias("own_id"), F.col("m.node.a").alias("own_a"), F.col("m.node.b").alias("own_b"), F.col("m.copies").alias("copies")))

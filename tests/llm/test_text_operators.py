@@ -222,7 +222,7 @@ def test_near_duplicates(spark, edge, empty):
     assert cls[900] == cls[901] == 900 and cls[903] == 903
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in near_dedup.deduplicate(docs).select("doc_id").collect())
     ids = [i for none, i in kept if not none]
-    assert ids[:24] == [x for i in range(12) for x in (10 * i, 10 * i + 3)] and 900 in ids and 901 not in ids
+    assert ids == [x for i in range(12) for x in (10 * i, 10 * i + 3)] + [900, 903] and len(kept) == len(ids) + 1
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
