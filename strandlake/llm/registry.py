@@ -64,7 +64,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every row of documents."""
-    scored = cross_entropy.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = cross_entropy.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), stored=True)
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "loss_difference")))
 
 

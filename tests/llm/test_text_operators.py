@@ -343,25 +343,24 @@ def test_cross_entropy_counts_are_exact(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     good = {i for i in range(300) if i % 3 == 0}
     labels = spark.createDataFrame([(i, int(i in good)) for i in range(300)], "doc_id long, quality int")
-    every = Counter(w for t in texts for w in t.split())
-    tokens = {i: [w if every[w] >= cross_entropy.MIN_COUNT else "<unknown>" for w in t.split()] for i, t in enumerate(texts)}
-    uni, ctx, bi = ([Counter(), Counter()] for _ in range(3))
+    tokens = {i: [*t.split(), "|"] for i, t in enumerate(texts)}
+    uni, bi = ([Counter(), Counter()] for _ in range(2))
     for i, ws in tokens.items():
         for m in (0, 1) if i in good else (0,):
             uni[m].update(ws)
-            ctx[m].update(["<start>", *ws[:-1]])
-            bi[m].update(zip(["<start>", *ws[:-1]], ws))
-    n, size, s = [c.total() for c in uni], len(uni[0]), cross_entropy.SMOOTHING
+            bi[m].update(zip(["|", *ws], ws))
+    n, s = [c.total() for c in uni], cross_entropy.SMOOTHING
+    share = [{w: uni[0][w] / n[0] for w in uni[0]}]
+    share.append({w: (uni[1][w] + cross_entropy.WORD_SMOOTHING * share[0][w]) / (n[1] + cross_entropy.WORD_SMOOTHING) for w in uni[0]})
 
     def loss(m, ws):
         scale = n[1] / n[m]
-        word = {w: (uni[m][w] * scale + 0.5) / (n[1] + 0.5 * size) for w in ws}
-        return sum(-np.log((bi[m][c, w] * scale + s * word[w]) / (ctx[m][c] * scale + s)) for c, w in zip(["<start>", *ws[:-1]], ws)) / len(ws)
+        return sum(-np.log((bi[m][c, w] * scale + s * share[m][w]) / (uni[m][c] * scale + s)) for c, w in zip(["|", *ws], ws)) / len(ws)
 
     got = {r.doc_id: r for r in cross_entropy.score(docs, labels).collect()}
     assert len(got) == 300
     for i, ws in tokens.items():
-        assert got[i].n_tokens == len(ws)
+        assert got[i].n_tokens == len(ws) - 1
         assert got[i].target_loss == pytest.approx(loss(1, ws), abs=1e-9) and got[i].background_loss == pytest.approx(loss(0, ws), abs=1e-9)
 
 
