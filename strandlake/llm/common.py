@@ -109,6 +109,11 @@ class Shield:
         return out.select(*(F.col(own).alias(c) for c, own in pairs if c.lower() not in taken), *made)
 
 
+def schema_of(df: DataFrame, columns: list[str], made: str) -> str:
+    """The schema of a task's output: some of the table's columns, then those that it makes."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema), made])
+
+
 def keyed_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """Rows joined with a table that has one row a key, and in ``n`` how many rows have it, of ``total`` in all.
 

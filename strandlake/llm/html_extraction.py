@@ -19,7 +19,8 @@ Text: character references are decoded, white space inside a block is one space,
 blocks are joined in page order by an empty line. Nothing else is dropped.
 
 Defined results: a null or empty page, and one without main text, gives an empty
-text. Repeated rows get equal results. An empty table gives an empty result.
+text. Repeated rows get equal results. An extra column that has the name of an
+output column gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm import html_tree
+from strandlake.llm import common, html_tree
 from strandlake.llm.html_tree import FEATURES, Page
 
 SAMPLE_PAGES = 200
@@ -219,25 +220,31 @@ def train(sample: list[str], made: int = MADE_PAGES, seed: int = 11) -> Boosted:
 
 
 def sample_pages(pages: DataFrame, column: str = "html", n: int = SAMPLE_PAGES) -> list[str]:
-    """At most ``n`` pages, the smallest by a hash of their content."""
-    rows = pages.where(F.length(column).between(200, 50_000)).select(F.col(column).alias("h")).distinct()
-    return [r.h for r in rows.orderBy(F.xxhash64("h"), "h").limit(n).collect()]
+    """At most ``n`` pages, the smallest by a hash of their content.
+
+    The least hashes are found first, so no page is moved but those chosen.
+    """
+    rows = pages.where(F.length(column).between(200, 50_000)).select(F.xxhash64(column).alias("k"), F.col(column).alias("h"))
+    least = [r.k for r in rows.select("k").distinct().orderBy("k").limit(n).collect()]
+    chosen = rows.where(F.col("k").isin(least)).groupBy("k").agg(F.min("h").alias("h")).collect() if least else []
+    return [r.h for r in sorted(chosen, key=lambda r: r.k)]
 
 
 def extract(pages: DataFrame, column: str = "html", keep: list[str] | None = None, model: Boosted | None = None) -> DataFrame:
     """The columns ``keep`` (default: all), ``text`` and ``n_chars`` of every row."""
-    cols = pages.columns if keep is None else keep
+    shield = common.Shield(pages)
+    cols = shield.columns if keep is None else [shield.at[c] for c in keep]
+    rows = shield.rows.select(*cols, F.coalesce(F.col(shield.at[column]), F.lit("")).alias("html"))
     if model is None:
-        model = train(sample_pages(pages, column))
+        model = train(sample_pages(shield.rows, shield.at[column]))
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*cols).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                read = [html_tree.read(h) for h in batch.column("__html").to_pylist()]
+                read = [html_tree.read(h) for h in batch.column("html").to_pylist()]
                 each = [html_tree.features(p) for p in read]
                 margin = trees.margin(np.array([r for rows in each for r in rows], np.float64).reshape(-1, len(FEATURES)))
                 texts, at = [], 0
@@ -247,4 +254,4 @@ def extract(pages: DataFrame, column: str = "html", keep: list[str] | None = Non
                 made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), *made], names=[*cols, "text", "n_chars"])
 
-    return pages.select(*cols, F.coalesce(F.col(column), F.lit("")).alias("__html")).mapInArrow(run, fields + (", " if cols else "") + "text string, n_chars long")
+    return shield.back(rows.mapInArrow(run, common.schema_of(rows, cols, "text string, n_chars long")), keep)

@@ -8,9 +8,8 @@ proportion to their weights, by Gumbel top-k: the k largest ``weight + noise``.
 The raw model counts every n-gram of every document. The target model counts the
 documents that the labels call good; of their ids at most ``max_target`` are used,
 the smallest by a seeded hash (a documented bound: the ids are broadcast). The
-weight is the mean log ratio per n-gram times ``sharpness``, so that long texts
-are not sampled for their length alone. ``k`` is the labels' good share of all
-rows, unless given. Noise is a hash of seed, doc_id and text, so a rerun or a lost
+weight of a text is the log of the ratio of its probabilities under both models:
+the sum over its n-grams. ``k`` is the labels' good share of all rows, unless given. Noise is a hash of seed, doc_id and text, so a rerun or a lost
 executor gives the same sample.
 
 Models are two arrays of ``buckets`` counts, summed per task before they are
@@ -18,7 +17,8 @@ shuffled. The k-th largest key is found by exact histogram refinement: no global
 sort, nothing but bin counts reaches the driver.
 
 Defined results: null and empty texts have no n-grams and weight 0 with no
-evidence: they are never kept. Repeated rows share one key and are kept or dropped
+evidence: they are never kept. Texts of any length count whole, in time linear in
+their length. Extra columns are ignored, whatever their names. Repeated rows share one key and are kept or dropped
 together, as are all rows with the k-th largest key, so ties may keep more than k.
 An empty table gives an empty result. Without labels all weights are 0.
 """
@@ -36,7 +36,6 @@ from strandlake.llm import common
 
 BUCKETS = 1 << 16
 MAX_TARGET = 20_000
-SHARPNESS = 100.0
 SMOOTHING = 1.0
 BINS = 4096
 WIDTH = 1024
@@ -88,7 +87,7 @@ def log_ratio(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
-def weights(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS, seed: int = 7) -> DataFrame:
+def weights(docs: DataFrame, ratio: np.ndarray, seed: int = 7) -> DataFrame:
     """(doc_id, text_hash, n_grams, log_weight, sample_key) of every row; null sample_key without n-grams."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
@@ -100,8 +99,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS, se
                 doc, bucket = ngram_buckets(part.column("text"), buckets)
                 n = np.bincount(doc, minlength=part.num_rows)
                 total = np.bincount(doc, shared.value[bucket], part.num_rows)
-                weight = sharpness * total / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(weight)], names=["doc_id", "text_hash", "n_grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(total.astype(np.float64))], names=["doc_id", "text_hash", "n_grams", "log_weight"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     made = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_grams long, log_weight double")
@@ -134,10 +132,11 @@ def kth_largest(keys: DataFrame, key: str, k: int, bins: int = BINS) -> float |
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, sharpness: float = SHARPNESS, max_target: int = MAX_TARGET, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, buckets: int = BUCKETS, max_target: int = MAX_TARGET, seed: int = 7) -> DataFrame:
     """doc_id, n_grams, log_weight, sample_key and ``kept`` of every row."""
+    docs, labels = common.only(docs, "doc_id", "text"), common.only(labels, "doc_id", "quality")
     ratio = log_ratio(ngram_counts(docs, labels, buckets, max_target, seed))
-    keyed = common.written(weights(docs, ratio, sharpness, seed), "importance")
+    keyed = common.written(weights(docs, ratio, seed), "importance")
     if k is None:
         n, good, of = keyed.count(), *labels.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("quality")).first()
         k = round(n * (good or 0) / of) if of else n

@@ -11,7 +11,8 @@ around the quartiles, so that a band follows the corpus's own languages.
 Defined results: a null or empty text has no words: ``base_failed`` (fewer than
 50 words), not kept. Texts with fewer than ``min_tokens`` tokens are judged by
 the base rules alone. A null language is judged by its script. Repeated rows
-get equal results. Extra columns pass through untouched.
+get equal results. Extra columns pass through untouched; one that has the name of
+an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ LEAST_MARGIN = {"chars_per_token": 0.1, "chars_per_token_multi": 0.1, "byte_shar
 STEADY_TOKENS = 1000
 MIN_TOKENS = 60
 MIN_WORDS = 50
-CACHE_WORDS = 400_000
+#: Distinct words that a task keeps; they go when it ends.
+CACHE_WORDS = 150_000
 
 
 class Fertility:
@@ -181,29 +183,30 @@ MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", tokenizers: str = TOKENIZERS) -> DataFrame:
-    """The columns ``keep`` and every count and measure of each row; map-only."""
+    """The columns ``keep`` (none called text or lang, or by a measure's name) and every count and measure of each row; map-only."""
     piece = read_model(f"{tokenizers}/piece_bpe_32k.model")
     multi = read_model(f"{tokenizers}/byte_bpe_multi_50k.tiktoken")
-    fields = docs.select(*keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + (", " if keep else "") + MEASURED
     lang_col = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"), lang_col.alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _fertility(piece, multi)
+        tool.clear()
         for batch in batches:
-            for part in common.text_chunks(batch, "__text"):
-                texts = part.column("__text").to_pylist()
-                counts = base_counts(part.column("__text"))
+            for part in common.text_chunks(batch):
+                texts = part.column("text").to_pylist()
+                counts = base_counts(part.column("text"))
                 counts["n_dup_lines"] = np.fromiter(map(dup_lines, texts), np.int64, len(texts))
                 counts |= tool.measures(texts)
                 counts["band_key"] = [
                     code if code and re.fullmatch("[a-z]{2,3}", code) else f"script:{common.script_of(t)}"
-                    for code, t in zip(part.column("__lang").to_pylist(), texts, strict=True)
+                    for code, t in zip(part.column("lang").to_pylist(), texts, strict=True)
                 ]
                 names = [x.split()[0] for x in MEASURED.split(", ")]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(counts[c]) for c in names)], names=[*keep, *names])
+        tool.clear()
 
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"), lang_col.alias("__lang")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, common.schema_of(rows, keep, MEASURED))
 
 
 def base_failed() -> F.Column:
@@ -242,8 +245,9 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, text: str = "t
     The measured rows are written once in the shared folder, since the bands need
     a pass over all of them before any row can be judged.
     """
-    measured = measure(docs, docs.columns if keep is None else keep, text, lang, tokenizers)
+    shield = common.Shield(docs)
+    measured = measure(shield.rows, shield.columns if keep is None else [shield.at[c] for c in keep], shield.at[text], shield.at.get(lang, ""), tokenizers)
     if bands is None:
         measured = common.written(measured, "fertility")
         bands = corpus_bands(measured)
-    return judge(measured, bands)
+    return shield.back(judge(measured, bands), keep)

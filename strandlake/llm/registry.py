@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import cross_entropy, decontaminate, html_extraction, importance_resampling, near_dedup, quality_rules, secret_scan, sentencepiece_codec, training_order, url_filters
-from strandlake.llm.common import table
+from strandlake.llm.common import new_path, table
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token sequence of documents with its slot and shard; ids as a digest."""
-    rows, _ = training_order.sequences(table(spark, sf_dir, "documents").select("text"))
-    return rows.select("slot", "shard", (F.col("slot") % training_order.SHARD_RECORDS).alias("record"), "seq", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+    """Every token sequence of documents, as it is read back from the shards that were written; ids as a digest."""
+    path = new_path(spark, "shards")
+    _, total = training_order.materialise(table(spark, sf_dir, "documents"), path)
+    rows = training_order.read_shards(spark, path, total)
+    return rows.select("slot", "shard", "record", "seq", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Secret scan: pattern rules, then dictionary-primed zstandard novelty.
 
 The base rules find assignments, access keys and hex strings. The novelty method
-looks after every sensitive word (password, token, ...) for strings that mix
-letters and digits and measures what each adds to the compressed size of the text
+looks on both sides of every sensitive word (password, token, ...) for strings that
+are no plain words and measures what each adds to the compressed size of the text
 around it, by a compressor primed with a dictionary of code and identifiers. A
 string that costs almost its full entropy is new to both text and dictionary, so
-it is reported: names, versions and repeated constants are not.
+it is reported: names, versions and repeated constants are not. A candidate that
+base spans cover is not measured; one that reaches beyond them is.
 
 Offsets are code points, ends exclusive. Spans are ordered by start, then kind as
 in ``KINDS``. Defined results: a null text is empty and has no spans; repeated
 rows get equal results; texts of any length are scanned whole, in time linear in
-their length. Extra columns pass through untouched.
+their length. Extra columns pass through untouched; one that has the name of an
+output column gives way to it.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import common
+
 KINDS = ("assign", "access", "hex", "novel")
 
 
@@ -44,10 +48,13 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "api key", "credential", "private_key", "private key", "access_key", "access key", "auth_key", "bearer", "authorization", "client_id", "signing_key")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-MIN_CANDIDATE = 16
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{%d,}" % MIN_CANDIDATE)
+#: Candidates are runs without space, quotes, brackets and separators; an equals sign may only pad the end.
+CANDIDATE = re.compile(r"""[^\s"'`<>()\[\]{},;:=\\|]+={0,2}""")
+_TRIM = ".!?*_~-"
 REACH = 64
 CONTEXT = 256
+#: A candidate has at least so many bits of entropy, if drawn from its own alphabet: 18 digits, or 10 letters and digits of both cases.
+MIN_BITS = 59.0
 #: A candidate is incompressible if it costs this share of the entropy of its own alphabet.
 NOVELTY = 0.9
 
@@ -85,8 +92,33 @@ class Novelty:
 
     def is_novel(self, before: str, candidate: str, after: str, share: float = NOVELTY) -> bool:
         """Whether the candidate's marginal cost is near the entropy of a random string over its alphabet."""
-        alphabet = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", candidate) else 36 if candidate.upper() == candidate or candidate.lower() == candidate else 64
-        return self.marginal(before, candidate, after) * 8 >= share * len(candidate) * math.log2(alphabet)
+        bits = len(candidate) * alphabet_bits(candidate)
+        return bits >= MIN_BITS and self.marginal(before, candidate, after) * 8 >= share * bits
+
+
+_CLASSES = ((re.compile("[0-9]"), 10), (re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[^0-9A-Za-z]"), 8))
+
+
+def alphabet_bits(candidate: str) -> float:
+    """Bits a character of a random string over the candidate's kinds of characters."""
+    if re.fullmatch("(?=.*[0-9])(?:[0-9a-f]+|[0-9A-F]+)", candidate) and not candidate.isdecimal():
+        return 4.0
+    return math.log2(sum(n for kind, n in _CLASSES if kind.search(candidate)))
+
+
+_PART = re.compile(r"[^\W_]+")
+_WORDY = re.compile(r"(?:[^\W\d_]?(?:(?![A-Z])[^\W\d_])*|[A-Z]+)\d{0,4}|\d{1,8}")
+
+
+def plain(candidate: str) -> bool:
+    """Whether all parts are words of one case (with a short number at most), dates and the like, or joined words as in camelCase."""
+    for part in _PART.findall(candidate):
+        if _WORDY.fullmatch(part):
+            continue
+        rises = sum(a.islower() and b.isupper() for a, b in zip(part, part[1:]))
+        if not part.isalpha() or rises * 4 >= len(part):
+            return False
+    return True
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -101,35 +133,54 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def mixed(candidate: str) -> bool:
-    """Letters and at least two digits, and more than a few distinct characters."""
-    return sum(c.isdigit() for c in candidate) >= 2 and any(c.isalpha() for c in candidate) and len(set(candidate)) >= 8
+def _regions(low: str) -> list[tuple[int, int]]:
+    """Merged surroundings of the sensitive words."""
+    found: list[tuple[int, int]] = []
+    for word in _SENSITIVE.finditer(low):
+        lo, hi = max(0, word.start() - REACH), word.end() + REACH
+        if found and lo <= found[-1][1]:
+            found[-1] = (found[-1][0], hi)
+        else:
+            found.append((lo, hi))
+    return found
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Spans that the novelty method adds; none overlaps a base span."""
+    """Spans that the novelty method adds; none lies within base spans."""
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer would shift the offsets
         low = text.translate(_ASCII_LOWER)
     if not any(w in low for w in SENSITIVE):
         return []
-    taken = sorted((s, e) for s, e, _ in base)
+    taken: list[tuple[int, int]] = []
+    for s, e, _ in sorted(base):
+        if taken and s <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
     found: dict[int, int] = {}
     upto = at = 0
-    for word in _SENSITIVE.finditer(low):
-        end = word.end() + REACH
-        while upto < end:
-            near = CANDIDATE.search(text, max(word.end(), upto), end + MIN_CANDIDATE)  # bounded, so the scan stays linear
-            if near is None or near.start() >= end:
+    for lo, hi in _regions(low):
+        lo = max(lo, upto)
+        while lo > upto and CANDIDATE.match(text, lo - 1, lo):  # to the start of the run that the region cuts
+            lo -= 1
+        while lo < hi:
+            m = CANDIDATE.search(text, lo)
+            if m is None or m.start() >= hi:
                 break
-            m = CANDIDATE.match(text, near.start())
-            upto = m.end()
-            while at < len(taken) and taken[at][1] <= m.start():
+            upto = lo = m.end()
+            start, end = m.start(), m.end()
+            while start < end and text[start] in _TRIM:
+                start += 1
+            while start < end and text[end - 1] in _TRIM:
+                end -= 1
+            while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if at < len(taken) and taken[at][0] < m.end():
+            if start == end or (at < len(taken) and taken[at][0] <= start and end <= taken[at][1]):
                 continue
-            if mixed(m[0]) and novelty.is_novel(text[max(0, m.start() - CONTEXT) : m.start()], m[0], text[m.end() : m.end() + CONTEXT]):
-                found[m.start()] = m.end()
+            candidate = text[start:end]
+            if not plain(candidate) and novelty.is_novel(text[max(0, start - CONTEXT) : start], candidate, text[end : end + CONTEXT]):
+                found[start] = end
     return [(s, e, "novel") for s, e in found.items()]
 
 
@@ -161,15 +212,17 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text", red
 
     ``redacted_text`` is null where the text is. Map-only: no shuffle.
     """
-    cols = docs.columns if keep is None else keep
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema) + (", " if cols else "") + SCANNED + (", redacted_text string" if redact else "")
+    shield = common.Shield(docs)
+    cols = shield.columns if keep is None else [shield.at[c] for c in keep]
+    rows = shield.rows.select(*cols, F.col(shield.at[text]).alias("text"))
+    schema = common.schema_of(rows, cols, SCANNED + (", redacted_text string" if redact else ""))
     names = [*cols, "secrets", "n_assign", "n_access", "n_hex", "base_sha256", *(["redacted_text"] if redact else [])]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
-            texts = batch.column("__text").to_pylist()
+        for batch in (part for whole in batches for part in common.text_chunks(whole)):
+            texts = batch.column("text").to_pylist()
             found = [all_spans(t or "", novelty) for t in texts]
             made = [pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in every] for _, every in found], span_type)]
             made += [pa.array([sum(k == kind for _, _, k in base) for base, _ in found], pa.int64()) for kind in KINDS[:3]]
@@ -178,7 +231,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text", red
                 made.append(pa.array([None if t is None else redacted(t, every) if every else t for t, (_, every) in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), *made], names=names)
 
-    return docs.select(*cols, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return shield.back(rows.mapInArrow(run, schema), keep)
 
 
 def spans_string() -> F.Column:

@@ -14,7 +14,8 @@ Parity: every distinct chunk is also encoded by the sentencepiece library, and
 decoded by both; a text has parity where all its chunks agree.
 
 Defined results: a null text is treated as empty; an empty text has no ids and
-decodes to itself. Rows are independent: repeated rows get equal results.
+decodes to itself. Rows are independent: repeated rows get equal results. Extra
+columns pass through; one that has the name of an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -31,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import common
+
 MARK = "▁"
 #: Where the public tokenizers are; a parameter of every operator that uses them.
 TOKENIZERS = "/opt/tokenizers"
-CACHE_CHUNKS = 400_000
+#: Distinct chunks that a task keeps (about 60 MB); they go when it ends.
+CACHE_CHUNKS = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A run of spaces (or of the marker, which the model takes for one) and what follows it; those at the end stay with the last chunk.
 _CHUNKS = re.compile(r"[ \u2581]*[^ \u2581]+(?:[ \u2581]+\Z)?|\A[ \u2581]+\Z")
@@ -250,7 +254,7 @@ _CODECS: dict[tuple[bytes, bool], Codec] = {}
 
 
 def codec(raw: bytes, verify: bool = True) -> Codec:
-    """One codec for each model and Python worker; workers outlive tasks, and so does the cache."""
+    """One codec for each model and Python worker, which outlives tasks; each task clears the cache."""
     key = (hashlib.sha256(raw).digest(), verify)
     if key not in _CODECS:
         _CODECS[key] = Codec(raw, verify)
@@ -286,14 +290,16 @@ def encode(docs: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model
     has the marker itself, which decodes to a space.
     """
     raw = read_model(model_path)
-    cols = docs.columns if keep is None else keep
-    carried = docs.select(*cols, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema) + (", " if cols else "") + ENCODED
+    shield = common.Shield(docs)
+    cols = shield.columns if keep is None else [shield.at[c] for c in keep]
+    carried = shield.rows.select(*cols, F.coalesce(F.col(shield.at[text]), F.lit("")).alias("text"))
+    schema = common.schema_of(carried, cols, ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(raw)
+        c.cache.clear()
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column("text").to_pylist()
             for lo, hi in text_slices(texts):
                 parts, known = c.learn(texts[lo:hi])
                 rows = [[known[x] for x in p] for p in parts]
@@ -306,25 +312,28 @@ def encode(docs: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model
                     pa.array([all([x.text_back for x in r]) and MARK not in t for r, t in zip(rows, texts[lo:hi], strict=True)], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), *made], names=[*cols, "ids", "n_tokens", "n_byte_tokens", "parity", "round_trip"])
+        c.cache.clear()
 
-    return carried.mapInArrow(run, schema)
+    return shield.back(carried.mapInArrow(run, schema), keep)
 
 
 def decode(encoded: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model", keep: list[str] | None = None) -> DataFrame:
     """Adds the column ``decoded``: the text of the binary column ``ids``; null ids give null."""
     raw = read_model(model_path)
-    cols = [c for c in encoded.columns if c != "ids"] if keep is None else keep
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*cols).schema) + (", " if cols else "") + "decoded string"
+    shield = common.Shield(encoded)
+    cols = [shield.at[c] for c in (encoded.columns if keep is None else keep) if c != "ids"]
+    carried = shield.rows.select(*cols, F.col(shield.at["ids"]).alias("ids"))
+    schema = common.schema_of(carried, cols, "decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = codec(raw, verify=False).tok
         for batch in batches:
-            ids = batch.column("__ids").to_pylist()
+            ids = batch.column("ids").to_pylist()
             texts = iter(tok.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids if x is not None], skip_special_tokens=False))
             made = pa.array([None if x is None else next(texts) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), made], names=[*cols, "decoded"])
 
-    return encoded.select(*cols, F.col("ids").alias("__ids")).mapInArrow(run, schema)
+    return shield.back(carried.mapInArrow(run, schema), [c for c in encoded.columns if c != "ids"] if keep is None else keep)
 
 
 def describe(model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> str:

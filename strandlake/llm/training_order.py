@@ -1,11 +1,13 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride shards.
 
-1. *Tokenise.* Every text becomes token ids (16 bits, a byte-level vocabulary) and
-   an end mark. Each task numbers its own tokens; the table is written once, and
-   the tasks' totals then give every token a global position.
+1. *Number.* Texts are counted in tokens (16-bit ids of a byte-level vocabulary, and an
+   end mark). A run of rows that a task reads gives one count; the runs' sums, in the
+   order of files and of rows in them, give every token a global position. So the
+   order depends on the stored table and the key alone, not on how Spark splits it.
 2. *Cut.* Positions are cut into sequences of ``length`` tokens. A document's
    tokens are sent as pieces, one for each sequence that it touches, so a text of
-   any length is spread over tasks.
+   any length is spread over tasks. Texts are tokenised twice, as storing ids between
+   the passes would take more disk than the shards themselves.
 3. *Permute.* A Feistel network keyed by ``key`` permutes the sequence numbers; its
    domain is the least even power of two above their count, and a number that
    falls outside walks the cycle until it is inside. So every sequence gets a slot
@@ -16,8 +18,9 @@
 
 Defined results: null and empty texts have no tokens and no end mark. The last
 sequence is filled with the end mark. Sequence numbers follow the order in which
-the table is stored. Repeated rows are separate documents. An empty table gives
-no sequences.
+the table is stored; rows that are no stored table are written first. Repeated rows
+are separate documents. Extra columns are ignored, whatever their names. An empty
+table gives no sequences.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import common
@@ -42,7 +45,8 @@ LENGTH = 2048
 SHARD_RECORDS = 4096
 END_MARK = 50256
 ROUNDS = 6
-CACHE = 400_000
+#: Distinct words that a task keeps; they go when it ends.
+CACHE = 150_000
 _ODD_SPACE = re.compile(r"\s ")
 
 
@@ -87,32 +91,55 @@ def _cache(ranks: bytes) -> WordCache:
     return _WORDS[key]
 
 
-def tokenised(docs: DataFrame, ranks_path: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", end_mark: int = END_MARK) -> DataFrame:
-    """(task, start, n, ids): each document's ids and where they start in its task's; written in the shared folder."""
-    ranks = read_model(ranks_path)
-    mark = end_mark.to_bytes(2, "little")
+def in_order(docs: DataFrame) -> DataFrame:
+    """(file, row, text): every row with its place in the stored table."""
+    place = lambda df: df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "text")
+    try:
+        return place(docs)
+    except AnalysisException:  # no stored table, or one whose format does not number rows
+        return place(common.written(common.only(docs, "text"), "texts"))
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch], ranks: bytes, mark: bytes) -> Iterator[tuple[list[str], list[int], list[bytes]]]:
+    """Files, rows and ids of each slice of texts."""
+    encode = _cache(ranks)
+    encode.known.clear()
+    for batch in batches:
+        files, rows, texts = (batch.column(c).to_pylist() for c in ("file", "row", "text"))
+        for lo, hi in text_slices([t or "" for t in texts], 4 << 20):
+            yield files[lo:hi], rows[lo:hi], [encode(t) + mark if t else b"" for t in texts[lo:hi]]
+    encode.known.clear()
+
+
+def _runs(slices: Iterator[tuple[list[str], list[int], list[bytes]]]) -> Iterator[tuple[str, int, bool, bytes]]:
+    """(file, row, whether a run of rows begins, ids) of each text."""
+    last: tuple[str, int] | None = None
+    for files, rows, ids in slices:
+        for file, row, own in zip(files, rows, ids, strict=True):
+            yield file, row, last != (file, row - 1), own
+            last = file, row
+
+
+def run_starts(rows: DataFrame, ranks: bytes, mark: bytes) -> tuple[dict[tuple[str, int], int], int]:
+    """The position of the first token of each run of rows, by its file and first row; and the total. A row for each split reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, start, encode = TaskContext.get().partitionId(), 0, _cache(ranks)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts, 4 << 20):
-                ids = [encode(t) + mark for t in texts[lo:hi]]
-                sizes = [len(x) // 2 for x in ids]
-                starts = list(accumulate(sizes, initial=start))
-                start = starts.pop()
-                yield pa.RecordBatch.from_arrays([pa.array([task] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["task", "start", "n", "ids"])
+        found: list[list] = []
+        for file, row, begins, ids in _runs(_tokenised(batches, ranks, mark)):
+            if begins:
+                found.append([file, row, 0])
+            found[-1][2] += len(ids) // 2
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "row", "n"])
 
-    rows = docs.select("text").where(F.length("text") > 0)
-    return common.written(rows.mapInArrow(run, "task int, start long, n long, ids binary"), "tokens")
+    counted = sorted(rows.mapInArrow(run, "file string, row long, n long").collect(), key=lambda r: (r.file, r.row))
+    ends = list(accumulate((r.n for r in counted), initial=0))
+    return {(r.file, r.row): at for r, at in zip(counted, ends, strict=False)}, ends[-1]
 
 
 def permuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
     """A keyed permutation of [0, n): a Feistel network over the least even power of two, cycle-walked until inside."""
-    half = max(1, ((n - 1).bit_length() + 1) // 2)
-    shift, mask = np.uint64(half), np.uint64((1 << half) - 1)
-    with np.errstate(over="ignore"):
-        keys = common.mix(np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(key % 2**64) * np.uint64(0x9E3779B97F4A7C15))
+    half, shift, mask, keys = _network(n, key, rounds)
 
     def network(v: np.ndarray) -> np.ndarray:
         left, right = v >> shift, v & mask
@@ -120,6 +147,17 @@ def permuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarra
             left, right = right, left ^ (common.mix(right + k) & mask)
         return (left << shift) | right
 
+    return _walked(x, n, network)
+
+
+def _network(n: int, key: int, rounds: int) -> tuple[int, np.uint64, np.uint64, np.ndarray]:
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    with np.errstate(over="ignore"):
+        keys = common.mix(np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(key % 2**64) * np.uint64(0x9E3779B97F4A7C15))
+    return half, np.uint64(half), np.uint64((1 << half) - 1), keys
+
+
+def _walked(x: np.ndarray, n: int, network: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = network(np.asarray(x, np.uint64))
         while len(outside := np.flatnonzero(out >= np.uint64(n))):
@@ -127,43 +165,63 @@ def permuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarra
     return out.astype(np.int64)
 
 
-def task_starts(tokens: DataFrame) -> tuple[dict[int, int], int]:
-    """The global position at which each writing task's tokens start, and the total: one row per task reaches the driver."""
-    rows = tokens.groupBy("task").agg(F.sum("n").alias("n")).orderBy("task").collect()
-    ends = list(accumulate((r.n for r in rows), initial=0))
-    return {r.task: at for r, at in zip(rows, ends, strict=False)}, ends[-1]
+def unpermuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The inverse of ``permuted``: the rounds backwards, walking the cycle back until inside."""
+    half, shift, mask, keys = _network(n, key, rounds)
 
+    def network(v: np.ndarray) -> np.ndarray:
+        left, right = v >> shift, v & mask
+        for k in keys[::-1]:
+            left, right = right ^ (common.mix(left + k) & mask), left
+        return (left << shift) | right
+
+    return _walked(x, n, network)
 
-def pieces(tokens: DataFrame, length: int, key: int) -> tuple[DataFrame, int]:
-    """(slot, seq, at, ids): parts of sequences with their offset in tokens; and the number of sequences."""
-    bases, total = task_starts(tokens)
+
+def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) -> tuple[DataFrame, int, int]:
+    """(slot, seq, at, ids): parts of sequences with their offset in tokens; and the numbers of sequences and tokens."""
+    starts, total = run_starts(rows, ranks, mark)
     n = -(-total // length)
+    shared = rows.sparkSession.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seqs, ats, parts = [], [], []
-            for task, start, ids in zip(*(batch.column(c).to_pylist() for c in ("task", "start", "ids")), strict=True):
-                position, used, size = bases[task] + start, 0, len(ids) // 2
-                while used < size:
-                    at = position % length
-                    take = min(size - used, length - at)
-                    seqs.append(position // length)
-                    ats.append(at)
-                    parts.append(ids[2 * used : 2 * (used + take)])
-                    position, used = position + take, used + take
+        bases, position = shared.value, 0
+        seqs, ats, parts, size = [], [], [], 0
+
+        def flushed() -> pa.RecordBatch:
             seq = np.array(seqs, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(permuted(seq, n, key)), pa.array(seq), pa.array(ats, pa.int32()), pa.array(parts, pa.binary())], names=["slot", "seq", "at", "ids"])
+            batch = pa.RecordBatch.from_arrays([pa.array(permuted(seq, n, key)), pa.array(seq), pa.array(ats, pa.int32()), pa.array(parts, pa.binary())], names=["slot", "seq", "at", "ids"])
+            for x in (seqs, ats, parts):
+                x.clear()
+            return batch
 
-    return tokens.select("task", "start", "ids").mapInArrow(run, "slot long, seq long, at int, ids binary"), n
+        for file, row, begins, ids in _runs(_tokenised(batches, ranks, mark)):
+            if begins:
+                position = bases[file, row]
+            used, size = 0, size + len(ids)
+            while used < len(ids) // 2:
+                at = position % length
+                take = min(len(ids) // 2 - used, length - at)
+                seqs.append(position // length)
+                ats.append(at)
+                parts.append(ids[2 * used : 2 * (used + take)])
+                position, used = position + take, used + take
+            if size > 1 << 20:
+                yield flushed()
+                size = 0
+        if seqs:
+            yield flushed()
 
+    return rows.mapInArrow(run, "slot long, seq long, at int, ids binary"), n, total
 
-def sequences(docs: DataFrame, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = 2026, ranks_path: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", end_mark: int = END_MARK) -> tuple[DataFrame, int]:
-    """(shard, slot, seq, n_tokens, ids) of every sequence, partitioned by shard and sorted by slot; and their number.
+
+def sequences(docs: DataFrame, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = 2026, ranks_path: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", end_mark: int = END_MARK) -> tuple[DataFrame, int, int]:
+    """(shard, slot, seq, n_tokens, ids) of every sequence, partitioned by shard and sorted by slot; and the numbers of sequences and tokens.
 
     ``ids`` has ``length`` little-endian 16-bit numbers. Shard s is partition s. The pieces of a
     sequence are joined as they stream by, so a task holds one sequence at a time.
     """
-    parts, n = pieces(tokenised(docs, ranks_path, end_mark), length, key)
+    parts, n, total = pieces(in_order(docs), length, key, read_model(ranks_path), end_mark.to_bytes(2, "little"))
     shards = max(1, -(-n // shard_records))
     placed = parts.withColumn("shard", F.floor(F.col("slot") / F.lit(shard_records)).cast("int"))
     ordered = placed.repartitionById(shards, "shard").sortWithinPartitions("slot", "at")
@@ -198,16 +256,39 @@ def sequences(docs: DataFrame, length: int = LENGTH, shard_records: int = SHARD_
         if out:
             yield flushed()
 
-    return ordered.mapInArrow(run, "shard int, slot long, seq long, n_tokens int, ids binary"), n
+    return ordered.mapInArrow(run, "shard int, slot long, seq long, n_tokens int, ids binary"), n, total
 
 
-def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = 2026, **options) -> DataFrame:
-    """Writes the shards to a folder that the cluster shares and returns (shard, first_slot, n_records).
+def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = 2026, **options) -> tuple[DataFrame, int]:
+    """Writes the shards to a folder that the cluster shares; (shard, first_slot, n_records), and the number of tokens.
 
     Task s writes the file part-s, its slots in order; the writer commits a task's file once, whichever
     executor ends it.
     """
-    rows, n = sequences(docs, length, shard_records, key, **options)
+    rows, n, total = sequences(docs, length, shard_records, key, **options)
     rows.select(F.col("ids").cast("string").alias("value")).write.mode("errorifexists").option("lineSep", "\n").text(path)
     shard = docs.sparkSession.range(-(-n // shard_records)).select(F.col("id").cast("int").alias("shard"))
-    return shard.withColumn("first_slot", F.col("shard").cast("long") * shard_records).withColumn("n_records", F.least(F.lit(shard_records), F.lit(n) - F.col("first_slot")).cast("long"))
+    return shard.withColumn("first_slot", F.col("shard").cast("long") * shard_records).withColumn("n_records", F.least(F.lit(shard_records), F.lit(n) - F.col("first_slot")).cast("long")), total
+
+
+def read_shards(spark: SparkSession, path: str, total: int, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = 2026) -> DataFrame:
+    """(shard, record, slot, seq, n_tokens, ids) of every record of the written shards, cut at their stride.
+
+    ``total`` is the number of tokens; the last sequence has what is left of it. A shard is read whole by one task.
+    """
+    n, stride = -(-total // length), 2 * length + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, raw in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                raw = raw.as_buffer()
+                record = np.arange(raw.size // stride, dtype=np.int64)
+                slot = shard * np.int64(shard_records) + record
+                seq = unpermuted(slot, n, key)
+                tokens = np.where(seq == n - 1, total - length * (n - 1), length)
+                ids = pa.array([raw.slice(int(i) * stride, stride - 1).to_pybytes() for i in record], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(record), shard, np.int32)), pa.array(record), pa.array(slot), pa.array(seq), pa.array(tokens.astype(np.int32)), ids], names=["shard", "record", "slot", "seq", "n_tokens", "ids"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    rows = files.where("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    return rows.mapInArrow(run, "shard int, record long, slot long, seq long, n_tokens int, ids binary")

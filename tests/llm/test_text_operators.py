@@ -286,6 +286,9 @@ def test_decontamination(spark, edge, empty):
     rows = [(1, f"{noise} {item} {noise}"), (2, noise), (3, f"{noise}. {swapped} {noise}"), (4, other), (5, other[: len(other) // 4]), (6, f"{noise}\ntiny one here {noise}")]
     found = {(r.doc_id, r.item_id): r.consistency for r in decontaminate.leaks(docs_of(spark, [*rows, *rows[:1]]).unionByName(edge), benchmark).collect()}
     assert set(found) == {(1, 1), (3, 1), (4, 2), (6, 3)} and found[3, 1] == 1.0
+    cased = [(20, f"{noise} {item.upper()} {noise}"), (21, f"{noise} {other.title()} {noise}"), (22, f"{noise} " + " ".join(x for i, x in enumerate(other.split()) if i != 14) + f" {noise}"), (23, f"{noise} {item.replace('Anna', 'Anna Maria Lee')} {noise}"), (24, f"{noise} {item.upper().replace('APPLES', 'X')}"), (25, " ".join(["Anna has 12 apples"] * 5000))]
+    hits = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, cased), benchmark).collect()}
+    assert hits == {(20, 1), (21, 2), (22, 2), (23, 1)}
     low = {r.doc_id: r.consistency for r in decontaminate.leaks(docs_of(spark, [(1, mixed)]), benchmark).collect()}
     assert low.get(1, 0) < 1.0
     kept = decontaminate.decontaminate(docs_of(spark, rows).unionByName(edge), benchmark)
@@ -372,6 +375,7 @@ def test_permutation():
         for key in (1, 2**70 + 3):
             got = training_order.permuted(np.arange(n), n, key)
             assert sorted(got.tolist()) == list(range(n))
+            assert training_order.unpermuted(got, n, key).tolist() == list(range(n))
     assert (training_order.permuted(np.arange(1000), 1000, 1) != training_order.permuted(np.arange(1000), 1000, 2)).any()
 
 
@@ -384,15 +388,27 @@ def test_training_order(spark, edge, empty):
     texts = [" ".join(words(rng, rng.randint(1, 60))) for _ in range(50)] + ["a  b   c\n d", " lead", "tail ", "x\n\n y"]
     docs = docs_of(spark, list(enumerate(texts))).unionByName(edge)
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/out"
-    shards = training_order.materialise(docs, path, length=16, shard_records=8, key=5).orderBy("shard").collect()
+    docs = common.written(docs, "docs")  # its order is fixed now
+    shards, total = training_order.materialise(docs, path, length=16, shard_records=8, key=5)
+    shards = shards.orderBy("shard").collect()
     files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
     assert len(files) == len(shards)
     raw = b"".join(open(f"{path}/{f}", "rb").read() for f in files)
     stride = 2 * 16 + 1
     n = sum(s.n_records for s in shards)
     assert len(raw) == n * stride
-    rows, m = training_order.sequences(docs, 16, 8, 5)
+    rows, m, _ = training_order.sequences(docs, 16, 8, 5)
     by_slot = {r.slot: r for r in rows.collect()}
+    back = {r.slot: r for r in training_order.read_shards(spark, path, total, 16, 8, 5).collect()}
+    assert {s: (r.shard, r.seq, r.n_tokens, bytes(r.ids)) for s, r in back.items()} == {s: (r.shard, r.seq, r.n_tokens, bytes(r.ids)) for s, r in by_slot.items()}
+    assert all(r.slot == 8 * r.shard + r.record for r in back.values())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # other splits, the same order
+    try:
+        again = training_order.sequences(spark.read.parquet(docs.inputFiles()[0].rsplit("/", 1)[0]), 16, 8, 5)[0].collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.slot: bytes(r.ids) for r in again} == {s: bytes(r.ids) for s, r in by_slot.items()}
+    assert training_order.sequences(docs_of(spark, [(1, "long " * 40_000)]), 16, 8, 5)[1] == -(-40_001 // 16)
     assert m == n and sorted(by_slot) == list(range(n)) and sorted(r.seq for r in by_slot.values()) == list(range(n))
     assert sorted(raw[i * stride : i * stride + 32] for i in range(n)) == sorted(bytes(r.ids) for r in by_slot.values())
     cache = training_order._cache(training_order.read_model(f"{training_order.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
