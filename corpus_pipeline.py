@@ -14,21 +14,11 @@ from pyspark.sql import functions as F
 from strandlake.llm import common, decontaminate, near_dedup, quality_rules, secret_scan, sentencepiece_codec
 
 
-def _shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """The rows under column names that no operator uses, and the names by the original ones."""
-    names = {c: f"doc_column_{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), names
-
-
-def _restored(rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    return rows.select(*(F.col(own).alias(c) for c, own in names.items()))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the word rules or the tokeniser-fertility bands reject."""
-    rows, names = _shielded(docs)
-    judged = quality_rules.quality_rules(rows, list(names.values()), names["text"], names["lang"])
-    return _restored(judged.where("kept"), names)
+    shield = common.Shield(docs)
+    judged = quality_rules.quality_rules(shield.rows, None, shield.at["text"], shield.at["lang"])
+    return shield.back(judged.where("kept"), made=[])
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +33,18 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; no document is dropped. ``n_chars`` follows the text."""
-    rows, names = _shielded(docs)
-    found = secret_scan.scan(rows, list(names.values()), names["text"], redact=True)
-    out = found.withColumn(names["text"], F.col("redacted_text"))
-    if "n_chars" in names:
-        out = out.withColumn(names["n_chars"], F.when(F.size("secrets") > 0, F.length("redacted_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names["n_chars"])))
-    return _restored(out, names)
+    shield = common.Shield(docs)
+    found = secret_scan.scan(shield.rows, None, shield.at["text"], redact=True)
+    out = found.withColumn(shield.at["text"], F.col("redacted_text"))
+    if "n_chars" in shield.at:
+        n = shield.at["n_chars"]
+        out = out.withColumn(n, F.when(F.size("secrets") > 0, F.length("redacted_text").cast(found.schema[n].dataType)).otherwise(F.col(n)))
+    return shield.back(out, made=[])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, verified against the sentencepiece library and by decoding."""
-    return sentencepiece_codec.encode(docs.select("doc_id", "text"), keep=["doc_id"]).select("doc_id", "n_tokens", "n_byte_tokens", "ids", "parity", "round_trip")
+    return sentencepiece_codec.encode(docs, keep=["doc_id"]).select("doc_id", "n_tokens", "n_byte_tokens", "ids", "parity", "round_trip")
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("decontamination", benchmark), ("secret_scan", secrets), ("sentencepiece", encode)]
