@@ -7,20 +7,23 @@ the hash of every word without a Python loop over words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multipliers; any odd number is invertible modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 2 << 20
+_CHUNK = 512 << 10
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 
@@ -109,6 +112,12 @@ class Shield:
         return out.select(*(F.col(own).alias(c) for c, own in pairs if c.lower() not in taken), *made)
 
 
+def with_text(rows: DataFrame, columns: list[str], text: str, *more: Column) -> tuple[DataFrame, str]:
+    """The columns, and the text column beside them only where it is not among them, so that texts are sent to Python once; its name."""
+    name = text if text in columns else "text"
+    return rows.select(*columns, *([] if text in columns else [F.col(text).alias("text")]), *more), name
+
+
 def schema_of(df: DataFrame, columns: list[str], made: str) -> str:
     """The schema of a task's output: some of the table's columns, then those that it makes."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema), made])
@@ -118,21 +127,35 @@ def keyed_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, total:
     """Rows joined with a table that has one row a key, and in ``n`` how many rows have it, of ``total`` in all.
 
     Keys with a share of at least 1 / HOT_KEYS are at most HOT_KEYS, so these alone are broadcast and their rows stay where
-    they are; all others are joined by a shuffle in which no key has more than that share.
+    they are; all others are joined by a shuffle in which no key has more than that share. The table is read twice.
     """
-    hot = table.where(F.col(n) * HOT_KEYS >= F.lit(total))
-    cold = table.where(F.col(n) * HOT_KEYS < F.lit(total))
-    kept = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
-    return rows.join(F.broadcast(hot), on).select(*kept.columns).unionByName(kept)
+    own = F.xxhash64(*on)
+    hot = [r.h for r in table.where(F.col(n) * HOT_KEYS >= F.lit(total)).select(own.alias("h")).collect()]  # at most HOT_KEYS numbers
+    if not hot:
+        return rows.join(table, on, how)
+    is_hot = own.isin(hot)
+    cold = rows.where(~is_hot).join(table.where(~is_hot), on, how)
+    return rows.where(is_hot).join(F.broadcast(table.where(is_hot)), on).select(*cold.columns).unionByName(cold)
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers outlive tasks, and executors have several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_TOOL: list[tuple] = []
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` has not got."""
-    taken = {c.lower() for c in df.columns}
-    name = f"__{stem}"
-    while name.lower() in taken:
-        name += "_"
-    return name
+def tool(key: tuple | None, make: Callable[[], object] = lambda: None) -> object:
+    """The tool of this key in this Python worker. Workers outlive tasks, so one keeps the tool that it used last, and no other:
+    models and caches of several operators together would fill an executor's memory. Without a key, it keeps none."""
+    if not _TOOL or _TOOL[0][0] != key:
+        _TOOL.clear()
+        release()
+        _TOOL.append((key, make()))
+    return _TOOL[0][1]
 
 
 _POW = np.ones(1, U64)
@@ -214,10 +237,8 @@ def split_words(texts: pa.Array) -> Words:
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = _CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each, so that scratch arrays stay small."""
-    sizes = batch.column(column).cast(pa.large_string()).fill_null("")
-    if not len(sizes):
-        return
-    _, offsets = raw_bytes(sizes)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
         upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)

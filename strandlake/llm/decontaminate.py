@@ -216,6 +216,7 @@ def doc_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tool(None)
         mask = np.uint64((1 << BITMAP_BITS) - 1)
         table = shared.value
         for batch in batches:

@@ -48,6 +48,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 DF_BITS = 18
+#: Bits of a shingle's hash, and the most texts whose numbers fit beside it.
+SHINGLE_BITS, MOST_TEXTS = 52, 4095
 #: Augmented IDF: a shingle weighs between 1 - IDF_SHARE (in every document) and 1 (in hardly any). An IDF without
 #: that floor would let the few words that differ outweigh what thousands of near copies share.
 IDF_SHARE = 0.5
@@ -67,23 +69,32 @@ def _lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts.fill_null(""))
 
 
-def weighted_shingles(texts: pa.Array, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles sorted within each text, their weights, and the offsets of each text's run."""
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, int]:
+    """Text number (upper bits) and shingle (lower ``SHINGLE_BITS``) of every shingle, sorted; and the number of texts, under 4096."""
     words = common.split_words(_lower(texts))
     every, first = common.shingles(words, words.hashes(), SHINGLE)
     n = len(first) - 1
-    doc = np.repeat(np.arange(n), np.diff(first))
-    order = np.lexsort((every, doc))
-    e, d = every[order], doc[order]
-    new = np.ones(len(e), bool)
-    new[1:] = (e[1:] != e[:-1]) | (d[1:] != d[:-1])
-    at = np.flatnonzero(new)
-    tf = np.diff(np.append(at, len(e)))
-    e, d = e[at], d[at]
+    with np.errstate(over="ignore"):
+        key = (np.repeat(np.arange(n, dtype=np.uint64), np.diff(first)) << common.U64(SHINGLE_BITS)) | (every >> common.U64(64 - SHINGLE_BITS))
+    key.sort()
+    return key, n
+
+
+def weighted_shingles(texts: pa.Array, idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles sorted within each text, their weights, and the offsets of each text's run."""
+    if len(texts) > MOST_TEXTS:
+        parts = [weighted_shingles(texts.slice(at, MOST_TEXTS), idf) for at in range(0, len(texts), MOST_TEXTS)]
+        e, weight, first = (np.concatenate(x) for x in zip(*((e, w, np.diff(f)) for e, w, f in parts), strict=True))
+        return e, weight, np.concatenate([[0], np.cumsum(first)])
+    key, n = _numbered(texts)
+    at = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+    tf = np.diff(np.append(at, len(key)))
+    key = key[at]
+    e = key & common.U64((1 << SHINGLE_BITS) - 1)
     weight = 1 + np.log(tf)
     if idf is not None:
-        weight = weight * idf[(e >> common.U64(64 - DF_BITS)).astype(np.int64)]
-    return e, weight, np.searchsorted(d, np.arange(n + 1))
+        weight = weight * idf[(e >> common.U64(SHINGLE_BITS - DF_BITS)).astype(np.int64)]
+    return e, weight, np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << common.U64(SHINGLE_BITS))
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -91,13 +102,15 @@ def document_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
     buckets = 1 << DF_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tool(None)
         total = np.zeros(buckets + _WIDTH, np.int64)
         for batch in batches:
             for part in common.text_chunks(batch):
-                e, _, first = weighted_shingles(part.column("text"))
-                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-                pairs = np.unique(doc * np.int64(buckets) + (e >> common.U64(64 - DF_BITS)).astype(np.int64))
-                total[:buckets] += np.bincount(pairs % buckets, minlength=buckets)
+                for at in range(0, part.num_rows, MOST_TEXTS):
+                    key, _ = _numbered(part.column("text").slice(at, MOST_TEXTS))
+                    pairs = key >> common.U64(SHINGLE_BITS - DF_BITS)  # sorted, as the keys are
+                    pairs = pairs[np.diff(pairs, prepend=~pairs[:1]) != 0]
+                    total[:buckets] += np.bincount((pairs & common.U64(buckets - 1)).astype(np.int64), minlength=buckets)
                 total[buckets] += part.num_rows
         if total.any():
             yield common.block_rows(total, _WIDTH)
@@ -168,6 +181,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, text: str = "text") -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tool(None)
         sampler, weights = Sampler(), shared.value
         seen: dict[bytes, bytes] = {}  # node to its words, weight and keys, as bytes
         row = np.dtype([("words", "<i8"), ("weight", "<f8"), ("keys", "<u8", (BANDS,))])
@@ -243,6 +257,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shared: Broadcast, threshold: f
     pivots = size.join(texts.withColumnRenamed("node", "pivot"), "pivot").select("pivot", salts, F.lit(0).alias("member"), F.col("pivot").alias("node"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tool(None)
         weights, pivot, own = shared.value, None, None
         for batch in batches:
             for part in common.text_chunks(batch, "text", 1 << 20):

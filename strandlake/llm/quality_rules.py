@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import common
-from strandlake.llm.sentencepiece_codec import TOKENIZERS, codec, read_model
+from strandlake.llm.sentencepiece_codec import TOKENIZERS, Codec, read_model
 
 #: The pattern by which the byte-level vocabularies split a text (fixed value).
 BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,8 +41,8 @@ LEAST_MARGIN = {"chars_per_token": 0.1, "chars_per_token_multi": 0.1, "byte_shar
 STEADY_TOKENS = 1000
 MIN_TOKENS = 60
 MIN_WORDS = 50
-#: Distinct words that a task keeps; they go when it ends.
-CACHE_WORDS = 150_000
+#: Distinct words that a worker keeps, the first that it meets (about 100 MB).
+CACHE_WORDS = 400_000
 
 
 class Fertility:
@@ -51,7 +51,7 @@ class Fertility:
     def __init__(self, piece_model: bytes, multi_ranks: bytes):
         import tiktoken
 
-        self.codec = codec(piece_model, verify=False)
+        self.codec = Codec(piece_model, verify=False)
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in multi_ranks.splitlines() if line)}
         self.multi = tiktoken.Encoding("multi", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.index: dict[str, int] = {}
@@ -82,12 +82,8 @@ class Fertility:
 
     def measures(self, texts: list[str]) -> dict[str, np.ndarray]:
         parts = [t.split() for t in texts]
-        known = self.index
+        known, n_known = self.index, len(self.index)
         missing = list({w for p in parts for w in p if w not in known})
-        if len(known) + len(missing) > CACHE_WORDS and known:
-            self.clear()
-            known = self.index
-            missing = list({w for p in parts for w in p})
         if missing:
             self.add(missing)
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -108,23 +104,28 @@ class Fertility:
         entropy = np.bincount(owner, -(count / own) * np.log2(count / own), len(parts))
         safe = np.maximum(tokens, 1)
         chars = total(self.n_chars[at])
-        return {
+        found = {
             "n_tokens": tokens.astype(np.int64),
             "chars_per_token": chars / safe,
             "chars_per_token_multi": chars / np.maximum(multi, 1),
             "byte_share": total(self.n_bytes[at]) / safe,
             "evenness": np.where(tokens > 1, entropy / np.log2(np.maximum(tokens, 2)), 0.0),
         }
+        if len(known) > CACHE_WORDS:
+            self.forget(missing, max(n_known, CACHE_WORDS))
+        return found
 
-
-_FERTILITY: dict[int, Fertility] = {}
+    def forget(self, added: list[str], size: int) -> None:
+        """Drop the words added last, down to ``size`` of all."""
+        for word in added[len(added) - (len(self.index) - size) :]:
+            del self.index[word]
+        self.n_chars, self.n_multi, self.n_bytes = (x[:size].copy() for x in (self.n_chars, self.n_multi, self.n_bytes))
+        self.first = self.first[: size + 1].copy()
+        self.ids = self.ids[: self.first[-1]].copy()
 
 
 def _fertility(piece_model: bytes, multi_ranks: bytes) -> Fertility:
-    key = hash((piece_model, multi_ranks))
-    if key not in _FERTILITY:
-        _FERTILITY[key] = Fertility(piece_model, multi_ranks)
-    return _FERTILITY[key]
+    return common.tool(("fertility", piece_model, multi_ranks), lambda: Fertility(piece_model, multi_ranks))
 
 
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -187,15 +188,15 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "l
     piece = read_model(f"{tokenizers}/piece_bpe_32k.model")
     multi = read_model(f"{tokenizers}/byte_bpe_multi_50k.tiktoken")
     lang_col = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text"), lang_col.alias("lang"))
+    rows, name = common.with_text(docs, keep, text, lang_col.alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _fertility(piece, multi)
-        tool.clear()
         for batch in batches:
-            for part in common.text_chunks(batch):
-                texts = part.column("text").to_pylist()
-                counts = base_counts(part.column("text"))
+            for part in common.text_chunks(batch, name):
+                column = part.column(name).fill_null("")
+                texts = column.to_pylist()
+                counts = base_counts(column)
                 counts["n_dup_lines"] = np.fromiter(map(dup_lines, texts), np.int64, len(texts))
                 counts |= tool.measures(texts)
                 counts["band_key"] = [
@@ -204,7 +205,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "l
                 ]
                 names = [x.split()[0] for x in MEASURED.split(", ")]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(counts[c]) for c in names)], names=[*keep, *names])
-        tool.clear()
+        common.release()
 
     return rows.mapInArrow(run, common.schema_of(rows, keep, MEASURED))
 

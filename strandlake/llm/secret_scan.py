@@ -214,15 +214,16 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text: str = "text", red
     """
     shield = common.Shield(docs)
     cols = shield.columns if keep is None else [shield.at[c] for c in keep]
-    rows = shield.rows.select(*cols, F.col(shield.at[text]).alias("text"))
+    rows, name = common.with_text(shield.rows, cols, shield.at[text])
     schema = common.schema_of(rows, cols, SCANNED + (", redacted_text string" if redact else ""))
     names = [*cols, "secrets", "n_assign", "n_access", "n_hex", "base_sha256", *(["redacted_text"] if redact else [])]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tool(None)
         novelty = Novelty()
-        for batch in (part for whole in batches for part in common.text_chunks(whole)):
-            texts = batch.column("text").to_pylist()
+        for batch in (part for whole in batches for part in common.text_chunks(whole, name)):
+            texts = batch.column(name).to_pylist()
             found = [all_spans(t or "", novelty) for t in texts]
             made = [pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in every] for _, every in found], span_type)]
             made += [pa.array([sum(k == kind for _, _, k in base) for base, _ in found], pa.int64()) for kind in KINDS[:3]]

@@ -20,7 +20,6 @@ columns pass through; one that has the name of an output column gives way to it.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -37,8 +36,8 @@ from strandlake.llm import common
 MARK = "▁"
 #: Where the public tokenizers are; a parameter of every operator that uses them.
 TOKENIZERS = "/opt/tokenizers"
-#: Distinct chunks that a task keeps (about 60 MB); they go when it ends.
-CACHE_CHUNKS = 150_000
+#: Distinct chunks that a worker keeps, the first that it meets (about 100 MB).
+CACHE_CHUNKS = 400_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A run of spaces (or of the marker, which the model takes for one) and what follows it; those at the end stay with the last chunk.
 _CHUNKS = re.compile(r"[ \u2581]*[^ \u2581]+(?:[ \u2581]+\Z)?|\A[ \u2581]+\Z")
@@ -175,7 +174,7 @@ def build_tokenizer(spec: Spec):
     return tok
 
 
-@dataclass
+@dataclass(slots=True)
 class Chunk:
     """What is kept of a distinct chunk: little-endian uint32 ids, how many, how many of bytes, and what held."""
 
@@ -250,15 +249,9 @@ class Both(dict):
         return self.then[key]
 
 
-_CODECS: dict[tuple[bytes, bool], Codec] = {}
-
-
 def codec(raw: bytes, verify: bool = True) -> Codec:
-    """One codec for each model and Python worker, which outlives tasks; each task clears the cache."""
-    key = (hashlib.sha256(raw).digest(), verify)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(raw, verify)
-    return _CODECS[key]
+    """One codec in a Python worker, which outlives tasks, and so does its cache."""
+    return common.tool(("codec", raw, verify), lambda: Codec(raw, verify))
 
 
 def read_model(path: str) -> bytes:
@@ -267,18 +260,6 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def text_slices(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Index ranges of texts with about ``limit`` characters each."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 ENCODED = "ids binary, n_tokens long, n_byte_tokens long, parity boolean, round_trip boolean"
 
 
@@ -292,27 +273,25 @@ def encode(docs: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model
     raw = read_model(model_path)
     shield = common.Shield(docs)
     cols = shield.columns if keep is None else [shield.at[c] for c in keep]
-    carried = shield.rows.select(*cols, F.coalesce(F.col(shield.at[text]), F.lit("")).alias("text"))
+    carried, name = common.with_text(shield.rows, cols, shield.at[text])
     schema = common.schema_of(carried, cols, ENCODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(raw)
-        c.cache.clear()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in text_slices(texts):
-                parts, known = c.learn(texts[lo:hi])
+            for part in common.text_chunks(batch, name):
+                texts = part.column(name).fill_null("").to_pylist()
+                parts, known = c.learn(texts)
                 rows = [[known[x] for x in p] for p in parts]
-                part = batch.slice(lo, hi - lo)
                 made = [
                     pa.array([b"".join([x.ids for x in r]) for r in rows], pa.binary()),
                     pa.array([sum([x.n for x in r]) for r in rows], pa.int64()),
                     pa.array([sum([x.n_bytes for x in r]) for r in rows], pa.int64()),
                     pa.array([all([x.parity for x in r]) for r in rows], pa.bool_()),
-                    pa.array([all([x.text_back for x in r]) and MARK not in t for r, t in zip(rows, texts[lo:hi], strict=True)], pa.bool_()),
+                    pa.array([all([x.text_back for x in r]) and MARK not in t for r, t in zip(rows, texts, strict=True)], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), *made], names=[*cols, "ids", "n_tokens", "n_byte_tokens", "parity", "round_trip"])
-        c.cache.clear()
+        common.release()
 
     return shield.back(carried.mapInArrow(run, schema), keep)
 

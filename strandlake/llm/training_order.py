@@ -26,7 +26,6 @@ table gives no sequences.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -39,14 +38,14 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import common
 from strandlake.llm.quality_rules import BPE_PATTERN
-from strandlake.llm.sentencepiece_codec import TOKENIZERS, read_model, text_slices
+from strandlake.llm.sentencepiece_codec import TOKENIZERS, read_model
 
 LENGTH = 2048
 SHARD_RECORDS = 4096
 END_MARK = 50256
 ROUNDS = 6
-#: Distinct words that a task keeps; they go when it ends.
-CACHE = 150_000
+#: Distinct words that a worker keeps, the first that it meets.
+CACHE = 400_000
 _ODD_SPACE = re.compile(r"\s ")
 
 
@@ -81,14 +80,8 @@ class WordCache:
         return b"".join(parts)
 
 
-_WORDS: dict[bytes, WordCache] = {}
-
-
 def _cache(ranks: bytes) -> WordCache:
-    key = hashlib.sha256(ranks).digest()
-    if key not in _WORDS:
-        _WORDS[key] = WordCache(ranks)
-    return _WORDS[key]
+    return common.tool(("words", ranks), lambda: WordCache(ranks))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -103,12 +96,10 @@ def in_order(docs: DataFrame) -> DataFrame:
 def _tokenised(batches: Iterator[pa.RecordBatch], ranks: bytes, mark: bytes) -> Iterator[tuple[list[str], list[int], list[bytes]]]:
     """Files, rows and ids of each slice of texts."""
     encode = _cache(ranks)
-    encode.known.clear()
     for batch in batches:
-        files, rows, texts = (batch.column(c).to_pylist() for c in ("file", "row", "text"))
-        for lo, hi in text_slices([t or "" for t in texts], 4 << 20):
-            yield files[lo:hi], rows[lo:hi], [encode(t) + mark if t else b"" for t in texts[lo:hi]]
-    encode.known.clear()
+        for part in common.text_chunks(batch):
+            files, rows, texts = (part.column(c).to_pylist() for c in ("file", "row", "text"))
+            yield files, rows, [encode(t) + mark if t else b"" for t in texts]
 
 
 def _runs(slices: Iterator[tuple[list[str], list[int], list[bytes]]]) -> Iterator[tuple[str, int, bool, bytes]]:
