@@ -59,6 +59,12 @@ top AS (SELECT * FROM cnt QUALIFY rank() OVER (PARTITION BY read_id, seg_off, is
 cand AS (SELECT * FROM top QUALIFY count(*) OVER (PARTITION BY read_id, seg_off, is_original) <= {P.C})"""
 
 
+SETS = f"""{DNA},
+w AS (SELECT ref_ord, substr(seq, ix + 1, 14) AS km FROM (SELECT ref_ord, seq, unnest(range(0, length(seq) - 13)) AS ix FROM dna WHERE length(seq) >= 14)),
+c AS (SELECT DISTINCT ref_ord, least(km, {_rc('km')}) AS km FROM w),
+sets AS (SELECT ref_ord, coalesce(list_sort(list(km) FILTER (km IS NOT NULL)), []) AS s FROM dna LEFT JOIN c USING (ref_ord) GROUP BY ref_ord)"""
+
+
 def _log(x: str) -> str:
     return f"ln({x})"
 
@@ -95,7 +101,14 @@ def sql() -> dict[str, str]:
             SELECT count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS n_bases, max(n) AS max_length, round(min(t / n), 6) AS min_mean_quality, round(sum(t) / sum(n), 6) AS mean_quality, max(low) AS max_low_bases, round(avg(low), 6) AS avg_low_bases, round(sum(err) / sum(n), 9) AS error_rate FROM p""",
         "kmer_profile": f"""WITH {DNA}, {share(4, 'dna')}, c AS (SELECT ref_ord, least({_code('km')}, {_code(_rc('km'))}) AS kmer, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY ALL)
             SELECT ref_ord, kmer, n, round(n / sum(n) OVER (PARTITION BY ref_ord), 9) AS share FROM c""",
-        "gapped_kmers": f"WITH {BUCKET}, g AS (SELECT ref_ord, seq, unnest(range(0, length(seq) - 5)) AS ix FROM b WHERE length(seq) >= 6) SELECT ref_ord, substr(seq, ix + 1, 1) || substr(seq, ix + 3, 2) || substr(seq, ix + 6, 1) AS gapped, count(*) AS n FROM g GROUP BY ALL",
+        "gapped_kmers": f"WITH {BUCKET}, g AS (SELECT bucket_id, seq, unnest(range(0, length(seq) - 5)) AS ix FROM b WHERE length(seq) >= 6) SELECT bucket_id, substr(seq, ix + 1, 1) || substr(seq, ix + 3, 2) || substr(seq, ix + 6, 1) AS gapped, count(*) AS n FROM g GROUP BY ALL",
+        "bucket_profile": f"""WITH {BUCKET}, k AS (SELECT bucket_id, substr(seq, ix + 1, 3) AS km, count(*) AS n FROM (SELECT bucket_id, seq, unnest(range(0, length(seq) - 2)) AS ix FROM b) GROUP BY ALL),
+            m AS (SELECT km, least({_code('km')}, {_code(_rc('km'))}) AS kmer FROM (SELECT DISTINCT km FROM k)), c AS (SELECT bucket_id, kmer, CAST(sum(n) AS BIGINT) AS n FROM k JOIN m USING (km) GROUP BY ALL)
+            SELECT bucket_id, kmer, n, round(n / sum(n) OVER (PARTITION BY bucket_id), 9) AS share FROM c""",
+        "contig_sets": f"WITH {SETS} SELECT ref_ord, min(ref_ord) OVER (PARTITION BY s) AS representative FROM sets",
+        "contig_jaccard": f"""WITH {SETS}, d AS (SELECT min(ref_ord) AS r, s FROM sets GROUP BY s), f AS (SELECT r, len(s) AS n, unnest(s) AS km FROM d WHERE len(s) > 0),
+            p AS (SELECT x.r AS a, y.r AS b, x.n + y.n AS n, count(*) AS shared FROM f x JOIN f y ON x.km = y.km AND x.r < y.r GROUP BY ALL)
+            SELECT a, b, shared, round(shared / (n - shared), 9) AS jaccard FROM p WHERE shared / (n - shared) >= 0.5""",
         "frequency_model": f"WITH {DNA}, {share(5, 'dna')} SELECT ref_ord, {_code('km')} AS kmer, round({_log('(n + 0.001) / (sum(n) OVER (PARTITION BY ref_ord) + 0.001 * 1024)')}, 6) AS logp FROM k",
         "markov_model": f"WITH {DNA}, {share(5, 'dna')} SELECT ref_ord, {_code('substr(km, 1, 4)')} AS prefix, {_code('substr(km, 5, 1)')} AS base, round({_log('(n + 0.001) / (sum(n) OVER (PARTITION BY ref_ord, substr(km, 1, 4)) + 0.004)')}, 6) AS logp FROM k",
     }

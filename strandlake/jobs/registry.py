@@ -192,7 +192,7 @@ def kmer_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gapped_kmers(spark: SparkSession, sf: str) -> DataFrame:
-    return models.gapped_counts(_buckets(spark, sf), "ref_ord", [0, 2, 3, 5])
+    return models.gapped_counts(_buckets(spark, sf), "bucket_id", [0, 2, 3, 5])
 
 
 def frequency_model(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,8 +214,27 @@ def classified_reads(spark: SparkSession, sf: str) -> DataFrame:
     return models.classify(model, models.kmers(reads, "read_id", P.q), "ref_ord", "read_id")
 
 
-def bucket_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return models.jaccard(_refs(spark, sf), "ref_ord", 14, 20)
+def contig_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of distinct k-mer sets with a similarity of half or more, by the least contig of each set."""
+    sets = stored(models.kmer_sets(_refs(spark, sf), "ref_ord", 14), "sets")
+    return models.jaccard(stored(models.representatives(sets, "ref_ord").select("ref_ord", "s"), "distinct"), "ref_ord", 0.5)
+
+
+def contig_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every contig with the least contig that has the same canonical k-mers."""
+    sets = models.kmer_sets(_refs(spark, sf), "ref_ord", 14)
+    return models.members(stored(sets, "sets"), "ref_ord")
+
+
+def locator_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the best locations lie from where the reads were cut."""
+    m = _located(spark, sf)
+    return analysis.locator_accuracy(locator.sam_rows(m["merged"], m["reads"], P), m["reads"].select("name", "ref_ord", "pos", "is_rev"))
+
+
+def bucket_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical 3-mers of every bucket."""
+    return models.canonical_profile(_buckets(spark, sf), "bucket_id", 3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -224,7 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             contigs, bucketize, bucket_ordinals, genome_stats, qgram_df, bucket_postings, frac_min_hash, distinguishability, simulated_reads, segments, good_kmers, locating_seeds, reverse_complement, candidate_buckets,
             candidate_levels, candidate_stats, candidate_histogram, mapping_recall, unmapped_reads, locations, best_locations, sam, sam_report, fastq_profile, kmer_profile, gapped_kmers, frequency_model,
-            frequency_model_spread, markov_model, classified_reads, bucket_jaccard,
+            frequency_model_spread, markov_model, classified_reads, contig_jaccard, contig_sets, locator_accuracy, bucket_profile,
         )
     }
 

@@ -45,7 +45,7 @@ def sam_report(sam: DataFrame, truth: DataFrame, tolerance: int = 5) -> DataFram
     """Accuracy of SAM rows against truth (qname, flag, rname, pos, is_random), one row.
 
     A row is usable if its read is known and it is mapped; acceptable if a truth of its read has its strand and
-    contig and lies within ``tolerance``. A read is unique without a second usable row. Two levels of aggregation,
+    contig and lies within ``tolerance``. ``mapped`` counts unique reads, random ones too, over the real reads. A read is unique without a second usable row. Two levels of aggregation,
     by read and then over all.
     """
     known = truth.groupBy("qname").agg(F.max(F.col("is_random").cast("int")).alias("is_random"), F.count(F.lit(1)).alias("n_truth"))
@@ -58,12 +58,25 @@ def sam_report(sam: DataFrame, truth: DataFrame, tolerance: int = 5) -> DataFram
     real = F.col("is_random") == 0
     once = (F.col("n_rows") == 1) & real
     sums = reads.agg(
-        F.count(F.when(real, 1)).alias("n_reads"), F.count(F.when(~real, 1)).alias("n_random"), F.sum("n_rows").alias("n_rows"), F.count(F.when(once, 1)).alias("n_unique"),
+        F.count(F.when(real, 1)).alias("n_reads"), F.count(F.when(~real, 1)).alias("n_random"), F.sum("n_rows").alias("n_rows"), F.count(F.when(once, 1)).alias("n_unique"), F.count(F.when(F.col("n_rows") == 1, 1)).alias("n_mapped"),
         F.count(F.when(once & (F.col("n_right") > 0), 1)).alias("n_unique_right"), F.count(F.when(real & (F.col("n_truth") == 1), 1)).alias("n_one_truth"),
         F.count(F.when(~real & (F.col("n_rows") > 0), 1)).alias("n_random_mapped"), F.sum("n_right").alias("n_right"),
     )
     ratio = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
-    return sums.select("n_reads", "n_rows", ratio("n_unique", "n_reads").alias("mapped"), ratio("n_unique_right", "n_one_truth").alias("sensitivity"), ratio("n_random_mapped", "n_random").alias("false_positive"), ratio("n_rows", "n_unique").alias("locations_per_read"), ratio("n_right", "n_rows").alias("precision"))
+    return sums.select("n_reads", "n_rows", ratio("n_mapped", "n_reads").alias("mapped"), ratio("n_unique_right", "n_one_truth").alias("sensitivity"), ratio("n_random_mapped", "n_random").alias("false_positive"), ratio("n_rows", "n_mapped").alias("locations_per_read"), ratio("n_right", "n_rows").alias("precision"))
+
+
+def locator_accuracy(sam: DataFrame, truth: DataFrame, almost: int = 5) -> DataFrame:
+    """One row over reads (name, ref_ord, pos, is_rev): located ones, with a location on the right contig and strand, exactly and
+    almost at the right place, and the mean distance of the nearest one."""
+    placed = sam.select(F.col("qname").alias("name"), F.col("rname").alias("ref_ord"), (F.col("flag").bitwiseAND(16) != 0).alias("is_rev"), F.col("pos").alias("at"))
+    some = placed.select("name").distinct().withColumn("located", F.lit(True))
+    near = placed.join(truth, ["name", "ref_ord", "is_rev"]).groupBy("name").agg(F.min(F.abs(F.col("at") - F.col("pos"))).alias("off"))
+    reads = truth.select("name").join(some, "name", "left").join(near, "name", "left")
+    return reads.agg(
+        F.count(F.lit(1)).alias("n_reads"), F.count("located").alias("n_located"), F.count("off").alias("n_right_contig"), F.count(F.when(F.col("off") == 0, 1)).alias("n_exact"),
+        F.count(F.when(F.col("off") <= almost, 1)).alias("n_almost"), F.round(F.avg("off"), 6).alias("mean_offset"),
+    )
 
 
 def uniqueness(answer: DataFrame, test: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ def bucketize(contigs: DataFrame, p: Params, extra: int = 0, keep_tail: bool = F
     slices = contigs.select("ref_ord", "seq", F.explode(S.positions(F.ceil(n / F.lit(p.B)))).alias("idx"))
     start = F.col("idx") * p.B
     piece = F.substring("seq", start + 1, F.lit(p.B + p.L + extra))
-    out = slices.select((F.col("ref_ord") * BUCKETS + F.col("idx")).alias("bucket_id"), "ref_ord", F.col("idx").cast("long").alias("idx"), start.cast("long").alias("ref_offset"), piece.alias("seq"))
+    in_reach = F.when(F.col("idx") < BUCKETS, F.col("ref_ord") * BUCKETS + F.col("idx")).otherwise(F.raise_error(F.lit(f"a contig has over {BUCKETS} buckets; take a larger B")))
+    out = slices.select(in_reach.cast("long").alias("bucket_id"), "ref_ord", F.col("idx").cast("long").alias("idx"), start.cast("long").alias("ref_offset"), piece.alias("seq"))
     return out if keep_tail else out.where(F.length("seq") > p.L)
 
 
@@ -38,7 +39,7 @@ def dense_ids(buckets: DataFrame, block: int = 4096) -> DataFrame:
 
 def with_qgrams(buckets: DataFrame, p: Params) -> DataFrame:
     """Adds ``qgrams``, the distinct indexed q-grams of each bucket: no shuffle, as a bucket is one row."""
-    codes = F.array_distinct(S.kmer_codes("seq", p.q))
+    codes = S.kmer_codes("seq", p.q, distinct=True)
     return buckets.withColumn("qgrams", F.filter(codes, lambda g: S.sampled(g, p.f)) if p.f < 1 else codes)
 
 

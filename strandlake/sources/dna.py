@@ -16,11 +16,10 @@ from strandlake.params import Params
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text); spread over all cores where the files have fewer splits, as what follows is CPU work on large rows."""
+def documents(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    """(doc_id, text); with ``spread`` dealt evenly to the shuffle partitions, as what follows is CPU work on rows of very uneven size."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.repartition("doc_id") if spread else docs
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:

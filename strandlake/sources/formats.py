@@ -49,10 +49,13 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sam(rows: DataFrame, refs: DataFrame, path: str) -> None:
-    """Lines of a SAM file, headers with the contigs' true lengths first; ``pos`` is written 1-based."""
-    header = refs.select(F.lit(0).alias("part"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "ref_id"), F.concat(F.lit("LN:"), F.length("seq"))).alias("value"))
-    body = rows.select(F.lit(1).alias("part"), F.concat_ws("\t", "qname", "flag", "rname", F.col("pos") + 1, "mapq", F.lit("*"), F.lit("*"), F.lit(0), F.lit(0), "seq", "qual").alias("value"))
-    header.unionByName(body).repartitionByRange("part").sortWithinPartitions("part").select("value").write.text(path)
+    """Lines of a SAM file, headers with the contigs' true lengths in its first file; ``pos`` is written 1-based.
+
+    Reads stay in their partitions, one file each; files in the order of their names are the whole.
+    """
+    header = refs.select(F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "ref_id"), F.concat(F.lit("LN:"), F.length("seq"))).alias("value"))
+    body = rows.select(F.concat_ws("\t", "qname", "flag", "rname", F.col("pos") + 1, "mapq", F.lit("*"), F.lit("*"), F.lit(0), F.lit(0), "seq", "qual").alias("value"))
+    header.coalesce(1).unionByName(body).write.text(path)
 
 
 def read_name(name) -> F.Column:

@@ -135,7 +135,7 @@ def test_report_denominators(spark):
     truth = spark.createDataFrame([("a", 0, 1, 100, False), ("b", 16, 1, 100, False), ("c", 0, 2, 5, False), ("z", 0, 0, 0, True)], "qname string, flag int, rname long, pos long, is_random boolean")
     sam = spark.createDataFrame([("a", 0, 1, 105), ("b", 16, 1, 106), ("b", 16, 1, 101), ("c", 4, 2, 5), ("z", 0, 1, 1), ("unknown", 0, 1, 1)], "qname string, flag int, rname long, pos long")
     r = analysis.sam_report(sam, truth).first()
-    assert (r.n_reads, r.n_rows, r.mapped, r.sensitivity, r.false_positive, r.locations_per_read, r.precision) == (3, 4, 0.333333, 0.333333, 1.0, 4.0, 0.5)
+    assert (r.n_reads, r.n_rows, r.mapped, r.sensitivity, r.false_positive, r.locations_per_read, r.precision) == (3, 4, 0.666667, 0.333333, 1.0, 2.0, 0.5)
     both = analysis.uniqueness(spark.createDataFrame([(1,), (2,), (2,)], "read_id long"), spark.createDataFrame([(1,), (2,), (3,)], "read_id long"))
     assert {tuple(x) for x in both.collect()} == {(True, True, 1), (False, True, 2)}
 
@@ -196,11 +196,42 @@ def test_classifier_finds_the_source(spark):
 
 
 def test_jaccard_against_brute_force(spark):
-    rows = [(1, "ACGTACGTTT"), (2, "ACGTACGTAA"), (3, "GGGGGGGGGG")]
-    got = {(r.a, r.b): r.jaccard for r in models.jaccard(spark.createDataFrame(rows, "ref_ord long, seq string"), "ref_ord", 3, 10).collect()}
-    canon = lambda s: min(s, s[::-1].translate(str.maketrans("ACGT", "TGCA")))
-    sets = {i: {canon(s[j : j + 3]) for j in range(len(s) - 2)} for i, s in rows}
-    assert got == {(1, 2): round(len(sets[1] & sets[2]) / len(sets[1] | sets[2]), 9)}
+    """All pairs of distinct sets, in groups of copies larger than any cap would allow."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(6)]
+    rows = [(i, texts[i % 6][: 60 - i // 12]) for i in range(120)] + [(200 + i, texts[0]) for i in range(40)] + [(300, "AC"), (301, "")]
+    code = lambda w: sum("ACGT".index(c) * 4 ** (len(w) - 1 - i) for i, c in enumerate(w))
+    other = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    sets = {i: frozenset(min(code(t[j : j + 5]), code(other(t[j : j + 5]))) for j in range(len(t) - 4)) for i, t in rows}
+    made = models.kmer_sets(spark.createDataFrame(rows, "ref_ord long, seq string"), "ref_ord", 5)
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    assert {r.ref_ord: r.representative for r in models.members(made, "ref_ord").collect()} == {i: least[s] for i, s in sets.items()}
+    distinct = models.representatives(made, "ref_ord")
+    for t in (0.3, 0.5, 0.9):
+        got = {(r.a, r.b): (r.shared, r.jaccard) for r in models.jaccard(distinct, "ref_ord", t).collect()}
+        want = {(a, b): (len(x & y), round(len(x & y) / len(x | y), 9)) for x, a in least.items() for y, b in least.items() if a < b and x and y and len(x & y) / len(x | y) >= t}
+        assert got == want
+
+
+def test_window_codes_of_odd_input():
+    import pyarrow as pa
+
+    from strandlake.functions import seq as S
+
+    got = S.window_codes(pa.array(["ACGT", None, "", "AC", "acNgta"]).slice(0), 3).to_pylist()
+    assert got == [[6, 27], None, [], [], [None, None, None, 44]]
+    assert S.window_codes(pa.array(["AAAAA", "ACGTACGT", "NN"]), 3, True).to_pylist() == [[0], [6, 27, 44, 49], []]
+
+
+def test_locator_accuracy(spark):
+    from strandlake.operators import analysis
+
+    sam = spark.createDataFrame([("a", 0, 1, 10), ("a", 0, 1, 17), ("b", 16, 2, 9), ("c", 0, 5, 1)], "qname string, flag int, rname long, pos long")
+    truth = spark.createDataFrame([("a", 1, 12, False), ("b", 2, 9, True), ("c", 4, 1, False), ("d", 1, 1, False)], "name string, ref_ord long, pos long, is_rev boolean")
+    assert tuple(analysis.locator_accuracy(sam, truth).first()) == (4, 3, 2, 1, 2, 1.0)
+
 
 
 def test_empty_inputs(spark):
