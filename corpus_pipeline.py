@@ -14,8 +14,17 @@ from pyspark.sql import functions as F
 from strandlake.llm import common, decontaminate, near_dedup, quality_rules, secret_scan, sentencepiece_codec
 
 
+#: Rows that Spark sends to Python at once. Its default of 10,000 makes batches of 30 MB and more of these texts, several in each task.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the word rules or the tokeniser-fertility bands reject."""
+    _small_batches(spark)
     shield = common.Shield(docs)
     judged = quality_rules.quality_rules(shield.rows, None, shield.at["text"], shield.at["lang"])
     return shield.back(judged.where("kept"), made=[])
@@ -23,16 +32,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates."""
+    _small_batches(spark)
     return near_dedup.deduplicate(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that leak a benchmark item."""
+    _small_batches(spark)
     return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; no document is dropped. ``n_chars`` follows the text."""
+    _small_batches(spark)
     shield = common.Shield(docs)
     found = secret_scan.scan(shield.rows, None, shield.at["text"], redact=True)
     out = found.withColumn(shield.at["text"], F.col("redacted_text"))
@@ -44,6 +56,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, verified against the sentencepiece library and by decoding."""
+    _small_batches(spark)
     return sentencepiece_codec.encode(docs, keep=["doc_id"]).select("doc_id", "n_tokens", "n_byte_tokens", "ids", "parity", "round_trip")
 
 
