@@ -1,13 +1,12 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride shards.
 
-1. *Number.* Texts are counted in tokens (16-bit ids of a byte-level vocabulary, and an
-   end mark). A run of rows that a task reads gives one count; the runs' sums, in the
+1. *Tokenise.* Texts become tokens (16-bit ids of a byte-level vocabulary, and an end
+   mark), written once. A run of rows that a task reads gives one count; the runs' sums, in the
    order of files and of rows in them, give every token a global position. So the
    order depends on the stored table and the key alone, not on how Spark splits it.
 2. *Cut.* Positions are cut into sequences of ``length`` tokens. A document's
    tokens are sent as pieces, one for each sequence that it touches, so a text of
-   any length is spread over tasks. Texts are tokenised twice, as storing ids between
-   the passes would take more disk than the shards themselves.
+   any length is spread over tasks.
 3. *Permute.* A Feistel network keyed by ``key`` permutes the sequence numbers; its
    domain is the least even power of two above their count, and a number that
    falls outside walks the cycle until it is inside. So every sequence gets a slot
@@ -28,6 +27,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -111,21 +111,61 @@ def _runs(slices: Iterator[tuple[list[str], list[int], list[bytes]]]) -> Iterato
             last = file, row
 
 
-def run_starts(rows: DataFrame, ranks: bytes, mark: bytes) -> tuple[dict[tuple[str, int], int], int]:
-    """The position of the first token of each run of rows, by its file and first row; and the total. A row for each split reaches the driver."""
+def _planes(ids: bytes) -> bytes:
+    return np.frombuffer(ids, np.uint8).reshape(-1, 2).T.tobytes()
+
+
+@cache
+def _codec() -> tuple:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def _packed(ids: bytes) -> bytes:
+    """A piece as it is shuffled: low and high bytes apart, compressed."""
+    return _codec()[0](_planes(ids))
+
+
+def _unpacked(raw: bytes) -> bytes:
+    return np.frombuffer(_codec()[1](raw), np.uint8).reshape(2, -1).T.tobytes()
+
+
+def tokenised(rows: DataFrame, ranks: bytes, mark: bytes) -> DataFrame:
+    """(file, first, start, n, planes): each text's run of rows, by its file and first row, where it starts in it, and its ids.
+
+    Written in the shared folder; low and high bytes are apart, which compresses better.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[list] = []
+        first = start = size = 0
+        held: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["file", "first", "start", "n", "planes"])
+            held.clear()
+            return batch
+
         for file, row, begins, ids in _runs(_tokenised(batches, ranks, mark)):
             if begins:
-                found.append([file, row, 0])
-            found[-1][2] += len(ids) // 2
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "row", "n"])
+                first, start = row, 0
+            held.append((file, first, start, len(ids) // 2, _planes(ids)))
+            start, size = start + len(ids) // 2, size + len(ids)
+            if size > 1 << 20:
+                yield flushed()
+                size = 0
+        if held:
+            yield flushed()
+
+    return common.written(rows.mapInArrow(run, "file string, first long, start long, n long, planes binary"), "tokens")
+
 
-    counted = sorted(rows.mapInArrow(run, "file string, row long, n long").collect(), key=lambda r: (r.file, r.row))
+def run_starts(tokens: DataFrame) -> tuple[dict[tuple[str, int], int], int]:
+    """The position of the first token of each run; and the total. A row for each split reaches the driver."""
+    counted = sorted(tokens.groupBy("file", "first").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.file, r.first))
     ends = list(accumulate((r.n for r in counted), initial=0))
-    return {(r.file, r.row): at for r, at in zip(counted, ends, strict=False)}, ends[-1]
+    return {(r.file, r.first): at for r, at in zip(counted, ends, strict=False)}, ends[-1]
 
 
 def permuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -170,13 +210,14 @@ def unpermuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndar
 
 
 def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) -> tuple[DataFrame, int, int]:
-    """(slot, seq, at, ids): parts of sequences with their offset in tokens; and the numbers of sequences and tokens."""
-    starts, total = run_starts(rows, ranks, mark)
+    """(slot, seq, at, ids): packed parts of sequences with their offset in tokens; and the numbers of sequences and tokens."""
+    tokens = tokenised(rows, ranks, mark)
+    starts, total = run_starts(tokens)
     n = -(-total // length)
     shared = rows.sparkSession.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bases, position = shared.value, 0
+        bases = shared.value
         seqs, ats, parts, size = [], [], [], 0
 
         def flushed() -> pa.RecordBatch:
@@ -186,24 +227,24 @@ def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) ->
                 x.clear()
             return batch
 
-        for file, row, begins, ids in _runs(_tokenised(batches, ranks, mark)):
-            if begins:
-                position = bases[file, row]
-            used, size = 0, size + len(ids)
-            while used < len(ids) // 2:
-                at = position % length
-                take = min(len(ids) // 2 - used, length - at)
-                seqs.append(position // length)
-                ats.append(at)
-                parts.append(ids[2 * used : 2 * (used + take)])
-                position, used = position + take, used + take
-            if size > 1 << 20:
-                yield flushed()
-                size = 0
+        for batch in batches:
+            for file, first, start, planes in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "start", "planes")), strict=True):
+                ids = np.frombuffer(planes, np.uint8).reshape(2, -1).T.tobytes()
+                position, used, size = bases[file, first] + start, 0, size + len(ids)
+                while used < len(ids) // 2:
+                    at = position % length
+                    take = min(len(ids) // 2 - used, length - at)
+                    seqs.append(position // length)
+                    ats.append(at)
+                    parts.append(_packed(ids[2 * used : 2 * (used + take)]))
+                    position, used = position + take, used + take
+                if size > 1 << 20:
+                    yield flushed()
+                    size = 0
         if seqs:
             yield flushed()
 
-    return rows.mapInArrow(run, "slot long, seq long, at int, ids binary"), n, total
+    return tokens.select("file", "first", "start", "planes").mapInArrow(run, "slot long, seq long, at int, ids binary"), n, total
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = 2026, ranks_path: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", end_mark: int = END_MARK) -> tuple[DataFrame, int, int]:
@@ -239,7 +280,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, shard_records: int = SHARD_
                     if held:
                         close()
                     slot, seq, held = s, q, []
-                held.append(ids)
+                held.append(_unpacked(ids))
                 if len(out) >= 1024:
                     yield flushed()
         if held:
