@@ -10,18 +10,18 @@ fits is judged by the template tree, built with DataFrame operations only:
    wildcard where its parent has many branches and the branch is rare, or where
    its labelled share of bad pages doesn't differ from its siblings' (a two-sided
    test of proportions), so that statistically similar branches share a template.
-3. *Reject.* A template's purity is its share of bad labels, smoothed towards its
-   host's, and the host's towards the corpus's. A template is rejected at
-   ``reject`` or more, if it has ``min_labels`` labels.
+3. *Reject.* The purity of a level (host, then each prefix of a template) is its share
+   of bad labels, smoothed towards the level above it; the host's is smoothed towards the
+   corpus's. So a template without labels of its own is judged by its branch or host.
+   It is rejected at ``reject`` or more, if its host has ``min_labels`` labels.
 
 Labels come from a table (page_id, bad) or, without one, from the urls that rules
 judge. Only counts per (host, typed path) are shuffled, partially aggregated, so
 a host with a third of all pages is no hot group; the join that returns verdicts
-to the pages keeps to keys that a rejected template has.
+to the pages keeps to keys that a rejected template has, and the pages of hot keys stay in place.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
-no rule, and is allowed. Segments beyond the 24th are read as one. Repeated rows
-get equal results; an empty table gives an empty result.
+no rule, and is allowed. Paths of any depth are read whole. Repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from strandlake.llm import common
 # The rules of the registered query.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
-MAX_DEPTH = 24
 MANY_BRANCHES = 20
 RARE_SHARE = 0.05
 Z_SIMILAR = 1.96
@@ -73,9 +72,12 @@ def typed(segment: Column) -> Column:
 
 
 def segments(path: str = "path") -> Column:
-    parts = F.filter(F.split(F.col(path), "/"), lambda s: s != "")
-    kept = F.transform(F.slice(parts, 1, MAX_DEPTH), typed)
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(kept, F.array(F.lit("<tail>")))).otherwise(kept)
+    return F.transform(F.filter(F.split(F.col(path), "/"), lambda s: s != ""), typed)
+
+
+def _prefix(segs: str, n: Column) -> Column:
+    """Stands for the first ``n`` segments within a host, in eight bytes however deep the path."""
+    return F.xxhash64(F.slice(segs, F.lit(1), n))
 
 
 def path_counts(pages: DataFrame) -> DataFrame:
@@ -86,10 +88,10 @@ def path_counts(pages: DataFrame) -> DataFrame:
 
 
 def template_tree(counts: DataFrame) -> DataFrame:
-    """Each (host, segs) with its template: the segments, merged branches as ``*``."""
+    """Each (host, segs) with its template: an array of the segments, merged branches as ``*``."""
     nodes = (
         counts.select("host", "segs", "n", "n_labels", "n_bad", F.posexplode("segs").alias("at", "seg"))
-        .groupBy("host", F.slice("segs", F.lit(1), F.col("at")).alias("parent"), "seg")
+        .groupBy("host", _prefix("segs", F.col("at")).alias("parent"), _prefix("segs", F.col("at") + 1).alias("prefix"), "seg")
         .agg(*(F.sum(c).alias(c) for c in ("n", "n_labels", "n_bad")))
     )
     parents = nodes.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("branches"), *(F.sum(c).alias(f"p_{c}") for c in ("n", "n_labels", "n_bad")))
@@ -100,30 +102,31 @@ def template_tree(counts: DataFrame) -> DataFrame:
     merged = (
         nodes.join(parents, ["host", "parent"])
         .where(~F.col("seg").startswith("<") & (((F.col("branches") > MANY_BRANCHES) & rare) | similar))
-        .select("host", F.concat("parent", F.array("seg")).alias("prefix"), F.lit("*").alias("star"))
+        .select("host", "prefix", F.lit("*").alias("star"))
     )
-    spots = counts.select("host", "segs", F.posexplode_outer("segs").alias("at", "seg")).withColumn("prefix", F.slice("segs", F.lit(1), F.coalesce(F.col("at"), F.lit(-1)) + 1))
+    spots = counts.select("host", "segs", F.posexplode_outer("segs").alias("at", "seg")).withColumn("prefix", _prefix("segs", F.coalesce(F.col("at"), F.lit(-1)) + 1))
     return (
         spots.join(merged, ["host", "prefix"], "left")
         .groupBy("host", "segs")
         .agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("star", "seg", F.lit("")).alias("seg")))).alias("t"))
-        .select("host", "segs", F.concat(F.lit("/"), F.array_join("t.seg", "/")).alias("template"))
+        .select("host", "segs", F.filter("t.seg", lambda s: s != "").alias("template"))
     )
 
 
 def template_purity(counts: DataFrame, tree: DataFrame) -> DataFrame:
-    """(host, template) with counts and smoothed purity."""
-    sums = [F.sum(c).alias(c) for c in ("n", "n_labels", "n_bad")]
-    templates = counts.join(tree, ["host", "segs"]).groupBy("host", "template").agg(*sums)
-    hosts = templates.groupBy("host").agg(F.sum("n_labels").alias("h_labels"), F.sum("n_bad").alias("h_bad"))
-    whole = hosts.agg(((F.coalesce(F.sum("h_bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("h_labels"), F.lit(0)) + 2)).alias("prior"))  # one row
-    host_purity = (F.col("h_bad") + SMOOTHING * F.col("prior")) / (F.col("h_labels") + SMOOTHING)
-    return (
-        templates.join(hosts, "host")
-        .join(F.broadcast(whole))
-        .withColumn("purity", (F.col("n_bad") + SMOOTHING * host_purity) / (F.col("n_labels") + SMOOTHING))
-        .drop("h_labels", "h_bad", "prior")
+    """(host, template) with the host's labels and the purity, smoothed level by level."""
+    sums = [F.sum(c).alias(c) for c in ("n_labels", "n_bad")]
+    templates = common.cut(counts.join(tree, ["host", "segs"]).groupBy("host", "template").agg(*sums))
+    spots = templates.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("template")))).withColumn("prefix", _prefix("template", F.col("at")))
+    levels = spots.groupBy("host", "at", "prefix").agg(*sums)  # at 0: the host
+    whole = templates.agg(((F.coalesce(F.sum("n_bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n_labels"), F.lit(0)) + 2)).alias("prior"))  # one row
+    chain = (
+        spots.select("host", "template", "at", "prefix").join(levels, ["host", "at", "prefix"])
+        .groupBy("host", "template")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "n_labels", "n_bad"))).alias("levels"))  # as many as the template is deep
     )
+    smoothed = F.aggregate("levels", F.col("prior"), lambda p, x: (x.n_bad + SMOOTHING * p) / (x.n_labels + SMOOTHING))
+    return chain.join(F.broadcast(whole)).select("host", "template", F.col("levels")[0]["n_labels"].alias("h_labels"), smoothed.alias("purity"))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: DataFrame | None = None, reject: float = REJECT, min_labels: int = MIN_LABELS) -> DataFrame:
@@ -138,10 +141,11 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: D
         labelled = rows.join(labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")), "page_id", "left")
     counts = common.cut(path_counts(labelled))
     tree = common.cut(template_tree(counts))
-    rejected = template_purity(counts, tree).where((F.col("purity") >= reject) & (F.col("n_labels") >= min_labels))
-    bad_paths = tree.join(rejected.select("host", "template"), ["host", "template"], "left_semi").select("host", "segs", F.lit(True).alias("template_rejected"))
+    rejected = template_purity(counts, tree).where((F.col("purity") >= reject) & (F.col("h_labels") >= min_labels))
+    bad_paths = common.cut(counts.join(tree.join(rejected, ["host", "template"], "left_semi"), ["host", "segs"]).select("host", "segs", "n", F.lit(True).alias("template_rejected")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     return (
-        rows.join(bad_paths, ["host", "segs"], "left")
+        common.keyed_join(rows, bad_paths, ["host", "segs"], "n", total, "left")
         .withColumn("template_rejected", F.coalesce("template_rejected", F.lit(False)))
         .withColumn("verdict", F.coalesce("rule_verdict", F.when(F.col("template_rejected"), F.lit("block")).otherwise(F.lit("allow"))))
         .select("page_id", "host", "path", "rule", "verdict", "template_rejected")
@@ -169,14 +173,12 @@ def _oracle_rules() -> tuple[str, str]:
 
 _RULE, _VERDICT = _oracle_rules()
 ORACLE_SQL = f"""
-WITH r0 AS (SELECT page_id,
+WITH RECURSIVE r0 AS (SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r1 AS (SELECT *, {_RULE} AS rule, {_VERDICT} AS rv,
     list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM r0),
-r AS (SELECT page_id, host, path, rule, rv, CASE WHEN len(parts) > {MAX_DEPTH}
-    THEN list_transform(parts[1:{MAX_DEPTH}], lambda s: {_oracle_typed('s')}) || ['<tail>']
-    ELSE list_transform(parts, lambda s: {_oracle_typed('s')}) END AS segs,
+r AS (SELECT page_id, host, path, rule, rv, list_transform(parts, lambda s: {_oracle_typed('s')}) AS segs,
     CASE WHEN rv IS NOT NULL THEN (rv = 'block')::INT END AS bad FROM r1),
 c AS (SELECT host, segs, count(*) AS n, count(bad) AS nl, coalesce(sum(bad), 0) AS nb FROM r WHERE host <> '' GROUP BY ALL),
 e AS (SELECT host, segs, n, nl, nb, unnest(range(1, len(segs) + 1)) AS i FROM c),
@@ -186,12 +188,14 @@ m AS (SELECT host, parent || [seg] AS prefix FROM nodes JOIN par USING (host, pa
     (b > {MANY_BRANCHES} AND n < {RARE_SHARE} * pn) OR (nl >= {MIN_BRANCH_LABELS} AND pl > nl AND
     abs(nb / greatest(nl, 1) - pb / greatest(pl, 1)) <= {Z_SIMILAR} * sqrt(pb / greatest(pl, 1) * (1 - pb / greatest(pl, 1)) / greatest(nl, 1))))),
 t0 AS (SELECT e.host, e.segs, i, CASE WHEN m.host IS NULL THEN e.segs[i] ELSE '*' END AS seg FROM e LEFT JOIN m ON m.host = e.host AND m.prefix = e.segs[1:i]),
-t1 AS (SELECT host, segs, '/' || string_agg(seg, '/' ORDER BY i) AS template FROM t0 GROUP BY ALL),
-t AS (SELECT host, segs, coalesce(template, '/') AS template FROM c LEFT JOIN t1 USING (host, segs)),
-tp AS (SELECT host, template, sum(n) AS n, sum(nl) AS nl, sum(nb) AS nb FROM c JOIN t USING (host, segs) GROUP BY ALL),
-h AS (SELECT host, sum(nl) AS hl, sum(nb) AS hb FROM tp GROUP BY host),
-w AS (SELECT (coalesce(sum(hb), 0) + 1) / (coalesce(sum(hl), 0) + 2) AS prior FROM h),
-bad AS (SELECT host, template FROM tp JOIN h USING (host), w WHERE nl >= {MIN_LABELS} AND (nb + {SMOOTHING} * ((hb + {SMOOTHING} * prior) / (hl + {SMOOTHING}))) / (nl + {SMOOTHING}) >= {REJECT}),
+t1 AS (SELECT host, segs, list(seg ORDER BY i) AS template FROM t0 GROUP BY ALL),
+t AS (SELECT host, segs, coalesce(template, []) AS template FROM c LEFT JOIN t1 USING (host, segs)),
+tp AS (SELECT host, template, sum(nl) AS nl, sum(nb) AS nb FROM c JOIN t USING (host, segs) GROUP BY ALL),
+w AS (SELECT (coalesce(sum(nb), 0) + 1) / (coalesce(sum(nl), 0) + 2) AS prior FROM tp),
+lv AS (SELECT host, i, template[1:i] AS prefix, sum(nl) AS nl, sum(nb) AS nb FROM (SELECT *, unnest(range(0, len(template) + 1)) AS i FROM tp) GROUP BY ALL),
+pu AS (SELECT host, i, prefix, nl AS hl, (nb + {SMOOTHING} * prior) / (nl + {SMOOTHING}) AS p FROM lv, w WHERE i = 0
+    UNION ALL SELECT lv.host, lv.i, lv.prefix, pu.hl, (lv.nb + {SMOOTHING} * pu.p) / (lv.nl + {SMOOTHING}) FROM lv JOIN pu ON lv.host = pu.host AND lv.i = pu.i + 1 AND lv.prefix[1:pu.i] = pu.prefix),
+bad AS (SELECT tp.host, template FROM tp JOIN pu ON tp.host = pu.host AND tp.template = pu.prefix WHERE hl >= {MIN_LABELS} AND p >= {REJECT}),
 bp AS (SELECT host, segs FROM t JOIN bad USING (host, template))
 SELECT page_id, r.host, path, rule, coalesce(rv, CASE WHEN bp.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, bp.host IS NOT NULL AS template_rejected
 FROM r LEFT JOIN bp ON r.host = bp.host AND r.segs = bp.segs

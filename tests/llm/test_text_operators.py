@@ -171,6 +171,12 @@ def test_url_rules_and_templates(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 120)] + [(0, 0)], "page_id long, bad int")
     out = url_filters.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()
     assert all((r.verdict == "block") == bool(r.page_id % 2) for r in out)
+    # a template without labels is judged by its host's, smoothed; deep paths are read whole
+    deep = "/".join(["a"] * 300)
+    urls = [f"https://b.com/de/{i}" for i in range(30)] + [f"https://c.com/{x}/{i}" for x in ("de", "fr") for i in range(30)] + ["https://b.com/en/1", f"https://b.com/en/{deep}/x", "https://c.com/en/1", f"https://c.com/en/{deep}/y", "https://d.com/en/1"]
+    out = {r.url: (r.rule, r.verdict) for r in url_filters.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).join(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id").collect()}
+    assert [out[u] for u in urls[-5:]] == [(None, "block"), (None, "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    assert out["https://b.com/de/3"] == ("com/de/", "block") and out["https://c.com/fr/3"] == ("com/fr/", "allow")
 
 
 # 8
