@@ -4,9 +4,9 @@
    mark), written once. A run of rows that a task reads gives one count; the runs' sums, in the
    order of files and of rows in them, give every token a global position. So the
    order depends on the stored table and the key alone, not on how Spark splits it.
-2. *Cut.* Positions are cut into sequences of ``length`` tokens. A document's
-   tokens are sent as pieces, one for each sequence that it touches, so a text of
-   any length is spread over tasks.
+2. *Cut.* Positions are cut into sequences of ``length`` tokens. Tokens are sent as
+   pieces, one for each sequence that a run of texts touches, so a text of any length
+   is spread over tasks.
 3. *Permute.* A Feistel network keyed by ``key`` permutes the sequence numbers; its
    domain is the least even power of two above their count, and a number that
    falls outside walks the cycle until it is inside. So every sequence gets a slot
@@ -119,7 +119,7 @@ def _planes(ids: bytes) -> bytes:
 def _codec() -> tuple:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    return zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
 
 def _packed(ids: bytes) -> bytes:
@@ -219,6 +219,15 @@ def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases = shared.value
         seqs, ats, parts, size = [], [], [], 0
+        held: list[bytes] = []  # the open piece: texts that follow each other in a sequence go as one
+        begin = end = -1
+
+        def close() -> None:
+            if held:
+                seqs.append(begin // length)
+                ats.append(begin % length)
+                parts.append(_packed(b"".join(held)))
+                held.clear()
 
         def flushed() -> pa.RecordBatch:
             seq = np.array(seqs, np.int64)
@@ -232,15 +241,17 @@ def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) ->
                 ids = np.frombuffer(planes, np.uint8).reshape(2, -1).T.tobytes()
                 position, used, size = bases[file, first] + start, 0, size + len(ids)
                 while used < len(ids) // 2:
-                    at = position % length
-                    take = min(len(ids) // 2 - used, length - at)
-                    seqs.append(position // length)
-                    ats.append(at)
-                    parts.append(_packed(ids[2 * used : 2 * (used + take)]))
+                    take = min(len(ids) // 2 - used, length - position % length)
+                    if position != end or position % length == 0:
+                        close()
+                        begin = position
+                    held.append(ids[2 * used : 2 * (used + take)])
                     position, used = position + take, used + take
-                if size > 1 << 20:
+                    end = position
+                if size > 1 << 20 and seqs:
                     yield flushed()
                     size = 0
+        close()
         if seqs:
             yield flushed()
 
