@@ -111,10 +111,6 @@ def _runs(slices: Iterator[tuple[list[str], list[int], list[bytes]]]) -> Iterato
             last = file, row
 
 
-def _planes(ids: bytes) -> bytes:
-    return np.frombuffer(ids, np.uint8).reshape(-1, 2).T.tobytes()
-
-
 @cache
 def _codec() -> tuple:
     import zstandard
@@ -123,18 +119,18 @@ def _codec() -> tuple:
 
 
 def _packed(ids: bytes) -> bytes:
-    """A piece as it is shuffled: low and high bytes apart, compressed."""
-    return _codec()[0](_planes(ids))
+    """A piece as it is shuffled: compressed."""
+    return _codec()[0](ids)
 
 
 def _unpacked(raw: bytes) -> bytes:
-    return np.frombuffer(_codec()[1](raw), np.uint8).reshape(2, -1).T.tobytes()
+    return _codec()[1](raw)
 
 
 def tokenised(rows: DataFrame, ranks: bytes, mark: bytes) -> DataFrame:
-    """(file, first, start, n, planes): each text's run of rows, by its file and first row, where it starts in it, and its ids.
+    """(file, first, start, n, ids): each text's run of rows, by its file and first row, where it starts in it, and its ids.
 
-    Written in the shared folder; low and high bytes are apart, which compresses better.
+    Written in the shared folder, compressed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +139,14 @@ def tokenised(rows: DataFrame, ranks: bytes, mark: bytes) -> DataFrame:
 
         def flushed() -> pa.RecordBatch:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["file", "first", "start", "n", "planes"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["file", "first", "start", "n", "ids"])
             held.clear()
             return batch
 
         for file, row, begins, ids in _runs(_tokenised(batches, ranks, mark)):
             if begins:
                 first, start = row, 0
-            held.append((file, first, start, len(ids) // 2, _planes(ids)))
+            held.append((file, first, start, len(ids) // 2, ids))
             start, size = start + len(ids) // 2, size + len(ids)
             if size > 1 << 20:
                 yield flushed()
@@ -158,7 +154,7 @@ def tokenised(rows: DataFrame, ranks: bytes, mark: bytes) -> DataFrame:
         if held:
             yield flushed()
 
-    return common.written(rows.mapInArrow(run, "file string, first long, start long, n long, planes binary"), "tokens")
+    return common.written(rows.mapInArrow(run, "file string, first long, start long, n long, ids binary"), "tokens")
 
 
 def run_starts(tokens: DataFrame) -> tuple[dict[tuple[str, int], int], int]:
@@ -237,8 +233,7 @@ def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) ->
             return batch
 
         for batch in batches:
-            for file, first, start, planes in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "start", "planes")), strict=True):
-                ids = np.frombuffer(planes, np.uint8).reshape(2, -1).T.tobytes()
+            for file, first, start, ids in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "start", "ids")), strict=True):
                 position, used, size = bases[file, first] + start, 0, size + len(ids)
                 while used < len(ids) // 2:
                     take = min(len(ids) // 2 - used, length - position % length)
@@ -255,7 +250,7 @@ def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) ->
         if seqs:
             yield flushed()
 
-    return tokens.select("file", "first", "start", "planes").mapInArrow(run, "slot long, seq long, at int, ids binary"), n, total
+    return tokens.select("file", "first", "start", "ids").mapInArrow(run, "slot long, seq long, at int, ids binary"), n, total
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = 2026, ranks_path: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", end_mark: int = END_MARK) -> tuple[DataFrame, int, int]:
