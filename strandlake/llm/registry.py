@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import cross_entropy, decontaminate, html_extraction, importance_resampling, near_dedup, quality_rules, secret_scan, sentencepiece_codec, training_order, url_filters
+from strandlake.llm import cross_entropy, decontaminate, html_extraction, importance_resampling, near_dedup, quality_rules, secret_scan, sentencepiece_codec, token_counts, training_order, url_filters
 from strandlake.llm.common import new_path, table
 
 
@@ -70,8 +70,13 @@ def op10_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "loss_difference")))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text of documents."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_near_dedup, op3_url_filters, op4_sentencepiece, op5_quality_rules, op6_training_order, op7_secret_scan, op8_html_extraction, op9_decontaminate, op10_cross_entropy)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_near_dedup, op3_url_filters, op4_sentencepiece, op5_quality_rules, op6_training_order, op7_secret_scan, op8_html_extraction, op9_decontaminate, op10_cross_entropy, op11_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
