@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import cross_entropy, decontaminate, html_extraction, importance_resampling, near_dedup, quality_rules, secret_scan, sentencepiece_codec, token_counts, training_order, url_filters
+from strandlake.llm import conversation_repair, cross_entropy, decontaminate, html_extraction, importance_resampling, near_dedup, quality_rules, secret_scan, sentencepiece_codec, token_counts, training_order, url_filters, vector_codes
 from strandlake.llm.common import new_path, table
 
 
@@ -75,8 +75,18 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults after the damage, cheapest repair and its digest, of every conversation."""
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code and error of every vector of embeddings, with the final codebooks' digest."""
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_near_dedup, op3_url_filters, op4_sentencepiece, op5_quality_rules, op6_training_order, op7_secret_scan, op8_html_extraction, op9_decontaminate, op10_cross_entropy, op11_token_counts)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_near_dedup, op3_url_filters, op4_sentencepiece, op5_quality_rules, op6_training_order, op7_secret_scan, op8_html_extraction, op9_decontaminate, op10_cross_entropy, op11_token_counts, op12_conversation_repair, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
