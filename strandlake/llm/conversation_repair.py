@@ -273,3 +273,33 @@ def repaired(conversations: DataFrame) -> DataFrame:
 def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     types = [id_type, *[pa.int64()] * 6, pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["conv_id", *RESULT])
+
+
+_NEXT_SQL = "CASE {0} WHEN 2 THEN 3 ELSE 2 END"
+_CRC_SQL = "xor(list_reduce([4294967295] || list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+#: DuckDB SQL for ``repaired``: the least (cost, audit) of each state is carried forward row by row, with what is kept of the texts.
+ORACLE_SQL = f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC_SQL.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS pick FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN pick = 4 THEN 'user' ELSE role END AS role, CASE pick WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN pick = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE pick <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS is_blank, i > min(i) OVER (PARTITION BY conv_id, role, text) AS is_copy, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS is_cut,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM o),
+r AS (SELECT conv_id, i, role, text, NOT (is_blank OR is_copy) AS may_stay, CASE WHEN is_cut AND NOT (is_blank OR is_copy) THEN 1 ELSE 0 END AS extra, CASE substr(role, 1, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 END AS own FROM f),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, unnest([0, 2, 3]) AS st, unnest(['00000000', '00000002I', '00000004II']) AS k, unnest([NULL, 'user:', 'user:' || chr(10) || 'assistant:']) AS out FROM ids
+    UNION ALL
+    SELECT conv_id, i, st, min(k), arg_min(out, k) FROM (
+        SELECT conv_id, i, CASE ins WHEN 0 THEN st WHEN 1 THEN {_NEXT_SQL.format('st')} ELSE {_NEXT_SQL.format('(' + _NEXT_SQL.format('st') + ')')} END AS st,
+            lpad(CAST(cost + {COST['I']} * ins AS VARCHAR), 8, '0') || audit || repeat('I', ins) AS k,
+            CASE WHEN ins = 0 THEN out ELSE coalesce(out || chr(10), '') || CASE st WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN ins = 2 THEN chr(10) || CASE st WHEN 2 THEN 'user:' ELSE 'assistant:' END ELSE '' END END AS out
+        FROM (SELECT *, unnest([0, 1, 2]) AS ins FROM (
+            SELECT conv_id, i, CASE op WHEN 'D' THEN st WHEN 'K' THEN own ELSE {_NEXT_SQL.format('st')} END AS st,
+                CAST(substr(k, 1, 8) AS BIGINT) + CASE op WHEN 'D' THEN {COST['D']} WHEN 'K' THEN extra ELSE {COST['R']} + extra END AS cost, substr(k, 9) || op AS audit,
+                CASE WHEN op = 'D' THEN out ELSE coalesce(out || chr(10), '') || CASE WHEN op = 'K' THEN role WHEN st = 2 THEN 'assistant' ELSE 'user' END || ':' || text END AS out
+            FROM (SELECT dp.conv_id, r.i, dp.st, dp.k, dp.out, r.role, r.text, r.may_stay, r.extra, r.own, unnest(['D', 'K', 'R']) AS op FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1)
+            WHERE op = 'D' OR may_stay AND (op = 'R' OR own = 1 AND st = 0 OR own > 1 AND own = {_NEXT_SQL.format('st')})))) GROUP BY conv_id, i, st),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (NOT is_blank AND is_copy) AS duplicate,
+    count(*) FILTER (NOT is_blank AND NOT is_copy AND is_cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM f GROUP BY conv_id),
+e AS (SELECT dp.conv_id, min(k) AS k, arg_min(out, k) AS out FROM dp JOIN ids ON dp.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id WHERE dp.st IN (0, 3) AND dp.i = coalesce(n.rows, 0) GROUP BY dp.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(substr(k, 1, 8) AS BIGINT) AS cost, substr(k, 9) AS audit, sha256(coalesce(out, '')) AS repaired_sha256
+FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id"""

@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": url_filters.ORACLE_SQL}
+    return {"op3_url_filters": url_filters.ORACLE_SQL, "op12_conversation_repair": conversation_repair.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}

@@ -205,3 +205,28 @@ def codes(vectors: DataFrame) -> DataFrame:
     totals = rows.groupBy(*by).agg(_as_long(F.sum(F.col("error").cast("decimal(38,0)"))).alias("label_error"), F.count(F.lit(1)).alias("n"))
     joined = common.keyed_join(rows, totals, by, "n", out.count())
     return joined.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+def _assigned(name: str, book: str) -> str:
+    return f"""{name} AS (SELECT vec_id, label, p, any_value(x) AS x, min(d * {ENTRIES} + k) % {ENTRIES} AS k, min(d * {ENTRIES} + k) // {ENTRIES} AS d FROM
+    (SELECT q.vec_id, q.label, q.p, q.x, b.k, list_sum(list_transform(list_zip(q.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts q JOIN {book} b ON q.p = b.p) GROUP BY ALL)"""
+
+
+def _moved(name: str, members: str, book: str) -> str:
+    return f"""{name}_s AS (SELECT p, k, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT p, k, unnest(x) AS y, unnest(range(0, len(x))) AS i FROM {members}) GROUP BY ALL),
+{name}_m AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM {name}_s GROUP BY p, k),
+{name} AS (SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM {book} b LEFT JOIN {name}_m m ON b.p = m.p AND b.k = m.k)"""
+
+
+#: DuckDB SQL for ``codes``, for tables whose ids are distinct.
+ORACLE_SQL = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, p, e[p * (len(e) // {POSITIONS}) + 1 : (p + 1) * (len(e) // {POSITIONS})] AS x FROM (SELECT *, unnest(range(0, {POSITIONS})) AS p FROM v)),
+first AS (SELECT vec_id FROM v ORDER BY vec_id LIMIT {ENTRIES}),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM first)),
+{_assigned('a0', 'b0')}, {_moved('b1', 'a0', 'b0')},
+{_assigned('a1', 'b1')}, {_moved('b2', 'a1', 'b1')},
+{_assigned('a2', 'b2')},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h"""
