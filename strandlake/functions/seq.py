@@ -1,7 +1,8 @@
 """Column factories over DNA strings: encoding, reverse complement, windows, sampling, quality.
 
 A k-mer's code is its base-4 number, A, C, G, T as 0..3, the first base most
-significant. All are built-in expressions, so they stay in the JVM.
+significant. All are built-in expressions, so they stay in the JVM, but for the codes
+and sums of windows, which work on whole Arrow arrays.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,21 +74,35 @@ for _i, _c in enumerate("ACGT"):
     _DIGIT[[ord(_c), ord(_c.lower())]] = _i
 
 
-def window_codes(seqs: pa.Array, k: int, distinct: bool = False) -> pa.Array:
-    """Lists of the codes of each sequence's windows; null where a window has another character. All windows of a batch at once."""
-    seqs = seqs.cast(pa.large_string())
-    given = seqs.is_valid()
-    whole = seqs.fill_null("")
-    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+#: Bases whose windows are coded together: some 64 bytes of scratch arrays a base.
+_BASES = 1 << 20
+
+
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an Arrow string array and the offsets of its texts; null is empty."""
+    whole = texts.cast(pa.large_string()).fill_null("")
+    if not len(whole):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
     data = np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    digit = _DIGIT[data]
+    return data, offsets - offsets[0]
+
+
+def _windows(offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of each text, and of every window its text and its first byte."""
     n = np.maximum(np.diff(offsets) - k + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    ends = np.cumsum(n)
+    return n, row, np.arange(len(row)) - np.repeat(ends - n, n) + np.repeat(offsets[:-1], n)
+
+
+def _codes_of(seqs: pa.Array, k: int, distinct: bool) -> pa.Array:
+    data, offsets = _text_bytes(seqs)
+    digit = _DIGIT[data]
+    n, row, at = _windows(offsets, k)
     code = np.zeros(max(len(digit) - k + 1, 0), np.int64)
     for j in range(k):
         code = code * 4 + digit[j : len(digit) - k + 1 + j] if len(code) else code
-    ends = np.cumsum(n)
-    row = np.repeat(np.arange(len(n)), n)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(offsets[:-1] - offsets[0], n)
     code = code[at]
     wrong = np.concatenate([[0], np.cumsum(digit < 0)])
     bad = wrong[at + k] > wrong[at] if wrong[-1] else np.zeros(len(at), bool)
@@ -94,10 +110,34 @@ def window_codes(seqs: pa.Array, k: int, distinct: bool = False) -> pa.Array:
         pairs = np.unique(np.stack([row[~bad], code[~bad]]), axis=1) if 2 * k > 40 else np.unique((row[~bad] << np.int64(2 * k)) | code[~bad])
         row, code = pairs if 2 * k > 40 else (pairs >> np.int64(2 * k), pairs & np.int64(4**k - 1))
         bad, n = np.zeros(len(code), bool), np.bincount(row, minlength=len(n))
-    starts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(~given.to_numpy(zero_copy_only=False), False))
+    starts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(~seqs.is_valid().to_numpy(zero_copy_only=False), False))
     return pa.ListArray.from_arrays(starts, pa.array(code, mask=bad))
 
 
+def window_codes(seqs: pa.Array, k: int, distinct: bool = False) -> pa.Array:
+    """Lists of the codes of each sequence's windows; null where a window has another character.
+
+    Sequences are taken some ``_BASES`` bases at a time (a longer one by itself), so scratch arrays don't grow with the batch.
+    """
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(seqs).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    if sizes[-1] >= 1 << 31:
+        raise ValueError("a batch has 2**31 bases or more: lower spark.sql.execution.arrow.maxRecordsPerBatch, or cut the contigs into buckets first")
+    done, at = [], 0
+    while at < len(seqs) or not done:
+        upto = min(len(seqs), max(at + 1, int(np.searchsorted(sizes, sizes[at] + _BASES, "right")) - 1))
+        done.append(_codes_of(seqs.slice(at, upto - at), k, distinct))
+        at = upto
+    return done[0] if len(done) == 1 else pa.concat_arrays(done)
+
+
+def window_sum_array(quals: pa.Array, k: int) -> np.ndarray:
+    """Sums of quality ranks over every window of length k of each quality string, one behind the other."""
+    data, offsets = _text_bytes(quals)
+    sums = np.concatenate([[0], np.cumsum(data.astype(np.int64) - 33)])
+    at = _windows(offsets, k)[2]
+    return sums[at + k] - sums[at]
+
+
 def kmer_codes(seq: Column | str, k: int, distinct: bool = False) -> Column:
     """Codes of every window of length k, in order; with ``distinct`` each once, ascending.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
-from strandlake.operators import analysis, index, locator, mapper, models
+from strandlake.operators import analysis, bitmap, index, locator, mapper, models
 from strandlake.params import BUCKETS, DEFAULT, Params
 from strandlake.sources import dna
 
@@ -22,28 +22,44 @@ P = DEFAULT
 _OWN_DIR: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares; in local mode, as in tests, one folder of our own for each application."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _OWN_DIR[app] = _OWN_DIR.get(app) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN_DIR[app]
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """A table written in the folder that the cluster shares, and read again."""
+    """A table written in the shared folder, and read again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # as in tests: one folder of our own for each application
-        app = spark.sparkContext.applicationId
-        base = _OWN_DIR[app] = _OWN_DIR.get(app) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{base}/strandlake-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/strandlake-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _refs(spark: SparkSession, sf: str) -> DataFrame:
-    return dna.refs(spark, sf)
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` made and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def _refs(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    return dna.refs(spark, sf, spread)
 
-def _buckets(spark: SparkSession, sf: str, p: Params = P) -> DataFrame:
-    return index.bucketize(_refs(spark, sf), p)
 
+def _buckets(spark: SparkSession, sf: str, p: Params = P, spread: bool = False) -> DataFrame:
+    return index.bucketize(_refs(spark, sf, spread), p)
 
-def _reads(spark: SparkSession, sf: str, p: Params = P) -> DataFrame:
-    return dna.reads(_refs(spark, sf), p)
+
+def _reads(spark: SparkSession, sf: str, p: Params = P, spread: bool = False) -> DataFrame:
+    return dna.reads(_refs(spark, sf, spread), p)
 
 
 def contigs(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,23 +80,23 @@ def genome_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def qgram_df(spark: SparkSession, sf: str) -> DataFrame:
-    return index.qgram_df(index.with_qgrams(_buckets(spark, sf), P))
+    return index.qgram_df(_buckets(spark, sf, spread=True), P)
 
 
 def bucket_postings(spark: SparkSession, sf: str) -> DataFrame:
-    b = index.with_qgrams(_buckets(spark, sf), P)
+    b = index.with_qgrams(_buckets(spark, sf, spread=True), P)
     return b.select("bucket_id", F.size("qgrams").cast("long").alias("n_distinct"), F.array_min("qgrams").alias("least"), F.array_max("qgrams").alias("most"))
 
 
 def frac_min_hash(spark: SparkSession, sf: str) -> DataFrame:
-    grams = index.qgram_df(index.with_qgrams(_buckets(spark, sf), P)).select("qgram")
+    grams = index.qgram_df(_buckets(spark, sf, spread=True), P).select("qgram")
     return grams.select("qgram", S.frac_min_hash("qgram").alias("hash"), S.sampled("qgram", 0.25).alias("kept"))
 
 
 def distinguishability(spark: SparkSession, sf: str) -> DataFrame:
-    b = stored(index.with_qgrams(_buckets(spark, sf), P).select("bucket_id", "qgrams"), "buckets")
+    b = stored(_buckets(spark, sf, spread=True).select("bucket_id", "seq"), "buckets")
     n = b.count()
-    df = index.qgram_df(b)
+    df = index.qgram_df(b, P)
     zeros = F.lit(n) - F.col("df")
     return df.agg(F.count(F.lit(1)).alias("n_qgrams"), F.count(F.when(zeros >= int(P.d * n), 1)).alias("n_rare"), F.count(F.when(zeros > int(P.d * n), 1)).alias("n_rare_strict"), F.max("df").alias("most"))
 
@@ -111,15 +127,16 @@ def reverse_complement(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mapped(spark: SparkSession, sf: str, p: Params = P) -> dict[str, DataFrame]:
     """Everything up to the candidates."""
-    buckets = stored(index.with_qgrams(_buckets(spark, sf, p), p), "buckets")
-    reads = stored(_reads(spark, sf, p), "reads")
+    refs = stored(_refs(spark, sf, spread=True), "refs")
+    buckets = stored(index.bucketize(refs, p).select("bucket_id", "seq"), "buckets")
+    reads = stored(dna.reads(refs, p), "reads")
+    discard(refs)
     segs = mapper.segments(reads, p)
-    df = stored(index.qgram_df(buckets), "df")
-    common = index.common_qgrams(df, buckets.count(), p)
-    good = mapper.distinguishable(mapper.good_kmers(segs, p), common, p)
-    rows = stored(mapper.both_strands(mapper.seeds(good, p.S, 0.2), p), "seeds")
-    hits = mapper.kmer_buckets(rows.select("kmer").distinct(), buckets, df, p)
-    return {"buckets": buckets, "reads": reads, "segs": segs, "rows": rows, "hits": hits, "cands": mapper.candidates(rows, hits, p)}
+    n = buckets.count()
+    common = index.common_flags(index.qgram_df(buckets, p), n, p)
+    seeds = stored(bitmap.picked_seeds(segs, common, p), "seeds")
+    found = bitmap.matches(buckets, seeds, n, seeds.count(), p)
+    return {"buckets": buckets, "reads": reads, "segs": segs, "found": found, "cands": bitmap.candidates(found, p)}
 
 
 def candidate_buckets(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,8 +145,7 @@ def candidate_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_levels(spark: SparkSession, sf: str) -> DataFrame:
-    m = _mapped(spark, sf)
-    return mapper.levels(m["rows"], m["hits"], P)
+    return bitmap.levels(_mapped(spark, sf)["found"], P)
 
 
 def candidate_stats(spark: SparkSession, sf: str) -> DataFrame:

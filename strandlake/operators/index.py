@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,11 @@ from pyspark.sql import functions as F
 from strandlake.functions import seq as S
 from strandlake.params import BUCKETS, Params
 
+#: q up to which a task counts into an array of all q-grams (4**11 counts are 32 MB); codes that are sorted together above it.
+DENSE_Q, _RUN = 11, 1 << 22
+#: Buckets whose q-grams are found together.
+_ROWS = 1024
+
 
 def bucketize(contigs: DataFrame, p: Params, extra: int = 0, keep_tail: bool = False) -> DataFrame:
     """(bucket_id, ref_ord, idx, ref_offset, seq): slices of B bases and an overlap of L + ``extra``.
@@ -48,11 +57,45 @@ def postings(indexed: DataFrame) -> DataFrame:
     return indexed.select(F.explode("qgrams").alias("qgram"), "bucket_id")
 
 
-def qgram_df(indexed: DataFrame) -> DataFrame:
-    """(qgram, df): in how many buckets each q-gram occurs."""
-    return postings(indexed).groupBy("qgram").agg(F.count(F.lit(1)).alias("df"))
+def qgram_df(buckets: DataFrame, p: Params) -> DataFrame:
+    """(qgram, df): in how many buckets each q-gram occurs. Tasks count into an array of all q-grams where q allows (``DENSE_Q``), else into
+    sorted runs of ``_RUN`` codes; what they have counted is summed by q-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(4**p.q, np.int64) if p.q <= DENSE_Q else None
+        held, size = [], 0
+
+        def rows(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["qgram", "df"])
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, _ROWS):
+                codes = S.window_codes(batch.column("seq").slice(low, _ROWS), p.q, distinct=True).flatten().to_numpy(zero_copy_only=False)
+                if counts is not None:
+                    counts += np.bincount(codes, minlength=len(counts))
+                    continue
+                held.append(codes)
+                size += len(codes)
+                if size >= _RUN:
+                    yield rows(*np.unique(np.concatenate(held), return_counts=True))
+                    held, size = [], 0
+        if counts is not None:
+            at = np.flatnonzero(counts)
+            yield rows(at, counts[at])
+        elif held:
+            yield rows(*np.unique(np.concatenate(held), return_counts=True))
+
+    found = buckets.select("seq").mapInArrow(run, "qgram long, df long").groupBy("qgram").agg(F.sum("df").alias("df"))
+    return found.where(S.sampled("qgram", p.f)) if p.f < 1 else found
 
 
 def common_qgrams(df: DataFrame, n_buckets: int, p: Params) -> DataFrame:
     """The q-grams that are not rare: fewer than trunc(d * N) buckets lack them. A q-gram in no bucket is rare."""
     return df.where(F.lit(n_buckets) - F.col("df") < F.lit(int(p.d * n_buckets))).select("qgram")
+
+
+def common_flags(df: DataFrame, n_buckets: int, p: Params) -> np.ndarray:
+    """The q-grams that are not rare, as ``bitmap.flags``; more than half the buckets or so have each, so they are few, and 4 ** q at most."""
+    from strandlake.operators.bitmap import flags
+
+    return flags(np.array([r.qgram for r in common_qgrams(df, n_buckets, p).collect()], np.int64), p.q)

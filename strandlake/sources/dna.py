@@ -16,17 +16,16 @@ from strandlake.params import Params
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-def documents(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
-    """(doc_id, text); with ``spread`` dealt evenly to the shuffle partitions, as what follows is CPU work on rows of very uneven size."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.repartition("doc_id") if spread else docs
+def refs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """(ref_ord, seq) of every document with a text, as read: map-only.
 
-
-def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ref_ord, seq) of every document with a text."""
+    With ``spread`` the sequences are dealt to the shuffle partitions, for work that costs far more than moving them, on rows of very
+    uneven size or a table of a few files.
+    """
     dna = F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, "ACGT" * 13)
-    docs = documents(spark, sf_dir).where(F.col("text").isNotNull())
-    return docs.select(F.col("doc_id").alias("ref_ord"), dna.alias("seq"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").isNotNull())
+    rows = docs.select(F.col("doc_id").alias("ref_ord"), dna.alias("seq"))
+    return rows.repartition("ref_ord") if spread else rows
 
 
 def reads(contigs: DataFrame, p: Params) -> DataFrame:

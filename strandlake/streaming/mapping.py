@@ -19,7 +19,7 @@ def store_index(contigs: DataFrame, p: Params, path: str) -> None:
     """Writes buckets with their q-grams, document frequencies and parameters."""
     spark = contigs.sparkSession
     index.with_qgrams(index.bucketize(contigs, p), p).write.mode("errorifexists").parquet(f"{path}/buckets")
-    index.qgram_df(spark.read.parquet(f"{path}/buckets")).write.mode("errorifexists").parquet(f"{path}/df")
+    index.qgram_df(spark.read.parquet(f"{path}/buckets"), p).write.mode("errorifexists").parquet(f"{path}/df")
     spark.createDataFrame([(k, float(v)) for k, v in vars(p).items()], "name string, value double").write.mode("errorifexists").parquet(f"{path}/meta")
 
 

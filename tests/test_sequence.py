@@ -109,7 +109,7 @@ def test_candidates_against_brute_force(spark):
         x = "".join(x)
         reads.append((i, x if i % 2 else x[::-1].translate(str.maketrans("ACGT", "TGCA")), "".join(chr(33 + rng.choice([20, 30, 40])) for _ in x)))
     buckets = index.with_qgrams(index.bucketize(spark.createDataFrame(refs, "ref_ord long, seq string"), SMALL), SMALL).cache()
-    got = mapping.map_reads(spark.createDataFrame(reads, "read_id long, seq string, qual string"), buckets, index.qgram_df(buckets), SMALL)
+    got = mapping.map_reads(spark.createDataFrame(reads, "read_id long, seq string, qual string"), buckets, index.qgram_df(buckets, SMALL), SMALL)
     assert {(r.read_id, r.seg_off, r.is_original, r.bucket_id, r.misses) for r in got.collect()} == brute_candidates(refs, reads, SMALL)
 
 
@@ -119,7 +119,7 @@ def test_locations_find_exact_reads(spark):
     truth = [(i, refs[i % 6][0], 7 + 23 * i % 200) for i in range(12)]
     reads = spark.createDataFrame([(i, f"r{i}", refs[r][1][at : at + 16], "I" * 16) for i, r, at in truth], "read_id long, name string, seq string, qual string")
     buckets = index.with_qgrams(index.bucketize(df, SMALL), SMALL).cache()
-    cands = mapping.map_reads(reads, buckets, index.qgram_df(buckets), SMALL).cache()
+    cands = mapping.map_reads(reads, buckets, index.qgram_df(buckets, SMALL), SMALL).cache()
     segs = mapper.segments(reads, SMALL)
     found = locator.locations(cands, segs, locator.locating_seeds(segs, SMALL), buckets, SMALL)
     merged = locator.merge_locations(found, reads.select("read_id", F.length("seq").alias("read_len")), SMALL)
