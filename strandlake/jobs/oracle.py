@@ -59,6 +59,36 @@ top AS (SELECT * FROM cnt QUALIFY rank() OVER (PARTITION BY read_id, seg_off, is
 cand AS (SELECT * FROM top QUALIFY count(*) OVER (PARTITION BY read_id, seg_off, is_original) <= {P.C})"""
 
 
+_NEAR = f"abs(x.pos - one[1].pos) <= {P.indel}"
+_SAME = "y.bucket_id = one[1].bucket_id AND y.rev = one[1].rev AND y.off BETWEEN trunc(one[1].off - reach) AND trunc(one[1].off + reach)"
+LOCATE = f"""{CANDIDATE},
+la AS (SELECT k1.*, count(*) FILTER (quality >= {P.b * P.k}) OVER (PARTITION BY read_id, seg_off) AS ng FROM k1),
+lu AS (SELECT *, row_number() OVER (PARTITION BY read_id, seg_off ORDER BY pos) - 1 AS o, count(*) OVER (PARTITION BY read_id, seg_off) AS c FROM la WHERE ng = 0 OR quality >= {P.b * P.k}),
+lp AS (SELECT read_id, seg_off, unnest({_sampler(P.P, '(c - 1)')}) AS o, unnest(range(0, {P.P})) AS ord FROM (SELECT DISTINCT read_id, seg_off, c FROM lu)),
+ls AS (SELECT lp.read_id, lp.seg_off, ord, pos, km, read_len, length(segs.seq) AS seg_len FROM lp JOIN lu USING (read_id, seg_off, o) JOIN segs USING (read_id, seg_off)),
+pr AS (SELECT c.read_id, c.seg_off, c.is_original, c.bucket_id, seg_len, read_len, CASE WHEN c.is_original THEN km ELSE {_rc('km')} END AS km,
+    CASE WHEN c.is_original THEN pos ELSE seg_len - {P.k} - pos END AS own, CASE WHEN c.is_original THEN ord ELSE {P.P - 1} - ord END AS turn FROM cand c JOIN ls USING (read_id, seg_off)),
+bk AS (SELECT bucket_id, ix, substr(seq, ix + 1, {P.k}) AS km FROM (SELECT bucket_id, seq, unnest(range(0, length(seq) - {P.k - 1})) AS ix FROM b WHERE bucket_id IN (SELECT bucket_id FROM cand))),
+ht AS (SELECT read_id, seg_off, is_original, bucket_id, seg_len, read_len, turn, list({{'pos': ix - own, 'votes': 1}} ORDER BY ix) AS h FROM pr JOIN bk USING (bucket_id, km) GROUP BY ALL),
+vt AS (SELECT read_id, seg_off, is_original, bucket_id, seg_len, read_len, list_reduce(list(h ORDER BY turn), lambda state, hits: list_reduce([state] || list_transform(hits, lambda h: [h]), lambda st, one:
+    CASE WHEN len(list_filter(st, lambda x: {_NEAR})) > 0 THEN list_transform(st, lambda x: {{'pos': x.pos, 'votes': x.votes + CASE WHEN {_NEAR} THEN 1 ELSE 0 END}}) ELSE st || one END)) AS v FROM ht GROUP BY ALL),
+bt AS (SELECT *, list_sort(list_transform(v, lambda x: {{'less': -x.votes, 'pos': x.pos}}))[1] AS best FROM vt),
+loc AS (SELECT read_id, bucket_id, best.pos - CASE WHEN is_original THEN seg_off ELSE read_len - seg_off - seg_len END AS off, seg_off, -best.less AS votes, is_original FROM bt WHERE -best.less >= {P.least_votes} AND best.pos > 0)"""
+MERGE = f"""{LOCATE},
+m0 AS (SELECT read_id, length(seq) * {P.n}::DOUBLE AS reach, list([{{'bucket_id': bucket_id, 'off': off, 'rev': CASE WHEN is_original THEN 0 ELSE 1 END, 'votes': votes}}] ORDER BY bucket_id, NOT is_original, CASE WHEN is_original THEN seg_off ELSE -seg_off END, off, votes) AS r
+    FROM loc JOIN reads USING (read_id) GROUP BY ALL),
+m1 AS (SELECT read_id, list_reduce(r, lambda st, one: CASE WHEN len(list_filter(st, lambda y: {_SAME})) > 0
+    THEN list_transform(st, lambda y: {{'bucket_id': y.bucket_id, 'off': y.off, 'rev': y.rev, 'votes': y.votes + CASE WHEN {_SAME} THEN one[1].votes ELSE 0 END}}) ELSE st || one END) AS st FROM m0),
+m2 AS (SELECT read_id, unnest(list_filter(st, lambda y: y.votes = list_max(list_transform(st, lambda z: z.votes)))) AS y FROM m1),
+best AS (SELECT read_id, y.bucket_id AS bucket_id, y.off AS off, y.rev = 0 AS is_original, y.votes AS votes FROM m2)"""
+SAM = f"""{MERGE},
+sam AS (SELECT name AS qname, CASE WHEN is_original THEN 0 ELSE 16 END AS flag, bucket_id // {BUCKETS} AS rname, CAST((bucket_id % {BUCKETS}) * {P.B} + off AS BIGINT) AS pos, CAST(least(60, 6 * votes) AS INT) AS mapq, seq, qual FROM best JOIN reads USING (read_id))"""
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"round(CASE WHEN {b} > 0 THEN {a} / {b} END, 6)"
+
+
 SETS = f"""{DNA},
 w AS (SELECT ref_ord, substr(seq, ix + 1, 14) AS km FROM (SELECT ref_ord, seq, unnest(range(0, length(seq) - 13)) AS ix FROM dna WHERE length(seq) >= 14)),
 c AS (SELECT DISTINCT ref_ord, least(km, {_rc('km')}) AS km FROM w),
@@ -96,6 +126,14 @@ def sql() -> dict[str, str]:
         "candidate_histogram": f"WITH {CANDIDATE}, c AS (SELECT read_id, count(*) AS n FROM cand GROUP BY read_id) SELECT coalesce(n, 0) AS n_candidates, count(*) AS n_reads FROM reads LEFT JOIN c USING (read_id) GROUP BY 1",
         "mapping_recall": f"WITH {CANDIDATE} SELECT (SELECT count(*) FROM reads) AS n_reads, count(DISTINCT c.read_id) AS n_right FROM cand c JOIN reads r ON c.read_id = r.read_id AND c.is_original = NOT r.is_rev AND c.bucket_id = r.ref_ord * {BUCKETS} + CAST(floor(r.pos / {P.B}.0) AS BIGINT)",
         "unmapped_reads": f"WITH {CANDIDATE} SELECT read_id, name FROM reads WHERE read_id NOT IN (SELECT read_id FROM cand)",
+        "locations": f"WITH {LOCATE} SELECT read_id, bucket_id, CAST(off AS INT) AS \"offset\", CAST(seg_off AS INT) AS seg_off, CAST(votes AS INT) AS votes, is_original FROM loc",
+        "best_locations": f"WITH {MERGE} SELECT read_id, bucket_id, CAST(off AS INT) AS \"offset\", is_original, CAST(votes AS INT) AS votes FROM best",
+        "sam": f"WITH {SAM} SELECT * FROM sam",
+        "sam_report": f"""WITH {SAM}, per AS (SELECT r.name, count(s.qname) AS n_rows, count(*) FILTER (s.flag = CASE WHEN is_rev THEN 16 ELSE 0 END AND s.rname = ref_ord AND abs(s.pos - r.pos) <= 5) AS n_right FROM reads r LEFT JOIN sam s ON s.qname = r.name GROUP BY r.name),
+            t AS (SELECT count(*) AS n_reads, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) FILTER (n_rows = 1) AS n_mapped, count(*) FILTER (n_rows = 1 AND n_right > 0) AS n_unique_right, CAST(sum(n_right) AS BIGINT) AS n_right FROM per)
+            SELECT n_reads, n_rows, {_ratio('n_mapped', 'n_reads')} AS mapped, {_ratio('n_unique_right', 'n_reads')} AS sensitivity, CAST(NULL AS DOUBLE) AS false_positive, {_ratio('n_rows', 'n_mapped')} AS locations_per_read, {_ratio('n_right', 'n_rows')} AS precision FROM t""",
+        "locator_accuracy": f"""WITH {SAM}, near AS (SELECT r.name, min(abs(s.pos - r.pos)) AS off FROM sam s JOIN reads r ON s.qname = r.name AND s.rname = r.ref_ord AND (s.flag = 16) = r.is_rev GROUP BY r.name)
+            SELECT (SELECT count(*) FROM reads) AS n_reads, (SELECT count(DISTINCT qname) FROM sam) AS n_located, count(*) AS n_right_contig, count(*) FILTER (off = 0) AS n_exact, count(*) FILTER (off <= 5) AS n_almost, round(avg(off), 6) AS mean_offset FROM near""",
         "fastq_profile": f"""WITH {READ}, q AS (SELECT length(seq) AS n, list_transform(range(0, length(qual)), lambda i: ascii(substr(qual, i + 1, 1)) - 33) AS q FROM reads),
             p AS (SELECT n, list_sum(q) AS t, len(list_filter(q, lambda x: x < {P.b})) AS low, list_sum(list_transform(q, lambda x: pow(10.0, x / -10.0))) AS err FROM q)
             SELECT count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS n_bases, max(n) AS max_length, round(min(t / n), 6) AS min_mean_quality, round(sum(t) / sum(n), 6) AS mean_quality, max(low) AS max_low_bases, round(avg(low), 6) AS avg_low_bases, round(sum(err) / sum(n), 9) AS error_rate FROM p""",

@@ -174,8 +174,7 @@ def unmapped_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def _located(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     m = _mapped(spark, sf)
-    seeds = locator.locating_seeds(m["segs"], P)
-    m["locations"] = stored(locator.locations(stored(m["cands"], "cands"), m["segs"], seeds, m["buckets"], P), "locations")
+    m["locations"] = stored(locator.locations(m["cands"], m["segs"], m["buckets"], P), "locations")
     m["merged"] = locator.merge_locations(m["locations"], m["reads"].select("read_id", F.length("seq").alias("read_len")), P)
     return m
 

@@ -147,32 +147,43 @@ def picked_seeds(segs: DataFrame, common: np.ndarray | None, p: Params, least: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = S.window_codes(batch.column("seq"), p.k)
-            n = np.diff(lists.offsets.to_numpy())
-            code = lists.values.to_numpy(zero_copy_only=False)
-            known = ~np.isnan(code) if code.dtype.kind == "f" else np.ones(len(code), bool)
-            code = np.where(known, code, 0).astype(np.int64)
-            quality = S.window_sum_array(batch.column("qual"), p.k)
+            code, known, quality, n = _windows_of(batch, p)
             good = known & (quality >= p.b * p.k)
             if common is not None:
                 grams = subcodes(code, p)
                 good &= (_sampled(grams, p) & ~among(grams, common)).any(axis=0)
-            seg = np.repeat(np.arange(len(n)), n)[good]
-            count = np.bincount(seg, minlength=len(n))
-            use = np.flatnonzero((count > 0) & (count >= least * p.S))
-            first = np.cumsum(count) - count
-            last = count[use][:, None] - 1
-            spread = np.floor(np.arange(p.S - 1) * (last + 1) / float(max(p.S - 1, 1))).astype(np.int64)
-            at = np.concatenate([spread, last], axis=1) + first[use][:, None]
-            flat = code[good][at] if len(use) else np.zeros((0, p.S), np.int64)
-            kmers = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, p.S), pa.int32()), pa.array(flat.ravel()))
+            use, at = spread_over(good, n, p.S, least)
             rows = pa.array(use)
-            yield pa.RecordBatch.from_arrays([batch.column("read_id").take(rows), batch.column("seg_off").take(rows), kmers], names=["read_id", "seg_off", "kmers"])
+            yield pa.RecordBatch.from_arrays([batch.column("read_id").take(rows), batch.column("seg_off").take(rows), _lists(code[at])], names=["read_id", "seg_off", "kmers"])
 
     cols = segs.select("read_id", "seg_off", "seq", "qual")
     return cols.mapInArrow(run, f"read_id {cols.schema['read_id'].dataType.simpleString()}, seg_off int, kmers array<bigint>")
 
 
+def _windows_of(batch: pa.RecordBatch, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of a batch of segments: codes, whether they are bases alone, quality sums; and the windows of each segment."""
+    lists = S.window_codes(batch.column("seq"), p.k)
+    code = lists.values.to_numpy(zero_copy_only=False)
+    known = ~np.isnan(code) if code.dtype.kind == "f" else np.ones(len(code), bool)
+    return np.where(known, code, 0).astype(np.int64), known, S.window_sum_array(batch.column("qual"), p.k), np.diff(lists.offsets.to_numpy())
+
+
+def _lists(flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+
+
+def spread_over(good: np.ndarray, n: np.ndarray, size: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Segments (of ``n`` windows each) with at least ``least * size`` good windows, and ``size`` places of each among all windows,
+    evenly spread over its good ones, both ends included; places repeat where there are fewer."""
+    chosen = np.flatnonzero(good)
+    count = np.bincount(np.repeat(np.arange(len(n)), n)[chosen], minlength=len(n))
+    use = np.flatnonzero((count > 0) & (count >= least * size))
+    last = count[use][:, None] - 1
+    spread = np.floor(np.arange(size - 1) * (last + 1) / float(max(size - 1, 1))).astype(np.int64)
+    at = np.concatenate([spread, last], axis=1) + (np.cumsum(count) - count)[use][:, None]
+    return use, chosen[at] if len(use) else np.zeros((0, size), np.int64)
+
+
 def matches(buckets: DataFrame, seeds: DataFrame, n_buckets: int, n_seeds: int, p: Params, block: int = BLOCK, part: int = PART) -> DataFrame:
     """(read_id, seg_off, is_original, counts, misses, bucket_ids) for each strand of a segment and each block in which a bucket has
     fewer misses than the limit: buckets at each number of misses, the fewest of them, and the buckets that have it, where there are

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
-from strandlake.operators import align, analysis, index, locator, mapper, models
+from strandlake.operators import align, analysis, bitmap, index, locator, mapper, models
 from strandlake.params import BUCKETS, Params
 from strandlake.sources import formats
 from strandlake.streaming import mapping
@@ -46,10 +46,10 @@ def test_window_sums_and_kmers(spark):
     assert list(r) == [[6, 9], [6, 27], [], [0, 40]]
 
 
-def test_votes(spark):
-    votes = lambda rows: {x["pos"]: x["votes"] for x in one(spark, locator.vote_fold(F.from_json(F.lit(str(rows)), "array<array<int>>"), 2))[0]}
-    assert votes([[10, 50], [11, 90], [49]]) == {10: 2, 50: 2, 90: 1}
-    assert votes([[], [5, 6], [5]]) == {5: 2, 6: 2}
+def test_votes():
+    assert locator.vote([[10, 50], [11, 90], [49]], 2) == {10: 2, 50: 2, 90: 1}
+    assert locator.vote([[5, 6], [5]], 2) == {5: 2, 6: 2}
+    assert locator.best_vote({9: 2, 4: 2, 1: 1}) == (4, 2) and locator.best_vote({}) is None
 
 
 def test_bucket_edges(spark):
@@ -75,7 +75,9 @@ def brute_candidates(refs, reads, p):
             df[x] = df.get(x, 0) + 1
     n, out = len(buckets), set()
     rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    subs = lambda s: [s[i : i + p.q] for i in range(p.k - p.q + 1)]
+    code = lambda g: sum("ACGT".index(c) * 4 ** (p.q - 1 - i) for i, c in enumerate(g))
+    indexed = lambda g: (12345 * code(g) + 678) % 116731 % 10000 <= int(10000 * p.f)
+    subs = lambda s: [g for g in (s[i : i + p.q] for i in range(p.k - p.q + 1)) if indexed(g)]
     for read, s, qual in reads:
         size = len(s)
         starts = sorted({i * (size - p.L) // (p.G - 1) for i in range(p.G - 1)} | {size - p.L - 1}) if size > 2 * p.L else [0]
@@ -113,6 +115,32 @@ def test_candidates_against_brute_force(spark):
     assert {(r.read_id, r.seg_off, r.is_original, r.bucket_id, r.misses) for r in got.collect()} == brute_candidates(refs, reads, SMALL)
 
 
+@pytest.mark.parametrize("f,d,block,part", [(1.0, 0.5, 4, 7), (1.0, 0.5, 2048, 10**6), (0.25, 0.5, 5, 9), (0.05, 0.0, 3, 1000)])
+def test_bitmaps_against_brute_force(spark, f, d, block, part):
+    """Bitmaps in blocks and parts, with samples of q-grams so thin that many k-mers have none: such a k-mer is a hit everywhere."""
+    from dataclasses import replace
+
+    p = replace(SMALL, f=f, d=d, C=8)
+    refs, rng = genome(), random.Random(8)
+    reads = []
+    for i in range(60):
+        _, s = rng.choice(refs)
+        size = rng.choice([16, 20, 40])
+        at = rng.randrange(len(s) - size)
+        x = s[at : at + size]
+        reads.append((i, x if i % 2 else x[::-1].translate(str.maketrans("ACGT", "TGCA")), "".join(chr(33 + rng.choice([25, 30, 40])) for _ in x)))
+    buckets = index.bucketize(spark.createDataFrame(refs, "ref_ord long, seq string"), p).cache()
+    n = buckets.count()
+    segs = mapper.segments(spark.createDataFrame(reads, "read_id long, seq string, qual string").repartition(3), p)
+    seeds = bitmap.picked_seeds(segs, index.common_flags(index.qgram_df(buckets, p), n, p), p).cache()
+    found = bitmap.matches(buckets, seeds, n, seeds.count(), p, block, part).cache()
+    got = {(r.read_id, r.seg_off, r.is_original, r.bucket_id, r.misses) for r in bitmap.candidates(found, p).collect()}
+    assert got == brute_candidates(refs, reads, p) and got
+    if f == 1:
+        indexed = index.with_qgrams(buckets, p)
+        assert got == {(r.read_id, r.seg_off, r.is_original, r.bucket_id, r.misses) for r in mapping.map_reads(spark.createDataFrame(reads, "read_id long, seq string, qual string"), indexed, index.qgram_df(buckets, p), p).collect()}
+
+
 def test_locations_find_exact_reads(spark):
     refs = genome()
     df = spark.createDataFrame(refs, "ref_ord long, seq string")
@@ -121,7 +149,7 @@ def test_locations_find_exact_reads(spark):
     buckets = index.with_qgrams(index.bucketize(df, SMALL), SMALL).cache()
     cands = mapping.map_reads(reads, buckets, index.qgram_df(buckets, SMALL), SMALL).cache()
     segs = mapper.segments(reads, SMALL)
-    found = locator.locations(cands, segs, locator.locating_seeds(segs, SMALL), buckets, SMALL)
+    found = locator.locations(cands, segs, buckets, SMALL)
     merged = locator.merge_locations(found, reads.select("read_id", F.length("seq").alias("read_len")), SMALL)
     sam = locator.sam_rows(merged, reads, SMALL)
     at = {(r.qname, r.rname, r.pos) for r in sam.where("flag = 0").collect()}
@@ -151,6 +179,43 @@ def test_alignment_and_errors(spark):
     assert a == b and a[0].seq != "ACGT" * 10
 
 
+def test_bit_parallel_alignment_against_the_whole_table():
+    """3,000 pairs over word borders, with few and many edits, all with the same edits, start and operations."""
+    rng = random.Random(2)
+    reads, windows = [], []
+    for t in range(3000):
+        size = rng.choice([0, 1, 5, 16, 63, 64, 65, 128, 130, 192, 300])
+        window = "".join(rng.choice("ACGT" if t % 3 else "AC") for _ in range(size + rng.choice([0, 1, 3, 12, 40])))
+        at = rng.randrange(max(1, len(window) - size + 1))
+        read = list(window[at : at + size])
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 12, 20, 40])):
+            if read:
+                i, kind = rng.randrange(len(read)), rng.random()
+                read[i : i + 1] = [rng.choice("ACGT")] if kind < 0.4 else [] if kind < 0.7 else [rng.choice("ACGT"), read[i]]
+        reads.append("".join(read))
+        windows.append(window)
+    whole = [align.semi_global(r, w) for r, w in zip(reads, windows, strict=True)]
+    for limit in (3, 20):
+        assert align.best_placements(reads, windows, limit) == [x if x[0] <= limit else None for x in whole]
+    assert align.best_placements([], [], 5) == []
+
+
+def test_aligned_rows_over_bucket_borders(spark):
+    """Exact reads, on both strands and across the starts of buckets, are placed where they were cut, with a CIGAR of matches."""
+    refs = genome(3, 400)
+    df = spark.createDataFrame(refs, "ref_ord long, seq string")
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rows, found = [], []
+    for i, (r, at) in enumerate([(0, 10), (1, 60), (2, 120), (0, 190), (1, 3)]):
+        cut = refs[r][1][at : at + 20]
+        rows.append((i, f"r{i}", cut if i % 2 else rc(cut), "I" * 20))
+        bucket = (at + 15) // 64  # the bucket of a base inside, so that some starts lie before it
+        found.append((i, r * BUCKETS + bucket, at - bucket * 64, 0, 9, i % 2 == 1))
+    reads = spark.createDataFrame(rows, "read_id long, name string, seq string, qual string")
+    got = align.aligned_rows(spark.createDataFrame(found, "read_id long, bucket_id long, offset int, seg_off int, votes int, is_original boolean"), reads, index.bucketize(df, SMALL), SMALL).collect()
+    assert sorted((r.qname, r.flag, r.rname, r.pos, r.mapq, r.cigar) for r in got) == [("r0", 16, 0, 10, 60, "20="), ("r1", 0, 1, 60, 60, "20="), ("r2", 16, 2, 120, 60, "20="), ("r3", 0, 0, 190, 60, "20="), ("r4", 16, 1, 3, 60, "20=")]
+
+
 def test_formats_round_trip(spark):
     path = folder()
     with open(f"{path}/x.fa", "w") as f:
