@@ -163,6 +163,15 @@ def window_sums(values: Column, k: int) -> Column:
     return let(values, lambda v: F.transform(positions(F.size(v) - (k - 1)), total(v)))
 
 
+def shaped_sums(values: Column, shape: str) -> Column:
+    """Sums over every window of the shape's length of the values where the shape has a 1."""
+    at = [i for i, c in enumerate(shape) if c == "1"]
+    if not at or set(shape) - {"0", "1"}:
+        raise ValueError(f"{shape!r} is not a shape of 0 and 1 with a 1")
+    one = lambda v, p: sum((F.get(v, p + i) for i in at[1:]), F.get(v, p + at[0]))
+    return let(values, lambda v: F.transform(positions(F.size(v) - (len(shape) - 1)), lambda p: one(v, p)))
+
+
 def sampler(n: int, last: Column) -> Column:
     """n ordinals spread over [0, last], both ends included; ordinals repeat where there are fewer than n."""
     if n == 1:

@@ -95,6 +95,39 @@ c AS (SELECT DISTINCT ref_ord, least(km, {_rc('km')}) AS km FROM w),
 sets AS (SELECT ref_ord, coalesce(list_sort(list(km) FILTER (km IS NOT NULL)), []) AS s FROM dna LEFT JOIN c USING (ref_ord) GROUP BY ref_ord)"""
 
 
+def _in_sample(code: str) -> str:
+    return f"((12345 * {code} + 678) % 116731) % 10000 <= 2500"
+
+
+_KD = f"list_filter([{_SUBS}], lambda x: {_in_sample(_code('x'))})"
+#: Candidates where only a quarter of the q-grams are indexed: a k-mer without any is a hit in every bucket.
+SAMPLED = CANDIDATE.replace("common AS (SELECT g FROM gdf, n WHERE", f"sdf AS (SELECT g, df FROM gdf WHERE {_in_sample(_code('g'))}),\ncommon AS (SELECT g FROM sdf, n WHERE")
+SAMPLED = SAMPLED.replace(f"unnest([{_SUBS}]) AS g FROM kd", f"unnest({_KD}) AS g FROM kd")
+SAMPLED = SAMPLED.replace(f"unnest(list_distinct([{_SUBS}])) AS g, len(list_distinct([{_SUBS}])) AS m FROM kk", f"unnest(list_distinct({_KD})) AS g, len(list_distinct({_KD})) AS m FROM kk")
+SAMPLED = SAMPLED.replace(
+    "cnt AS (",
+    f"""wild AS (SELECT read_id, seg_off, is_original, count(*) AS w FROM both_ WHERE km NOT IN (SELECT km FROM kg) GROUP BY ALL),
+hits AS (SELECT read_id, seg_off, is_original, bucket_id, count(*) AS h FROM both_ JOIN hit USING (km) GROUP BY ALL
+    UNION ALL SELECT read_id, seg_off, is_original, bucket_id, 0 FROM wild, b WHERE {P.S} - w < {P.faults}),
+cnt AS (SELECT read_id, seg_off, is_original, bucket_id, {P.S} - max(h) - coalesce(max(w), 0) AS misses FROM hits LEFT JOIN wild USING (read_id, seg_off, is_original) GROUP BY ALL HAVING {P.S} - max(h) - coalesce(max(w), 0) < {P.faults}),
+unused AS (""",
+)
+#: Gapped shape of the quality query, as in the registry.
+SHAPE = "110110111011"
+_ONES = [i for i, c in enumerate(SHAPE) if c == "1"]
+#: Every contig's score for every read, k-mers that a contig lacks included.
+SCORES = f"""{READ}, k AS (SELECT ref_ord, substr(seq, ix + 1, {P.q}) AS km, count(*) AS n FROM (SELECT ref_ord, seq, unnest(range(0, length(seq) - {P.q - 1})) AS ix FROM dna WHERE length(seq) >= {P.q}) GROUP BY ALL),
+t AS (SELECT ref_ord AS c, sum(n) + 0.001 * {4**P.q} AS total FROM k GROUP BY ref_ord),
+m AS (SELECT ref_ord AS c, km, ln((n + 0.001) / total) AS logp FROM k JOIN t ON k.ref_ord = t.c),
+rk AS (SELECT read_id, substr(s, ix + 1, {P.q}) AS km, count(*) AS n FROM (SELECT read_id, CASE WHEN is_rev THEN {_rc('seq')} ELSE seq END AS s, unnest(range(0, length(seq) - {P.q - 1})) AS ix FROM reads) GROUP BY ALL),
+z AS (SELECT read_id, sum(n) AS size FROM rk GROUP BY read_id),
+g AS (SELECT read_id, c, sum(rk.n * (logp - ln(0.001 / total))) AS gain FROM rk JOIN m USING (km) JOIN t USING (c) GROUP BY ALL),
+sc AS (SELECT z.read_id, t.c, round(coalesce(gain, 0) + size * ln(0.001 / total), 6) AS score FROM z CROSS JOIN t LEFT JOIN g USING (read_id, c))"""
+MARGINS = f"""{SCORES},
+o AS (SELECT read_id, max({{'score': score, 'neg': -c}}) FILTER (c <> ref_ord) AS o, max(score) FILTER (c = ref_ord) AS hit FROM sc JOIN reads USING (read_id) GROUP BY read_id),
+mg AS (SELECT read_id, hit, o.score AS other, hit IS NOT NULL AND (o IS NULL OR hit > o.score OR hit = o.score AND ref_ord < -o.neg) AS correct FROM o JOIN reads USING (read_id))"""
+
+
 def _log(x: str) -> str:
     return f"ln({x})"
 
@@ -134,6 +167,42 @@ def sql() -> dict[str, str]:
             SELECT n_reads, n_rows, {_ratio('n_mapped', 'n_reads')} AS mapped, {_ratio('n_unique_right', 'n_reads')} AS sensitivity, CAST(NULL AS DOUBLE) AS false_positive, {_ratio('n_rows', 'n_mapped')} AS locations_per_read, {_ratio('n_right', 'n_rows')} AS precision FROM t""",
         "locator_accuracy": f"""WITH {SAM}, near AS (SELECT r.name, min(abs(s.pos - r.pos)) AS off FROM sam s JOIN reads r ON s.qname = r.name AND s.rname = r.ref_ord AND (s.flag = 16) = r.is_rev GROUP BY r.name)
             SELECT (SELECT count(*) FROM reads) AS n_reads, (SELECT count(DISTINCT qname) FROM sam) AS n_located, count(*) AS n_right_contig, count(*) FILTER (off = 0) AS n_exact, count(*) FILTER (off <= 5) AS n_almost, round(avg(off), 6) AS mean_offset FROM near""",
+        "bucket_accuracy": f"""WITH {MERGE}, per AS (SELECT read_id, count(*) AS n FROM best GROUP BY read_id), tr AS (SELECT read_id, ref_ord * {BUCKETS} + pos // {P.B} AS tb, pos % {P.B} AS toff FROM reads),
+            h AS (SELECT abs(off - toff) AS e, n FROM best JOIN tr USING (read_id) JOIN per USING (read_id) WHERE bucket_id = tb), a AS (SELECT coalesce(n, 0) AS n FROM tr LEFT JOIN per USING (read_id))
+            SELECT a.*, h.* FROM (SELECT count(*) AS n_reads, round(avg(n), 6) AS buckets_per_read, count(*) FILTER (n = 0) AS n_none, count(*) FILTER (n = 1) AS n_unique, count(*) FILTER (n BETWEEN 1 AND 5) AS n_upto_5, count(*) FILTER (n BETWEEN 1 AND 10) AS n_upto_10 FROM a) a,
+            (SELECT count(*) AS n_right_bucket, round(avg(e), 6) AS mean_offset_error, count(*) FILTER (e <= {P.indel}) AS n_almost, count(*) FILTER (e <= {P.indel} AND n = 1) AS n_unique_right FROM h) h""",
+        "sampled_candidates": f"WITH {SAMPLED} SELECT read_id, CAST(seg_off AS INT) AS seg_off, is_original, bucket_id, misses FROM cand",
+        "streamed_candidates": f"WITH {CANDIDATE} SELECT read_id, CAST(seg_off AS INT) AS seg_off, is_original, bucket_id, misses FROM cand",
+        "sam_report_by_file": f"""WITH {SAM}, every AS (SELECT name AS qname, CASE WHEN is_original THEN 0 ELSE 16 END AS flag, bucket_id // {BUCKETS} AS rname, (bucket_id % {BUCKETS}) * {P.B} + off AS pos FROM loc JOIN reads USING (read_id)),
+            both_files AS (SELECT 'best' AS mapper, qname, flag, rname, pos FROM sam UNION ALL SELECT 'every', * FROM every),
+            per AS (SELECT f.mapper, r.name, count(*) AS n_rows, count(*) FILTER (f.flag = CASE WHEN is_rev THEN 16 ELSE 0 END AND f.rname = ref_ord AND abs(f.pos - r.pos) <= 5) AS n_right FROM both_files f JOIN reads r ON f.qname = r.name GROUP BY ALL),
+            t AS (SELECT mapper, (SELECT count(*) FROM reads) AS n_reads, CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) FILTER (n_rows = 1) AS n_mapped, count(*) FILTER (n_rows = 1 AND n_right > 0) AS n_unique_right, CAST(sum(n_right) AS BIGINT) AS n_right FROM per GROUP BY mapper)
+            SELECT mapper, n_reads, n_rows, {_ratio('n_mapped', 'n_reads')} AS mapped, {_ratio('n_unique_right', 'n_reads')} AS sensitivity, CAST(NULL AS DOUBLE) AS false_positive, {_ratio('n_rows', 'n_mapped')} AS locations_per_read, {_ratio('n_right', 'n_rows')} AS precision FROM t""",
+        "unique_reads": f"""WITH {MERGE}, a AS (SELECT read_id, count(*) = 1 AS a FROM best GROUP BY read_id), c AS (SELECT read_id, count(DISTINCT bucket_id) = 1 AS c FROM cand GROUP BY read_id)
+            SELECT coalesce(a, FALSE) AS answer_unique, coalesce(c, FALSE) AS test_unique, count(*) AS n_reads FROM a FULL JOIN c USING (read_id) GROUP BY ALL""",
+        "gapped_quality": f"""WITH {SEGMENT}, w AS (SELECT read_id, seg_off, CASE WHEN length(seq) >= {P.k} THEN list_transform(range(0, length(seq) - {P.k - 1}), lambda i: {' + '.join(f'ascii(substr(qual, i + {o + 1}, 1)) - 33' for o in _ONES)}) ELSE [] END AS s FROM segs)
+            SELECT read_id, CAST(seg_off AS INT) AS seg_off, '[' || array_to_string(s, ',') || ']' AS sums, '[' || coalesce(array_to_string(list_filter(range(0, len(s)), lambda i: s[i + 1] >= {P.b * len(_ONES)}), ','), '') || ']' AS good FROM w""",
+        "kmer_slots": f"""WITH dna AS (SELECT doc_id AS ref_ord, translate(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'), '{LETTERS}0123456789', '{'ACGT' * 13}NNNNNNNNNN') AS seq FROM documents WHERE text IS NOT NULL), {share(5, 'dna')},
+            every AS (SELECT list_reduce(list_transform(range(0, 5), lambda i: substr('ACGT', 1 + (x >> (8 - 2 * i)) % 4, 1)), lambda a, c: a || c) AS km FROM range(0, 1024) r(x)), own AS (SELECT km, row_number() OVER (ORDER BY km) - 1 AS slot FROM every WHERE km <= {_rc('km')}),
+            j AS (SELECT ref_ord, coalesce(slot, 512) AS slot, n FROM k LEFT JOIN own ON own.km = least(k.km, {_rc('k.km')}) AND NOT contains(k.km, 'N'))
+            SELECT ref_ord, slot, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / sum(sum(n)) OVER (PARTITION BY ref_ord), 9) AS share FROM j GROUP BY ref_ord, slot""",
+        "kmer_dictionary": f"""WITH {BUCKET}, g AS (SELECT bucket_id, ix, substr(seq, ix + 1, {P.q}) AS km FROM (SELECT bucket_id, seq, unnest(range(0, length(seq) - {P.q - 1})) AS ix FROM b)), c AS (SELECT least(km, {_rc('km')}) AS km, min({{'b': bucket_id, 'i': ix}}) AS f FROM g GROUP BY ALL)
+            SELECT {_code('km')} AS kmer, row_number() OVER (ORDER BY f.b, f.i) - 1 AS slot, f.b AS bucket_id, CAST(f.i AS INT) AS \"at\" FROM c""",
+        "bucket_frequency_model": f"WITH {BUCKET}, {share(5, 'b').replace('ref_ord', 'bucket_id')} SELECT bucket_id, {_code('km')} AS kmer, round({_log('(n + 0.001) / (sum(n) OVER (PARTITION BY bucket_id) + 0.001 * 1024)')}, 6) AS logp FROM k",
+        "bucket_markov_model": f"WITH {BUCKET}, {share(4, 'b').replace('ref_ord', 'bucket_id')} SELECT bucket_id, {_code('substr(km, 1, 3)')} AS prefix, {_code('substr(km, 4, 1)')} AS base, round({_log('(n + 0.001) / (sum(n) OVER (PARTITION BY bucket_id, substr(km, 1, 3)) + 0.004)')}, 6) AS logp FROM k",
+        "bucket_jaccard": f"""WITH {BUCKET}, w AS (SELECT DISTINCT bucket_id, least(km, {_rc('km')}) AS km FROM (SELECT bucket_id, substr(seq, ix + 1, 14) AS km FROM (SELECT bucket_id, seq, unnest(range(0, length(seq) - 13)) AS ix FROM b))),
+            sets AS (SELECT bucket_id, list_sort(list(km)) AS s FROM w GROUP BY bucket_id), d AS (SELECT min(bucket_id) AS r, s FROM sets GROUP BY s), f AS (SELECT r, len(s) AS n, unnest(s) AS km FROM d),
+            p AS (SELECT x.r AS a, y.r AS b, x.n + y.n AS n, count(*) AS shared FROM f x JOIN f y ON x.km = y.km AND x.r < y.r GROUP BY ALL)
+            SELECT a, b, shared, round(shared / (n - shared), 9) AS jaccard FROM p WHERE shared / (n - shared) >= 0.5""",
+        "classified_reads": f"WITH {SCORES}, x AS (SELECT read_id, max({{'score': score, 'neg': -c}}) AS o FROM sc GROUP BY read_id) SELECT read_id, -o.neg AS ref_ord, o.score AS score FROM x",
+        "classification_margins": f"WITH {MARGINS} SELECT * FROM mg",
+        "classification_harness": f"WITH {MARGINS} SELECT count(*) AS n_queries, count(*) FILTER (correct) AS n_right, round(avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END), 6) AS right_share, round(avg(hit), 4) AS mean_hit, round(avg(other), 4) AS mean_other, round(avg(hit - other), 4) AS mean_margin FROM mg",
+        "frequency_model_spread": f"""WITH {DNA}, {share(4, 'dna')}, v AS (SELECT ref_ord, km, CAST(n AS DOUBLE) AS weight FROM k UNION ALL
+            SELECT ref_ord, substr(km, 1, i) || substr('ACGT', (strpos('ACGT', substr(km, i + 1, 1)) - 1 + s) % 4 + 1, 1) || substr(km, i + 2), 0.01::DOUBLE * n FROM k, range(0, 4) p(i), range(1, 4) q(s)), w AS (SELECT ref_ord, km, sum(weight) AS weight FROM v GROUP BY ALL)
+            SELECT ref_ord, {_code('km')} AS kmer, round(ln((weight + 0.001) / (sum(weight) OVER (PARTITION BY ref_ord) + 0.001 * 256)), 6) AS logp FROM w""",
+        "fasta_round_trip": f"WITH {DNA} SELECT 'c' || ref_ord AS ref_id, length(seq) AS n_bases, md5(seq) AS digest FROM dna",
+        "fastq_round_trip": f"WITH {READ} SELECT name, seq, qual FROM reads",
+        "threshold_logs": f"WITH {QGRAM}, n AS (SELECT count(*) AS n FROM b) SELECT i / 10.0::DOUBLE AS threshold, count(*) FILTER (n - df >= CAST(trunc(i / 10.0::DOUBLE * n) AS BIGINT)) AS n_qgrams FROM gdf, n, range(0, 10) r(i) GROUP BY i",
         "fastq_profile": f"""WITH {READ}, q AS (SELECT length(seq) AS n, list_transform(range(0, length(qual)), lambda i: ascii(substr(qual, i + 1, 1)) - 33) AS q FROM reads),
             p AS (SELECT n, list_sum(q) AS t, len(list_filter(q, lambda x: x < {P.b})) AS low, list_sum(list_transform(q, lambda x: pow(10.0, x / -10.0))) AS err FROM q)
             SELECT count(*) AS n_reads, CAST(sum(n) AS BIGINT) AS n_bases, max(n) AS max_length, round(min(t / n), 6) AS min_mean_quality, round(sum(t) / sum(n), 6) AS mean_quality, max(low) AS max_low_bases, round(avg(low), 6) AS avg_low_bases, round(sum(err) / sum(n), 9) AS error_rate FROM p""",

@@ -9,16 +9,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
-from strandlake.operators import analysis, bitmap, index, locator, mapper, models
+from strandlake.jobs import store
+from strandlake.operators import align, analysis, bitmap, dictionary, index, learn, locator, mapper, models
 from strandlake.params import BUCKETS, DEFAULT, Params
-from strandlake.sources import dna
+from strandlake.sources import dna, formats
+from strandlake.streaming import mapping
 
 P = DEFAULT
+#: A gapped shape of length k.
+SHAPE = "110110111011"
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -252,6 +257,143 @@ def bucket_profile(spark: SparkSession, sf: str) -> DataFrame:
     return models.canonical_profile(_buckets(spark, sf), "bucket_id", 3)
 
 
+def bucket_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the best locations are in the buckets that the reads were cut from, and how far off."""
+    m = _located(spark, sf)
+    place = F.floor(F.col("pos") / P.B)
+    truth = m["reads"].select("read_id", (F.col("ref_ord") * BUCKETS + place).alias("true_bucket"), (F.col("pos") - place * P.B).alias("true_offset"))
+    return analysis.bucket_accuracy(stored(m["merged"], "merged"), truth, P.indel)
+
+
+def sam_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """Every location of every read, aligned: SAM rows with CIGARs of those with a mapping quality of 40 or more."""
+    m = _located(spark, sf)
+    return align.aligned_rows(m["locations"], m["reads"], m["buckets"], P)
+
+
+def sampled_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates by an index of a quarter of the q-grams: a k-mer without any of them is a hit in every bucket."""
+    return _mapped(spark, sf, replace(P, f=0.25))["cands"].select("read_id", "seg_off", "is_original", "bucket_id", "misses")
+
+
+def sam_report_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of several SAM files read back from one folder: best locations and all locations."""
+    m = _located(spark, sf)
+    refs = _refs(spark, sf).select(F.col("ref_ord").cast("string").alias("ref_id"), "seq")
+    path = f"{shared_dir(spark)}/strandlake-sam-{uuid.uuid4().hex}"
+    for name, found in (("best", m["merged"]), ("every", m["locations"])):
+        formats.write_sam(locator.sam_rows(found, m["reads"], P), refs, f"{path}/{name}.sam")
+    read = formats.read_sam(spark, f"{path}/*.sam").withColumn("mapper", F.regexp_extract("file", r"/(\w+)\.sam/[^/]*$", 1)).withColumn("pos", F.col("pos") - 1)
+    truth = m["reads"].select(F.col("name").alias("qname"), F.when(F.col("is_rev"), 16).otherwise(0).alias("flag"), F.col("ref_ord").cast("string").alias("rname"), "pos", F.lit(False).alias("is_random"))
+    return analysis.sam_report(read, truth, by="mapper")
+
+
+def unique_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads with one location among the best against reads with one candidate bucket."""
+    m = _located(spark, sf)
+    return analysis.uniqueness(m["merged"].select("read_id"), m["cands"].select("read_id", "bucket_id").distinct().select("read_id"))
+
+
+def gapped_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality sums under a gapped shape of every window of every segment, and the k-mers that pass by them."""
+    segs = mapper.good_kmers(mapper.segments(_reads(spark, sf, spread=True), P), P, SHAPE)
+    return segs.select("read_id", "seg_off", F.to_json(S.shaped_sums(S.phred("qual"), SHAPE)).alias("sums"), F.to_json("good.pos").alias("good"))
+
+
+def kmer_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile of every contig by the slots of the dictionary of all canonical 5-mers; digits of the texts are unknown bases."""
+    return dictionary.slot_profile(dna.refs(spark, sf, spread=True, unknown=True), "ref_ord", 5).select("ref_ord", "slot", "n", F.round("share", 9).alias("share"))
+
+
+def kmer_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense ids of all canonical 9-mers of the buckets, by first appearance; published as a version and loaded again."""
+    base = f"{shared_dir(spark)}/strandlake-models-{uuid.uuid4().hex}"
+    store.publish(dictionary.seen_kmers(_buckets(spark, sf, spread=True), P.q), base, "dictionary", {"k": P.q, "B": P.B, "L": P.L})
+    return store.load(spark, base, "dictionary", {"k": P.q})
+
+
+def bucket_frequency_model(spark: SparkSession, sf: str) -> DataFrame:
+    """5-mer frequencies of every bucket; published as a version and loaded again."""
+    base = f"{shared_dir(spark)}/strandlake-models-{uuid.uuid4().hex}"
+    store.publish(models.frequency_model(_buckets(spark, sf, spread=True), "bucket_id", 5), base, "frequency", {"k": 5, "prior": 0.001})
+    return store.load(spark, base, "frequency", {"k": 5, "prior": 0.001}).select("bucket_id", "kmer", F.round("logp", 6).alias("logp"))
+
+
+def bucket_markov_model(spark: SparkSession, sf: str) -> DataFrame:
+    return models.markov_model(_buckets(spark, sf, spread=True), "bucket_id", 3).select("bucket_id", "prefix", "base", F.round("logp", 6).alias("logp"))
+
+
+def bucket_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of buckets whose distinct 14-mers have a similarity of half or more, by the least bucket of each set."""
+    sets = stored(models.kmer_sets(_buckets(spark, sf, spread=True), "bucket_id", 14), "sets")
+    return models.jaccard(stored(models.representatives(sets, "bucket_id").select("bucket_id", "s"), "distinct"), "bucket_id", 0.5)
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    model = stored(models.frequency_model(_refs(spark, sf, spread=True), "ref_ord", P.q), "model")
+    reads = _reads(spark, sf, spread=True).select("read_id", F.when(F.col("is_rev"), S.revcomp("seq")).otherwise(F.col("seq")).alias("seq"), "ref_ord")
+    return learn.margins(model, models.kmers(reads, "read_id", P.q), reads.select("read_id", "ref_ord"), "ref_ord", "read_id")
+
+
+def classification_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """Log likelihood of every read's true contig, and the largest of all others."""
+    return _judged(spark, sf)
+
+
+def classification_harness(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of reads that the frequency model puts in their own contig, and its mean margin."""
+    return learn.harness(_judged(spark, sf))
+
+
+def profile_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Variance along the principal components of the buckets' canonical 3-mer profiles."""
+    return learn.explained_variance(_buckets(spark, sf, spread=True), "bucket_id", 3)
+
+
+def bucket_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out windows of each class of a trained classifier, and how many it puts in their own bucket."""
+    buckets = stored(_buckets(spark, sf, spread=True).select("bucket_id", "seq"), "buckets")
+    _, chosen, accuracy = learn.trained_classifier(buckets, P)
+    return accuracy.join(chosen, "label").select("bucket_id", "n", "n_right")
+
+
+def fasta_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Contigs written as FASTA and read by record-aligned splits."""
+    path = f"{shared_dir(spark)}/strandlake-fasta-{uuid.uuid4().hex}"
+    formats.write_fasta(_refs(spark, sf).select(F.concat(F.lit("c"), "ref_ord").alias("ref_id"), "seq"), path)
+    return formats.read_fasta(spark, path, 1 << 20).select("ref_id", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("digest"))
+
+
+def fastq_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads written as FASTQ and read by record-aligned splits."""
+    path = f"{shared_dir(spark)}/strandlake-fastq-{uuid.uuid4().hex}"
+    formats.write_fastq(_reads(spark, sf), path)
+    return formats.read_fastq(spark, path, 1 << 16).select("name", "seq", "qual")
+
+
+def threshold_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinguishable q-grams at ten thresholds, written as logs and scraped from them."""
+    buckets = stored(_buckets(spark, sf, spread=True).select("bucket_id", "seq"), "buckets")
+    n = buckets.count()
+    df = index.qgram_df(buckets, P)
+    at = [i / 10 for i in range(10)]
+    counts = df.agg(*(F.count(F.when(F.lit(n) - F.col("df") >= int(d * n), 1)).alias(f"n{i}") for i, d in enumerate(at))).first()
+    path = f"{shared_dir(spark)}/strandlake-logs-{uuid.uuid4().hex}"
+    for d, found in zip(at, counts, strict=True):  # ten small files
+        lines = [(0, "[INFO] loading"), (1, f"[BENCHMARK] Number of Q-grams with distinguishability >= {d}: {found} q-grams"), (2, "[INFO] done")]
+        spark.createDataFrame(lines, "i int, value string").coalesce(1).select("value").write.text(f"{path}/bucketmap_{d:g}_0_map.log")
+    return formats.experiment_logs(spark, f"{path}/*").select("threshold", "n_qgrams")
+
+
+def streamed_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of the reads as a stream of files, against a stored index."""
+    base = f"{shared_dir(spark)}/strandlake-stream-{uuid.uuid4().hex}"
+    _reads(spark, sf, spread=True).select("read_id", "name", "seq", "qual").write.parquet(f"{base}/reads")
+    mapping.store_index(_refs(spark, sf, spread=True), P, f"{base}/index")
+    mapping.map_stream(spark, f"{base}/reads", f"{base}/index", f"{base}/out", f"{base}/state", P).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("read_id", "seg_off", "is_original", "bucket_id", "misses")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -259,6 +401,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             contigs, bucketize, bucket_ordinals, genome_stats, qgram_df, bucket_postings, frac_min_hash, distinguishability, simulated_reads, segments, good_kmers, locating_seeds, reverse_complement, candidate_buckets,
             candidate_levels, candidate_stats, candidate_histogram, mapping_recall, unmapped_reads, locations, best_locations, sam, sam_report, fastq_profile, kmer_profile, gapped_kmers, frequency_model,
             frequency_model_spread, markov_model, classified_reads, contig_jaccard, contig_sets, locator_accuracy, bucket_profile,
+            bucket_accuracy, sam_aligned, sampled_candidates, sam_report_by_file, unique_reads, gapped_quality, kmer_slots, kmer_dictionary, bucket_frequency_model, bucket_markov_model, bucket_jaccard,
+            classification_margins, classification_harness, profile_components, bucket_classifier, fasta_round_trip, fastq_round_trip, threshold_logs, streamed_candidates,
         )
     }
 

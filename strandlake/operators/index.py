@@ -33,17 +33,20 @@ def bucketize(contigs: DataFrame, p: Params, extra: int = 0, keep_tail: bool = F
     return out if keep_tail else out.where(F.length("seq") > p.L)
 
 
-def dense_ids(buckets: DataFrame, block: int = 4096) -> DataFrame:
-    """Adds ``ordinal``: the bucket's number in contig order, by prefix sums of contigs within blocks and of blocks.
+def prefix_sums(counts: DataFrame, key: str, n: str, block: int = 4096) -> DataFrame:
+    """(key, before): the sum of ``n`` over lesser keys, of which each occurs once. Sums within blocks of keys, then of blocks: the window
+    without partition sees one row for ``block`` keys, a quarter of a million for a thousand million."""
+    cut = counts.select(key, F.col(n).alias("n"), F.floor(F.col(key) / F.lit(block)).alias("block"))
+    inner = cut.withColumn("within", F.sum("n").over(W.partitionBy("block").orderBy(key)) - F.col("n"))
+    blocks = cut.groupBy("block").agg(F.sum("n").alias("m")).withColumn("base", F.sum("m").over(W.orderBy("block")) - F.col("m"))
+    return inner.join(blocks, "block").select(key, (F.col("base") + F.col("within")).cast("long").alias("before"))
 
-    Only one row per ``block`` contigs meets in the last window.
-    """
-    per_ref = buckets.groupBy("ref_ord").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("ref_ord") / F.lit(block)))
-    inner = per_ref.withColumn("within", F.sum("n").over(W.partitionBy("block").orderBy("ref_ord")) - F.col("n"))
-    blocks = per_ref.groupBy("block").agg(F.sum("n").alias("m")).withColumn("base", F.sum("m").over(W.orderBy("block")) - F.col("m"))
-    first = inner.join(blocks, "block").select("ref_ord", (F.col("base") + F.col("within")).alias("first"))
+
+def dense_ids(buckets: DataFrame, block: int = 4096) -> DataFrame:
+    """Adds ``ordinal``: the bucket's number in contig order, by prefix sums of the contigs' counts."""
+    first = prefix_sums(buckets.groupBy("ref_ord").agg(F.count(F.lit(1)).alias("n")), "ref_ord", "n", block)
     rank = F.row_number().over(W.partitionBy("ref_ord").orderBy("idx")) - 1
-    return buckets.withColumn("rank", rank).join(first, "ref_ord").withColumn("ordinal", (F.col("first") + F.col("rank")).cast("long")).drop("rank", "first")
+    return buckets.withColumn("rank", rank).join(first, "ref_ord").withColumn("ordinal", (F.col("before") + F.col("rank")).cast("long")).drop("rank", "before")
 
 
 def with_qgrams(buckets: DataFrame, p: Params) -> DataFrame:

@@ -19,10 +19,16 @@ def segments(reads: DataFrame, p: Params) -> DataFrame:
     return cut.select("read_id", "seg_off", "read_len", piece("seq").alias("seq"), piece("qual").alias("qual")).withColumn("seg_len", F.length("seq"))
 
 
-def good_kmers(segs: DataFrame, p: Params) -> DataFrame:
-    """Adds ``good``: (pos, kmer) of the k-mers whose qualities sum to b * k or more, in order."""
-    both = F.arrays_zip(S.positions(F.length("seq") - (p.k - 1)).alias("pos"), S.kmer_codes("seq", p.k).alias("kmer"), S.window_sums(S.phred("qual"), p.k).alias("quality"))
-    kept = F.filter(both, lambda x: x["quality"] >= p.b * p.k)
+def good_kmers(segs: DataFrame, p: Params, shape: str | None = None) -> DataFrame:
+    """Adds ``good``: (pos, kmer) of the k-mers whose qualities sum to b * k or more, in order.
+
+    With a gapped ``shape`` of length k, only the bases under its ones count, and b times their number is asked.
+    """
+    if shape is not None and len(shape) != p.k:
+        raise ValueError(f"a shape of length {p.k} is needed")
+    sums = S.window_sums(S.phred("qual"), p.k) if shape is None else S.shaped_sums(S.phred("qual"), shape)
+    both = F.arrays_zip(S.positions(F.length("seq") - (p.k - 1)).alias("pos"), S.kmer_codes("seq", p.k).alias("kmer"), sums.alias("quality"))
+    kept = F.filter(both, lambda x: x["quality"] >= p.b * (p.k if shape is None else shape.count("1")))
     return segs.withColumn("good", F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), x["kmer"].alias("kmer"))))
 
 

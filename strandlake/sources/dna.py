@@ -16,13 +16,14 @@ from strandlake.params import Params
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-def refs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def refs(spark: SparkSession, sf_dir: str, spread: bool = False, unknown: bool = False) -> DataFrame:
     """(ref_ord, seq) of every document with a text, as read: map-only.
 
     With ``spread`` the sequences are dealt to the shuffle partitions, for work that costs far more than moving them, on rows of very
-    uneven size or a table of a few files.
+    uneven size or a table of a few files. With ``unknown`` the texts' digits are unknown bases (N).
     """
-    dna = F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, "ACGT" * 13)
+    letters, bases = (LETTERS + "0123456789", "ACGT" * 13 + "N" * 10) if unknown else (LETTERS, "ACGT" * 13)
+    dna = F.translate(F.regexp_replace("text", "[^A-Za-z0-9]" if unknown else "[^A-Za-z]", ""), letters, bases)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").isNotNull())
     rows = docs.select(F.col("doc_id").alias("ref_ord"), dna.alias("seq"))
     return rows.repartition("ref_ord") if spread else rows

@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from strandlake.sources import records
 
-def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(i, value): lines in file order. An RDD, as only it numbers lines across splits."""
-    return spark.createDataFrame(spark.read.text(path).rdd.zipWithIndex().map(lambda x: Row(i=x[1], value=x[0][0])), "i long, value string")
 
+def _numbered_lines(spark: SparkSession, path: str, split_bytes: int = records.SPLIT_BYTES) -> DataFrame:
+    """(i, value): lines in file order."""
+    return records.with_ordinals(records.load(spark, "numbered_lines", path, split_bytes), "i").select("i", "value")
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+
+def read_fasta(spark: SparkSession, path: str, split_bytes: int = records.SPLIT_BYTES) -> DataFrame:
     """(ref_ord, ref_id, seq): records parted by ``>``; blank lines and N are dropped, bases upper-cased."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    rows = spark.createDataFrame(raw.rdd.zipWithIndex().map(lambda x: Row(ref_ord=x[1], value=x[0][0])), "ref_ord long, value string")
-    head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"[\sNn]", ""))
-    return rows.select("ref_ord", head.alias("ref_id"), body.alias("seq"))
+    return records.with_ordinals(records.load(spark, "fasta", path, split_bytes), "ref_ord").select("ref_ord", F.col("header").alias("ref_id"), "seq")
 
 
 def write_fasta(refs: DataFrame, path: str) -> None:
@@ -30,11 +27,9 @@ def name_ordinals(refs: DataFrame) -> DataFrame:
     return refs.groupBy(F.regexp_extract("ref_id", r"^([^/\s]*)", 1).alias("name")).agg(F.max("ref_ord").alias("ref_ord"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, split_bytes: int = records.SPLIT_BYTES) -> DataFrame:
     """(read_id, name, seq, qual) of four-line records."""
-    lines = _numbered_lines(spark, path)
-    part = lambda k: F.max(F.when(F.col("i") % 4 == k, F.col("value")))
-    return lines.groupBy(F.floor(F.col("i") / 4).alias("read_id")).agg(F.substring(part(0), 2, 1 << 30).alias("name"), part(1).alias("seq"), part(3).alias("qual"))
+    return records.with_ordinals(records.load(spark, "fastq", path, split_bytes), "read_id").select("read_id", "name", "seq", "qual")
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:
@@ -54,7 +49,8 @@ def write_sam(rows: DataFrame, refs: DataFrame, path: str) -> None:
     Reads stay in their partitions, one file each; files in the order of their names are the whole.
     """
     header = refs.select(F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "ref_id"), F.concat(F.lit("LN:"), F.length("seq"))).alias("value"))
-    body = rows.select(F.concat_ws("\t", "qname", "flag", "rname", F.col("pos") + 1, "mapq", F.lit("*"), F.lit("*"), F.lit(0), F.lit(0), "seq", "qual").alias("value"))
+    cigar = F.col("cigar") if "cigar" in rows.columns else F.lit("*")
+    body = rows.select(F.concat_ws("\t", "qname", "flag", "rname", F.col("pos") + 1, "mapq", cigar, F.lit("*"), F.lit(0), F.lit(0), "seq", "qual").alias("value"))
     header.coalesce(1).unionByName(body).write.text(path)
 
 
@@ -92,3 +88,29 @@ def timing_logs(spark: SparkSession, path: str) -> DataFrame:
     fields = {"user_s": r"User time \(seconds\): ([\d.]+)", "wall": r"Elapsed .*: ([\d:.]+)", "rss_kb": r"Maximum resident set size \(kbytes\): (\d+)", "major_faults": r"Major .*faults: (\d+)", "minor_faults": r"Minor .*faults: (\d+)"}
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
     return lines.groupBy("file").agg(*(F.max(F.when(F.col("value").rlike(r), F.regexp_extract("value", r, 1))).alias(n) for n, r in fields.items()))
+
+
+def rename_headers(lines: DataFrame) -> DataFrame:
+    """Lines with the blanks of their headers (``@``) turned into underscores."""
+    return lines.select(F.when(F.col("value").startswith("@"), F.regexp_replace("value", " ", "_")).otherwise(F.col("value")).alias("value"))
+
+
+def strip_tag(lines: DataFrame, tag: str = "ZE:f:") -> DataFrame:
+    """Lines of a SAM file without the optional field of this tag."""
+    return lines.select(F.when(F.col("value").startswith("@"), F.col("value")).otherwise(F.regexp_replace("value", "\t" + tag + "[^\t]*", "")).alias("value"))
+
+
+#: The line of each metric in a mapper's log, and where its number stands in the line.
+METRICS = {
+    "fwd_per_read": (r"Average number of buckets an original read is mapped to.* (-?\d+(?:\.\d+)?)[^\d]*$", "double"),
+    "rev_per_read": (r"Average number of buckets a reverse complement of the read is mapped to.* (-?\d+(?:\.\d+)?)[^\d]*$", "double"),
+    "n_qgrams": (r"Number of Q-grams with distinguishability.* (\d+) \S+\s*$", "long"),
+}
+
+
+def experiment_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(threshold, fwd_per_read, rev_per_read, n_qgrams): the metrics of one mapper's log for each threshold, which the file's or folder's
+    name tells (``bucketmap_<threshold>_0_map.log``); the last line of a metric counts."""
+    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"bucketmap_([\d.]+)_0_map\.log", 1).alias("threshold"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    last = lambda r, kind: F.max_by(F.when(F.col("value").rlike(r), F.regexp_extract("value", r, 1)), F.when(F.col("value").rlike(r), F.struct("file", "block", "i"))).cast(kind)
+    return lines.groupBy(F.col("threshold").cast("double").alias("threshold")).agg(*(last(r, kind).alias(n) for n, (r, kind) in METRICS.items()))
