@@ -24,7 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -185,12 +185,19 @@ class Chunk:
     text_back: bool
 
 
+@lru_cache(4)
+def _built(raw: bytes) -> tuple:
+    """A model's tokenizer, kept for the worker's life: its threads keep a cache of their own for every tokenizer that was ever built,
+    so one that is built anew in each stage grows the worker."""
+    spec = parse_model(raw)
+    return spec, build_tokenizer(spec)
+
+
 class Codec:
     """Encodes and decodes texts by a SentencePiece model; keeps a bounded cache of chunks."""
 
     def __init__(self, raw: bytes, verify: bool = True, cache: int = CACHE_CHUNKS):
-        self.spec = parse_model(raw)
-        self.tok = build_tokenizer(self.spec)
+        self.spec, self.tok = _built(raw)
         self.size = cache
         self.cache: dict[str, Chunk] = {}
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.spec.pieces])
