@@ -9,7 +9,10 @@ descendant never contradict each other.
 
 Training: no page is labelled, so labels are weak. Of at most ``sample`` pages
 (the smallest by a hash of their content: a documented bound) those with
-semantic markup teach it, by their article or main element. Their texts are also
+semantic markup teach it, by their article or main element. Pages without such an
+element are judged by trees of their own: they learn from the same pages without that
+markup, without class names, and without any tag that tells its role, so that no tag or
+name decides alone. Only pages of 200 to 50,000 characters are sampled. Their texts are also
 set into pages of other layouts, drawn at random by a fixed seed, whose main
 parts are known: with and without semantic tags, under many class names, with
 menus, sidebars, notices, adverts, forms and comments about them. The fit runs on
@@ -29,6 +32,7 @@ import html
 import math
 import random
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -199,24 +203,65 @@ def _made_page(rng: random.Random, texts: list[str]) -> str:
     return f"<html><head><title>{words(1, 6)}</title></head><body>{''.join(before)}{article}{''.join(after)}</body></html>"
 
 
-def train(sample: list[str], made: int = MADE_PAGES, seed: int = 11) -> Boosted:
+_NEUTRAL = {t: "div" for t in ("article", "main", "section")}
+_BARE = _NEUTRAL | {t: "div" for t in ("nav", "header", "footer", "aside", "dialog", "menu")}
+
+
+def neutral(page: Page, tags: dict[str, str], named: bool) -> Page:
+    """The page with other tags for some of its elements and, unless ``named``, without the kinds that attributes name."""
+    return replace(page, tag=[tags.get(t, t) for t in page.tag], kinds=page.kinds if named else [frozenset()] * len(page.kinds))
+
+
+def is_marked(page: Page) -> bool:
+    """Whether an element says which part is main."""
+    return "article" in page.tag or "main" in page.tag
+
+
+@dataclass
+class Judges:
+    """Trees for pages with an article or main element, and for pages without."""
+
+    marked: Boosted
+    bare: Boosted
+
+    def margins(self, pages: list[Page]) -> list[np.ndarray]:
+        """Margins of the nodes of each page."""
+        out: list[np.ndarray] = [np.zeros(0)] * len(pages)
+        for trees, marked in ((self.marked, True), (self.bare, False)):
+            own = [i for i, p in enumerate(pages) if is_marked(p) == marked]
+            each = [html_tree.features(pages[i]) for i in own]
+            margin = trees.margin(np.array([r for rows in each for r in rows], np.float64).reshape(-1, len(FEATURES)))
+            ends = np.cumsum([len(rows) for rows in each]) if own else []
+            for i, part in zip(own, np.split(margin, ends[:-1]) if own else [], strict=True):
+                out[i] = part
+        return out
+
+
+def train(sample: list[str], made: int = MADE_PAGES, seed: int = 11) -> Judges:
     """Fits the trees on weakly labelled pages and on pages of known layout made from their texts."""
-    rows, labels, texts = [], [], []
+    known, texts = [], []
     for source in sample:
         page = html_tree.read(source)
         label = weak_labels(page)
         if label is None:
+            texts += [t for _, t in page.runs if len(t) > 60]
             continue
-        rows += html_tree.features(page)
-        labels += label
+        known.append((page, label))
         texts += [t for owner, t in page.runs if len(t) > 20]
     rng = random.Random(seed)
     texts = texts or ["lorem ipsum dolor sit amet, consectetur adipiscing elit. sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."]
+    drawn = []
     for _ in range(made):
         page = html_tree.read(_made_page(rng, texts))
-        rows += html_tree.features(page)
-        labels += _spread(page, page.truth)
-    return Boosted().fit(np.array(rows, np.float64), np.array(labels, np.float64))
+        drawn.append((page, _spread(page, page.truth)))
+
+    def fit(pages: list[tuple[Page, list[int]]]) -> Boosted:
+        rows = [r for page, _ in pages for r in html_tree.features(page)]
+        return Boosted().fit(np.array(rows, np.float64), np.array([x for _, label in pages for x in label], np.float64))
+
+    bare = [(neutral(page, tags, named), label) for page, label in known for tags, named in ((_NEUTRAL, True), (_NEUTRAL, False), (_BARE, False))]
+    bare += [(neutral(page, *((_NEUTRAL, True), (_NEUTRAL, True), (_NEUTRAL, False), (_BARE, False))[i % 4]), label) for i, (page, label) in enumerate(drawn)]
+    return Judges(fit(known + drawn), fit(bare))
 
 
 def sample_pages(pages: DataFrame, column: str = "html", n: int = SAMPLE_PAGES) -> list[str]:
@@ -230,7 +275,7 @@ def sample_pages(pages: DataFrame, column: str = "html", n: int = SAMPLE_PAGES)
     return [r.h for r in sorted(chosen, key=lambda r: r.k)]
 
 
-def extract(pages: DataFrame, column: str = "html", keep: list[str] | None = None, model: Boosted | None = None) -> DataFrame:
+def extract(pages: DataFrame, column: str = "html", keep: list[str] | None = None, model: Judges | None = None) -> DataFrame:
     """The columns ``keep`` (default: all), ``text`` and ``n_chars`` of every row."""
     shield = common.Shield(pages)
     cols = shield.columns if keep is None else [shield.at[c] for c in keep]
@@ -240,17 +285,11 @@ def extract(pages: DataFrame, column: str = "html", keep: list[str] | None = Non
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        judges = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
+            for batch in common.text_chunks(whole, "html", 4 << 20):
                 read = [html_tree.read(h) for h in batch.column("html").to_pylist()]
-                each = [html_tree.features(p) for p in read]
-                margin = trees.margin(np.array([r for rows in each for r in rows], np.float64).reshape(-1, len(FEATURES)))
-                texts, at = [], 0
-                for page, rows in zip(read, each, strict=True):
-                    texts.append(main_text(page, decode(page, margin[at : at + len(rows)])))
-                    at += len(rows)
+                texts = [main_text(page, decode(page, margin)) for page, margin in zip(read, judges.margins(read), strict=True)]
                 made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), *made], names=[*cols, "text", "n_chars"])
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
-DROPPED = frozenset("head select option button svg canvas object audio video math datalist".split())
+DROPPED = frozenset("head select option button svg canvas object audio video datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()

@@ -2,7 +2,7 @@
 
 The base rules find assignments, access keys and hex strings. The novelty method
 looks on both sides of every sensitive word (password, token, ...) for strings that
-are no plain words and measures what each adds to the compressed size of the text
+are no plain words (letters of one case are none from 24 letters on) and measures what each adds to the compressed size of the text
 around it, by a compressor primed with a dictionary of code and identifiers. A
 string that costs almost its full entropy is new to both text and dictionary, so
 it is reported: names, versions and repeated constants are not. A candidate that
@@ -55,6 +55,8 @@ REACH = 64
 CONTEXT = 256
 #: A candidate has at least so many bits of entropy, if drawn from its own alphabet: 18 digits, or 10 letters and digits of both cases.
 MIN_BITS = 59.0
+#: Letters of one case may be a word, however new: they need as much as 24 of them have, more than words have, and cost all of it.
+LETTER_BITS, LETTER_NOVELTY = 112.0, 1.0
 #: A candidate is incompressible if it costs this share of the entropy of its own alphabet.
 NOVELTY = 0.9
 
@@ -92,8 +94,13 @@ class Novelty:
 
     def is_novel(self, before: str, candidate: str, after: str, share: float = NOVELTY) -> bool:
         """Whether the candidate's marginal cost is near the entropy of a random string over its alphabet."""
+        least = MIN_BITS
+        if plain(candidate):
+            if not candidate.isalpha():
+                return False
+            least, share = LETTER_BITS, LETTER_NOVELTY
         bits = len(candidate) * alphabet_bits(candidate)
-        return bits >= MIN_BITS and self.marginal(before, candidate, after) * 8 >= share * bits
+        return bits >= least and self.marginal(before, candidate, after) * 8 >= share * bits
 
 
 _CLASSES = ((re.compile("[0-9]"), 10), (re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[^0-9A-Za-z]"), 8))
@@ -179,7 +186,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
             if start == end or (at < len(taken) and taken[at][0] <= start and end <= taken[at][1]):
                 continue
             candidate = text[start:end]
-            if not plain(candidate) and novelty.is_novel(text[max(0, start - CONTEXT) : start], candidate, text[end : end + CONTEXT]):
+            if novelty.is_novel(text[max(0, start - CONTEXT) : start], candidate, text[end : end + CONTEXT]):
                 found[start] = end
     return [(s, e, "novel") for s, e in found.items()]
 

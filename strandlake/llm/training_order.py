@@ -1,11 +1,11 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride shards.
 
 1. *Tokenise.* Texts become tokens (16-bit ids of a byte-level vocabulary, and an end
-   mark), written once. A run of rows that a task reads gives one count; the runs' sums, in the
-   order of files and of rows in them, give every token a global position. So the
-   order depends on the stored table and the key alone, not on how Spark splits it.
+   mark), written once. Each split of the stored table gives one count; their sums, in the order of
+   files and of places in them, give every token a global position. So the order depends on the
+   stored table and the key alone, not on how Spark splits it, and filters leave no more counts.
 2. *Cut.* Positions are cut into sequences of ``length`` tokens. Tokens are sent as
-   pieces, one for each sequence that a run of texts touches, so a text of any length
+   pieces, one for each sequence that following texts touch, so a text of any length
    is spread over tasks.
 3. *Permute.* A Feistel network keyed by ``key`` permutes the sequence numbers; its
    domain is the least even power of two above their count, and a number that
@@ -25,6 +25,7 @@ table gives no sequences.
 from __future__ import annotations
 
 import base64
+import contextlib
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -85,30 +86,31 @@ def _cache(ranks: bytes) -> WordCache:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(file, row, text): every row with its place in the stored table."""
-    place = lambda df: df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "text")
-    try:
-        return place(docs)
-    except AnalysisException:  # no stored table, or one whose format does not number rows
-        return place(common.written(common.only(docs, "text"), "texts"))
+    """(file, split, row, text): every row with its place in the stored table. A split of a file is read by one task in the order of its
+    rows, whichever of them a filter leaves."""
+    place = lambda df: df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.row_index").alias("row"), "text")
+    if _as_read(docs):
+        with contextlib.suppress(AnalysisException):  # a format that does not number rows
+            return place(docs)
+    return place(common.written(common.only(docs, "text"), "texts"))
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], ranks: bytes, mark: bytes) -> Iterator[tuple[list[str], list[int], list[bytes]]]:
-    """Files, rows and ids of each slice of texts."""
+def _as_read(docs: DataFrame) -> bool:
+    """Whether the rows are a stored table's, at most filtered: no exchange or join lies between."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().size() == 0 and "_metadata" not in docs.columns
+
+
+def _tokenised(batches: Iterator[pa.RecordBatch], ranks: bytes, mark: bytes) -> Iterator[tuple[str, int, bytes]]:
+    """File, split and ids of each text."""
     encode = _cache(ranks)
     for batch in batches:
         for part in common.text_chunks(batch):
-            files, rows, texts = (part.column(c).to_pylist() for c in ("file", "row", "text"))
-            yield files, rows, [encode(t) + mark if t else b"" for t in texts]
-
-
-def _runs(slices: Iterator[tuple[list[str], list[int], list[bytes]]]) -> Iterator[tuple[str, int, bool, bytes]]:
-    """(file, row, whether a run of rows begins, ids) of each text."""
-    last: tuple[str, int] | None = None
-    for files, rows, ids in slices:
-        for file, row, own in zip(files, rows, ids, strict=True):
-            yield file, row, last != (file, row - 1), own
-            last = file, row
+            files, splits, texts = (part.column(c).to_pylist() for c in ("file", "split", "text"))
+            for file, split, t in zip(files, splits, texts, strict=True):
+                yield file, split, encode(t) + mark if t else b""
 
 
 @cache
@@ -128,25 +130,25 @@ def _unpacked(raw: bytes) -> bytes:
 
 
 def tokenised(rows: DataFrame, ranks: bytes, mark: bytes) -> DataFrame:
-    """(file, first, start, n, ids): each text's run of rows, by its file and first row, where it starts in it, and its ids.
+    """(file, split, start, n, ids): each text's split, where the text starts in it, and its ids.
 
     Written in the shared folder, compressed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = start = size = 0
+        now, start, size = None, 0, 0
         held: list[tuple] = []
 
         def flushed() -> pa.RecordBatch:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["file", "first", "start", "n", "ids"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["file", "split", "start", "n", "ids"])
             held.clear()
             return batch
 
-        for file, row, begins, ids in _runs(_tokenised(batches, ranks, mark)):
-            if begins:
-                first, start = row, 0
-            held.append((file, first, start, len(ids) // 2, ids))
+        for file, split, ids in _tokenised(batches, ranks, mark):
+            if now != (file, split):
+                now, start = (file, split), 0
+            held.append((file, split, start, len(ids) // 2, ids))
             start, size = start + len(ids) // 2, size + len(ids)
             if size > 1 << 20:
                 yield flushed()
@@ -154,14 +156,14 @@ def tokenised(rows: DataFrame, ranks: bytes, mark: bytes) -> DataFrame:
         if held:
             yield flushed()
 
-    return common.written(rows.mapInArrow(run, "file string, first long, start long, n long, ids binary"), "tokens")
+    return common.written(rows.mapInArrow(run, "file string, split long, start long, n long, ids binary"), "tokens")
 
 
-def run_starts(tokens: DataFrame) -> tuple[dict[tuple[str, int], int], int]:
-    """The position of the first token of each run; and the total. A row for each split reaches the driver."""
-    counted = sorted(tokens.groupBy("file", "first").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.file, r.first))
+def split_starts(tokens: DataFrame) -> tuple[dict[tuple[str, int], int], int]:
+    """The position of the first token of each split; and the total. A row for each split of the stored table reaches the driver."""
+    counted = sorted(tokens.groupBy("file", "split").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.file, r.split))
     ends = list(accumulate((r.n for r in counted), initial=0))
-    return {(r.file, r.first): at for r, at in zip(counted, ends, strict=False)}, ends[-1]
+    return {(r.file, r.split): at for r, at in zip(counted, ends, strict=False)}, ends[-1]
 
 
 def permuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -208,7 +210,7 @@ def unpermuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndar
 def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) -> tuple[DataFrame, int, int]:
     """(slot, seq, at, ids): packed parts of sequences with their offset in tokens; and the numbers of sequences and tokens."""
     tokens = tokenised(rows, ranks, mark)
-    starts, total = run_starts(tokens)
+    starts, total = split_starts(tokens)
     n = -(-total // length)
     shared = rows.sparkSession.sparkContext.broadcast(starts)
 
@@ -233,8 +235,8 @@ def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) ->
             return batch
 
         for batch in batches:
-            for file, first, start, ids in zip(*(batch.column(c).to_pylist() for c in ("file", "first", "start", "ids")), strict=True):
-                position, used, size = bases[file, first] + start, 0, size + len(ids)
+            for file, split, start, ids in zip(*(batch.column(c).to_pylist() for c in ("file", "split", "start", "ids")), strict=True):
+                position, used, size = bases[file, split] + start, 0, size + len(ids)
                 while used < len(ids) // 2:
                     take = min(len(ids) // 2 - used, length - position % length)
                     if position != end or position % length == 0:
@@ -250,7 +252,7 @@ def pieces(rows: DataFrame, length: int, key: int, ranks: bytes, mark: bytes) ->
         if seqs:
             yield flushed()
 
-    return tokens.select("file", "first", "start", "ids").mapInArrow(run, "slot long, seq long, at int, ids binary"), n, total
+    return tokens.select("file", "split", "start", "ids").mapInArrow(run, "slot long, seq long, at int, ids binary"), n, total
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = 2026, ranks_path: str = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", end_mark: int = END_MARK) -> tuple[DataFrame, int, int]:

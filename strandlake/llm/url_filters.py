@@ -132,13 +132,14 @@ def template_purity(counts: DataFrame, tree: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: DataFrame | None = None, reject: float = REJECT, min_labels: int = MIN_LABELS) -> DataFrame:
     """page_id, host, path, rule, verdict, template_rejected of every row; ``labels``: (page_id, bad)."""
     host, path = host_and_path()
+    pages = common.only(pages, "page_id", "url")
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, rule_verdict = matched_rule(rules)
     rows = rows.withColumn("rule", rule).withColumn("rule_verdict", rule_verdict).withColumn("segs", segments())
     if labels is None:
         labelled = rows.withColumn("bad", F.when(F.col("rule_verdict").isNotNull(), (F.col("rule_verdict") == "block").cast("int")))
     else:
-        labelled = rows.join(labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")), "page_id", "left")
+        labelled = rows.join(common.only(labels, "page_id", "bad").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")), "page_id", "left")
     counts = common.cut(path_counts(labelled))
     tree = common.cut(template_tree(counts))
     rejected = template_purity(counts, tree).where((F.col("purity") >= reject) & (F.col("h_labels") >= min_labels))

@@ -195,7 +195,7 @@ def test_html_blocks_and_accuracy(spark):
     for _ in range(150):
         p = html_tree.read(html_extraction._made_page(rng, ["other text than in training, which has its own words. it goes on."]))
         truth = html_extraction._spread(p, p.truth)
-        main = html_extraction.decode(p, model.margin(np.array(html_tree.features(p))))
+        main = html_extraction.decode(p, model.margins([p])[0])
         a, b = ({i for i, (o, _) in enumerate(p.runs) if x[o]} for x in (main, truth))
         scores.append(2 * len(a & b) / max(1, len(a) + len(b)))
         assert all(not m or p.parent[i] < 0 or main[p.parent[i]] for i, m in enumerate(main))
