@@ -140,19 +140,21 @@ def sql() -> dict[str, str]:
         "bucket_ordinals": f"WITH {BUCKET} SELECT bucket_id, row_number() OVER (ORDER BY ref_ord, idx) - 1 AS ordinal FROM b",
         "genome_stats": f"WITH {DNA} SELECT count(*) AS n_refs, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(sum(ceil(length(seq) / {P.B}.0)) AS BIGINT) AS n_slices, max(length(seq)) AS longest FROM dna",
         "qgram_df": f"WITH {QGRAM} SELECT {_code('g')} AS qgram, df FROM gdf",
-        "bucket_postings": f"WITH {QGRAM}, c AS (SELECT g, {_code('g')} AS code FROM gdf) SELECT bucket_id, count(*) AS n_distinct, min(code) AS least, max(code) AS most FROM post JOIN c USING (g) GROUP BY bucket_id",
+        "bucket_postings": f"WITH {QGRAM}, c AS (SELECT g, {_code('g')} AS code FROM gdf) SELECT bucket_id, count(*) AS n_distinct, min(code) AS least, max(code) AS most, md5(string_agg(CAST(code AS VARCHAR), ',' ORDER BY code)) AS digest FROM post JOIN c USING (g) GROUP BY bucket_id",
         "frac_min_hash": f"WITH {QGRAM}, c AS (SELECT {_code('g')} AS qgram FROM gdf) SELECT qgram, ((12345 * qgram + 678) % 116731) % 10000 AS hash, ((12345 * qgram + 678) % 116731) % 10000 <= 2500 AS kept FROM c",
         "distinguishability": f"WITH {QGRAM}, n AS (SELECT count(*) AS n FROM b) SELECT count(*) AS n_qgrams, count(*) FILTER (n - df >= CAST(trunc({P.d} * n) AS BIGINT)) AS n_rare, count(*) FILTER (n - df > CAST(trunc({P.d} * n) AS BIGINT)) AS n_rare_strict, max(df) AS most FROM gdf, n",
         "simulated_reads": f"WITH {READ} SELECT * FROM reads",
         "segments": f"WITH {SEGMENT} SELECT read_id, CAST(seg_off AS INT) AS seg_off, CAST(length(seq) AS INT) AS seg_len, CAST(read_len AS INT) AS read_len, seq FROM segs",
-        "good_kmers": f"WITH {SEGMENT}, f AS (SELECT read_id, seg_off, count(*) AS n, arg_min(km, pos) AS km FROM good GROUP BY ALL) SELECT segs.read_id, CAST(segs.seg_off AS INT) AS seg_off, coalesce(n, 0) AS n_good, {_code('km')} AS first_kmer FROM segs LEFT JOIN f USING (read_id, seg_off)",
+        "good_kmers": f"WITH {SEGMENT}, f AS (SELECT read_id, seg_off, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS places, string_agg(CAST({_code('km')} AS VARCHAR), ',' ORDER BY pos) AS kmers FROM good GROUP BY ALL) SELECT segs.read_id, CAST(segs.seg_off AS INT) AS seg_off, coalesce(n, 0) AS n_good, coalesce(places, '') AS places, coalesce(kmers, '') AS kmers FROM segs LEFT JOIN f USING (read_id, seg_off)",
         "locating_seeds": f"""WITH {SEGMENT}, a AS (SELECT k1.*, count(*) FILTER (quality >= {P.b * P.k}) OVER (PARTITION BY read_id, seg_off) AS ng FROM k1),
             u AS (SELECT *, row_number() OVER (PARTITION BY read_id, seg_off ORDER BY pos) - 1 AS o, count(*) OVER (PARTITION BY read_id, seg_off) AS c FROM a WHERE ng = 0 OR quality >= {P.b * P.k}),
             p AS (SELECT read_id, seg_off, unnest({_sampler(P.P, '(c - 1)')}) AS o, unnest(range(0, {P.P})) AS ord FROM (SELECT DISTINCT read_id, seg_off, c FROM u))
             SELECT read_id, CAST(seg_off AS INT) AS seg_off, CAST(ord AS INT) AS ord, CAST(pos AS INT) AS pos, {_code('km')} AS kmer FROM p JOIN u USING (read_id, seg_off, o)""",
         "reverse_complement": f"""WITH {READ}, f AS (SELECT read_id, seq, substr(seq, 1, {P.k}) AS km FROM reads)
             SELECT read_id, {_code('km')} AS code, {_code(_rc('km'))} AS rc_code, least({_code('km')}, {_code(_rc('km'))}) AS canonical, km AS decoded, {_rc('seq')} AS rc_seq,
-            '[' || {" || ',' || ".join(_code(f'substr(km, {i + 1}, {P.q})') for i in reversed(range(P.k - P.q + 1)))} || ']' AS subcodes FROM f""",
+            '[' || {" || ',' || ".join(_code(f'substr(km, {i + 1}, {P.q})') for i in reversed(range(P.k - P.q + 1)))} || ']' AS subcodes,
+            md5(array_to_string(list_transform(range(0, length(seq) - {P.k - 1}), lambda i: least({_code(f'substr(seq, i + 1, {P.k})')}, {_code(_rc(f'substr(seq, i + 1, {P.k})'))})), ',')) AS canonical_digest,
+            md5(array_to_string(list_transform(range(0, length(seq) - {P.k - 1}), lambda i: {_code(f"substr({_rc('seq')}, i + 1, {P.k})")}), ',')) AS rc_digest FROM f""",
         "candidate_buckets": f"WITH {CANDIDATE} SELECT read_id, CAST(seg_off AS INT) AS seg_off, is_original, bucket_id, misses FROM cand",
         "candidate_levels": f"WITH {CANDIDATE}, l AS (SELECT read_id, seg_off, is_original, misses, count(*) AS n FROM cnt GROUP BY ALL) SELECT read_id, CAST(seg_off AS INT) AS seg_off, is_original, misses, n, CAST(sum(n) OVER (PARTITION BY read_id, seg_off, is_original ORDER BY misses) AS BIGINT) AS n_upto FROM l",
         "candidate_stats": f"WITH {CANDIDATE}, t AS (SELECT count(DISTINCT read_id) AS m, count(*) FILTER (is_original) AS f, count(*) FILTER (NOT is_original) AS r FROM cand) SELECT (SELECT count(*) FROM reads) AS n_reads, m AS mapped, round(f / m, 6) AS fwd_per_read, round(r / m, 6) AS rev_per_read FROM t",

@@ -90,7 +90,7 @@ def qgram_df(spark: SparkSession, sf: str) -> DataFrame:
 
 def bucket_postings(spark: SparkSession, sf: str) -> DataFrame:
     b = index.with_qgrams(_buckets(spark, sf, spread=True), P)
-    return b.select("bucket_id", F.size("qgrams").cast("long").alias("n_distinct"), F.array_min("qgrams").alias("least"), F.array_max("qgrams").alias("most"))
+    return b.select("bucket_id", F.size("qgrams").cast("long").alias("n_distinct"), F.array_min("qgrams").alias("least"), F.array_max("qgrams").alias("most"), F.md5(F.concat_ws(",", "qgrams")).alias("digest"))
 
 
 def frac_min_hash(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,8 +115,8 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def good_kmers(spark: SparkSession, sf: str) -> DataFrame:
-    g = mapper.good_kmers(mapper.segments(_reads(spark, sf), P), P)
-    return g.select("read_id", "seg_off", F.size("good").cast("long").alias("n_good"), F.get("good.kmer", F.lit(0)).alias("first_kmer"))
+    g = mapper.good_kmers(mapper.segments(_reads(spark, sf, spread=True), P), P)
+    return g.select("read_id", "seg_off", F.size("good").cast("long").alias("n_good"), F.concat_ws(",", "good.pos").alias("places"), F.concat_ws(",", "good.kmer").alias("kmers"))
 
 
 def locating_seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,10 +124,12 @@ def locating_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reverse_complement(spark: SparkSession, sf: str) -> DataFrame:
-    r = _reads(spark, sf)
+    r = _reads(spark, sf, spread=True)
     first = F.substring("seq", 1, P.k)
+    every = S.kmer_codes("seq", P.k)
     code = S.encode(first)
-    return r.select("read_id", code.alias("code"), S.revcomp_code(code, P.k).alias("rc_code"), S.canonical(code, P.k).alias("canonical"), S.decode(code, P.k).alias("decoded"), S.revcomp("seq").alias("rc_seq"), F.to_json(S.subcodes(code, P.k, P.q)).alias("subcodes"))
+    return r.select("read_id", code.alias("code"), S.revcomp_code(code, P.k).alias("rc_code"), S.canonical(code, P.k).alias("canonical"), S.decode(code, P.k).alias("decoded"), S.revcomp("seq").alias("rc_seq"), F.to_json(S.subcodes(code, P.k, P.q)).alias("subcodes"),
+        F.md5(F.concat_ws(",", F.transform(every, lambda c: S.canonical(c, P.k)))).alias("canonical_digest"), F.md5(F.concat_ws(",", F.reverse(F.transform(every, lambda c: S.revcomp_code(c, P.k))))).alias("rc_digest"))
 
 
 def _mapped(spark: SparkSession, sf: str, p: Params = P) -> dict[str, DataFrame]:

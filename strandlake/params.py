@@ -24,6 +24,16 @@ class Params:
     f: float = 1.0  # share of q-grams indexed
 
     def __post_init__(self):
+        for name in ("B", "L", "q", "S", "P", "G", "C"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be 1 or more")
+        for name in ("e", "d", "n", "f"):
+            if not 0 <= getattr(self, name) <= 1:
+                raise ValueError(f"{name} is a share between 0 and 1")
+        if self.k > 31:
+            raise ValueError("the code of a seed of more than 31 bases does not fit 64 bits")
+        if self.k > self.L:
+            raise ValueError("a segment must hold a query seed")
         if self.k < self.q:
             raise ValueError("the query seed must not be shorter than the index seed")
         if self.faults < 1:

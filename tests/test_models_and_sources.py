@@ -221,3 +221,9 @@ def test_bucket_variants(spark):
     sizes = lambda **x: sorted((r.ref_ord, r.idx, len(r.seq)) for r in index.bucketize(rows, SMALL, **x).collect())
     assert sizes() == [(0, 0, 80), (1, 0, 80), (1, 1, 17)]
     assert sizes(extra=1, keep_tail=True) == [(0, 0, 80), (0, 1, 16), (1, 0, 81), (1, 1, 17)]
+
+
+@pytest.mark.parametrize("wrong", [{"q": 8, "k": 7}, {"B": 0}, {"e": 1.5}, {"f": -0.1}, {"q": 5, "k": 32}, {"L": 6}, {"S": 1, "e": 0.0}])
+def test_parameters_are_checked(wrong):
+    with pytest.raises(ValueError):
+        Params(**({"B": 64, "L": 16, "q": 5, "k": 7, "S": 6, "P": 5} | wrong))
