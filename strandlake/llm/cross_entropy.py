@@ -6,11 +6,11 @@ mass: background counts are scaled to the target's total. A document's score is
 mean over its tokens of the target model's loss less the background model's: low
 where the text reads more like the target than the corpus does.
 
-Background counts are of every token of every document. The target's are of the
-documents that a label calls good; of their ids at most ``max_target`` are used, the
-smallest by a seeded hash (a documented bound on labelled rows: the ids are
-broadcast). No table of counts is capped, sampled or broadcast; they grow with the
-corpus:
+Background counts are of every token of every document. The target's are of all
+documents that a label calls good: their ids are counted, and broadcast up to
+``BROADCAST_IDS``; beyond that they are joined by a shuffle, once, and the rows written with
+what the join has found. No table of counts is capped, sampled or broadcast; they grow
+with the corpus:
 
 1. Runs of about ``CHUNK`` bytes of text are *chunks*. A chunk has words and (context,
    word) pairs, each under a key of ``KEY_BITS`` bits of hash (two of 10**11 keys share
@@ -29,8 +29,8 @@ The input is read twice, as texts would be more to shuffle than their counts: ro
 that are not in a stored table, whose order another read might change, are written
 first (``stored``).
 
-Defined results: a null or empty text has no tokens and null scores. A document
-with several labels is target if any calls it good; without any target all
+Defined results: a null or empty text has no tokens and null scores. A text of any length
+is read whole, as one chunk if it is longer than one. A document with several labels is target if any calls it good; without any target all
 differences are 0. Repeated rows get equal scores. Extra columns are ignored,
 whatever their names. An empty table gives an empty result.
 """
@@ -51,7 +51,7 @@ from strandlake.llm import common
 CHUNK = 6 << 20
 KEY_BITS = 52
 MIN_BUCKET_BITS, BUCKET_BYTES = 8, 16 << 20
-MAX_TARGET = 200_000
+BROADCAST_IDS = 200_000
 SMOOTHING = 50.0
 WORD_SMOOTHING = 1000.0
 _MARK = common.U64(0x5851F42D4C957F2D)
@@ -61,10 +61,9 @@ _REQUESTS = "chunk long, bucket int, keys binary, counts binary"
 _ANSWERS = "chunk long, bucket int, counts binary"
 
 
-def good_ids(labels: DataFrame, max_target: int = MAX_TARGET, seed: int = 5) -> DataFrame:
-    """At most ``max_target`` distinct ids of good documents, the smallest by a seeded hash."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_target)
+def good_ids(labels: DataFrame) -> DataFrame:
+    """The distinct ids of good documents."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def bucket_bits(docs: DataFrame) -> int:
@@ -233,7 +232,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield Chunk(**now)
 
 
-def score(docs: DataFrame, labels: DataFrame, stored: bool = False, max_target: int = MAX_TARGET) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, stored: bool = False, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and loss_difference (nats a token) of every row.
 
     ``stored``: the rows are those of a table as it is stored, so that another read gives them in the same order.
@@ -243,9 +242,12 @@ def score(docs: DataFrame, labels: DataFrame, stored: bool = False, max_target:
         docs = common.written(docs, "texts")
     bits = bucket_bits(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    target = F.broadcast(common.cut(good_ids(common.only(labels, "doc_id", "quality"), max_target)).withColumn("target", F.lit(True)))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = numbered.join(target, "doc_id", "left").select("row", "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    ids = common.cut(good_ids(common.only(labels, "doc_id", "quality"))).withColumn("target", F.lit(True))
+    if ids.count() <= broadcast_ids:
+        marked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
+    else:
+        marked = common.written(docs.join(ids, "doc_id", "left"), "marked").select(F.monotonically_increasing_id().alias("row"), "*")
+    rows = marked.select("row", "doc_id", F.coalesce("target", F.lit(False)).alias("target"), F.coalesce("text", F.lit("")).alias("text"))
     words = words_of(rows).withColumn("bucket", F.lit(-1)).withColumn("counts", F.lit(None).cast("binary"))
     every = words.unionByName(answers(requests(rows, bits)), allowMissingColumns=True)
 

@@ -21,7 +21,7 @@ the driver on that bounded sample; every page is then judged in map-only tasks.
 Text: character references are decoded, white space inside a block is one space,
 blocks are joined in page order by an empty line. Nothing else is dropped.
 
-Defined results: a null or empty page, and one without main text, gives an empty
+Defined results: pages of any length are read whole, some 4 MB at a time. A null or empty page, and one without main text, gives an empty
 text. Repeated rows get equal results. An extra column that has the name of an
 output column gives way to it. An empty table gives an empty result.
 """

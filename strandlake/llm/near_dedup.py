@@ -25,7 +25,7 @@ and ``class_size``. Nothing about single documents reaches the driver.
 
 Defined results: texts without words, null and empty ones too, are one class
 (null counts as empty); a text of fewer than five words is one shingle of all its
-words. A null doc_id is ignored where the least is taken; a class with none has a
+words. Texts of any length are compared whole, all their shingles. A null doc_id is ignored where the least is taken; a class with none has a
 null class_id. Repeated rows are in one class, and ``deduplicate`` keeps one of
 them. Ties in pivots are broken by hash, then node. Extra columns are ignored
 whatever their names; an empty table gives an empty result.

@@ -10,7 +10,7 @@ around the quartiles, so that a band follows the corpus's own languages.
 
 Defined results: a null or empty text has no words: ``base_failed`` (fewer than
 50 words), not kept. Texts with fewer than ``min_tokens`` tokens are judged by
-the base rules alone. A null language is judged by its script. Repeated rows
+the base rules alone. Texts of any length count whole. A null language is judged by its script. Repeated rows
 get equal results. Extra columns pass through untouched; one that has the name of
 an output column gives way to it.
 """

@@ -14,7 +14,7 @@ Parity: every distinct chunk is also encoded by the sentencepiece library, and
 decoded by both; a text has parity where all its chunks agree.
 
 Defined results: a null text is treated as empty; an empty text has no ids and
-decodes to itself. Rows are independent: repeated rows get equal results. Extra
+decodes to itself. Texts of any length are encoded whole, chunk by chunk. Rows are independent: repeated rows get equal results. Extra
 columns pass through; one that has the name of an output column gives way to it.
 """
 

@@ -127,6 +127,15 @@ def test_importance_weights_against_plain_counts(spark):
     assert all(len(grams[i]) == (2 * words(t) - 1 if t and words(t) else 0) for i, t in docs)
 
 
+def test_target_ids_beyond_the_broadcast(spark):
+    """Scores are the same whether the ids of good documents are broadcast or joined by a shuffle; none is left out."""
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("aa bb cc dd ee".split() if i % 2 else "dd ee ff gg".split()) for _ in range(30))) for i in range(40)] + [(50, None), (None, "aa bb")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = lambda n: sorted((str(r.doc_id), r.n_tokens, round(r.loss_difference or 0, 9)) for r in cross_entropy.score(docs, labels, broadcast_ids=n).collect())
+    assert rows(0) == rows(100) and len({x[2] for x in rows(0)}) > 10
+
+
 def test_recall_of_near_duplicates_over_all_pairs(spark):
     """Every pair of texts, not those of shared bands alone: of the pairs at 0.85 or more, at least 99 in 100 share a class; none below is linked."""
     rng = random.Random(5)
