@@ -39,10 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
+def _new_path(spark: SparkSession, what: str) -> str:
+    """A path for a table. All of an application lie in one folder, which can go when its results have been read."""
+    return f"{shared_dir(spark)}/strandlake-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """A table written in the shared folder, and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandlake-{what}-{uuid.uuid4().hex}"
+    path = _new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -282,7 +287,7 @@ def sam_report_by_file(spark: SparkSession, sf: str) -> DataFrame:
     """The report of several SAM files read back from one folder: best locations and all locations."""
     m = _located(spark, sf)
     refs = _refs(spark, sf).select(F.col("ref_ord").cast("string").alias("ref_id"), "seq")
-    path = f"{shared_dir(spark)}/strandlake-sam-{uuid.uuid4().hex}"
+    path = _new_path(spark, "sam")
     for name, found in (("best", m["merged"]), ("every", m["locations"])):
         formats.write_sam(locator.sam_rows(found, m["reads"], P), refs, f"{path}/{name}.sam")
     read = formats.read_sam(spark, f"{path}/*.sam").withColumn("mapper", F.regexp_extract("file", r"/(\w+)\.sam/[^/]*$", 1)).withColumn("pos", F.col("pos") - 1)
@@ -309,14 +314,14 @@ def kmer_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 def kmer_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """Dense ids of all canonical 9-mers of the buckets, by first appearance; published as a version and loaded again."""
-    base = f"{shared_dir(spark)}/strandlake-models-{uuid.uuid4().hex}"
+    base = _new_path(spark, "models")
     store.publish(dictionary.seen_kmers(_buckets(spark, sf, spread=True), P.q), base, "dictionary", {"k": P.q, "B": P.B, "L": P.L})
     return store.load(spark, base, "dictionary", {"k": P.q})
 
 
 def bucket_frequency_model(spark: SparkSession, sf: str) -> DataFrame:
     """5-mer frequencies of every bucket; published as a version and loaded again."""
-    base = f"{shared_dir(spark)}/strandlake-models-{uuid.uuid4().hex}"
+    base = _new_path(spark, "models")
     store.publish(models.frequency_model(_buckets(spark, sf, spread=True), "bucket_id", 5), base, "frequency", {"k": 5, "prior": 0.001})
     return store.load(spark, base, "frequency", {"k": 5, "prior": 0.001}).select("bucket_id", "kmer", F.round("logp", 6).alias("logp"))
 
@@ -361,14 +366,14 @@ def bucket_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 def fasta_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Contigs written as FASTA and read by record-aligned splits."""
-    path = f"{shared_dir(spark)}/strandlake-fasta-{uuid.uuid4().hex}"
+    path = _new_path(spark, "fasta")
     formats.write_fasta(_refs(spark, sf).select(F.concat(F.lit("c"), "ref_ord").alias("ref_id"), "seq"), path)
     return formats.read_fasta(spark, path, 1 << 20).select("ref_id", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("digest"))
 
 
 def fastq_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Reads written as FASTQ and read by record-aligned splits."""
-    path = f"{shared_dir(spark)}/strandlake-fastq-{uuid.uuid4().hex}"
+    path = _new_path(spark, "fastq")
     formats.write_fastq(_reads(spark, sf), path)
     return formats.read_fastq(spark, path, 1 << 16).select("name", "seq", "qual")
 
@@ -380,7 +385,7 @@ def threshold_logs(spark: SparkSession, sf: str) -> DataFrame:
     df = index.qgram_df(buckets, P)
     at = [i / 10 for i in range(10)]
     counts = df.agg(*(F.count(F.when(F.lit(n) - F.col("df") >= int(d * n), 1)).alias(f"n{i}") for i, d in enumerate(at))).first()
-    path = f"{shared_dir(spark)}/strandlake-logs-{uuid.uuid4().hex}"
+    path = _new_path(spark, "logs")
     for d, found in zip(at, counts, strict=True):  # ten small files
         lines = [(0, "[INFO] loading"), (1, f"[BENCHMARK] Number of Q-grams with distinguishability >= {d}: {found} q-grams"), (2, "[INFO] done")]
         spark.createDataFrame(lines, "i int, value string").coalesce(1).select("value").write.text(f"{path}/bucketmap_{d:g}_0_map.log")
@@ -389,7 +394,7 @@ def threshold_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def streamed_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of the reads as a stream of files, against a stored index."""
-    base = f"{shared_dir(spark)}/strandlake-stream-{uuid.uuid4().hex}"
+    base = _new_path(spark, "stream")
     _reads(spark, sf, spread=True).select("read_id", "name", "seq", "qual").write.parquet(f"{base}/reads")
     mapping.store_index(_refs(spark, sf, spread=True), P, f"{base}/index")
     mapping.map_stream(spark, f"{base}/reads", f"{base}/index", f"{base}/out", f"{base}/state", P).awaitTermination()

@@ -92,12 +92,3 @@ def candidates(rows: DataFrame, found: DataFrame, p: Params) -> DataFrame:
     top = counted.join(best, [*key, "misses"])
     allowed = top.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= p.C).drop("n")
     return top.join(allowed, key, "left_semi")
-
-
-def levels(rows: DataFrame, found: DataFrame, p: Params) -> DataFrame:
-    """(read_id, seg_off, is_original, misses, n, n_upto): buckets at each miss level under F, and up to it."""
-    from pyspark.sql import Window as W
-
-    key = ["read_id", "seg_off", "is_original"]
-    counted = rows.groupBy(*key, "kmer").agg(F.count(F.lit(1)).alias("m")).join(found, "kmer").groupBy(*key, "bucket_id").agg((F.lit(p.S) - F.sum("m")).alias("misses")).where(F.col("misses") < p.faults)
-    return counted.groupBy(*key, "misses").agg(F.count(F.lit(1)).alias("n")).withColumn("n_upto", F.sum("n").over(W.partitionBy(*key).orderBy("misses")))

@@ -302,4 +302,14 @@ def test_locator_accuracy(spark):
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "ref_ord long, seq string")
     assert index.bucketize(none, SMALL).count() == 0
+    buckets = index.bucketize(spark.createDataFrame(genome(2), "ref_ord long, seq string"), SMALL)
+    reads = spark.createDataFrame([(1, "r", "ACGTACGTACGTACGTAC", "I" * 18), (2, "s", "ACG", "III")], "read_id long, name string, seq string, qual string")
+    segs = mapper.segments(reads, SMALL)
+    for b, s in ((buckets.limit(0), segs), (buckets, segs.limit(0)), (buckets.limit(0), segs.limit(0))):
+        seeds = bitmap.picked_seeds(s, index.common_flags(index.qgram_df(b, SMALL), b.count(), SMALL), SMALL)
+        found = bitmap.matches(b, seeds, b.count(), seeds.count(), SMALL)
+        cands = bitmap.candidates(found, SMALL)
+        assert cands.count() == bitmap.levels(found, SMALL).count() == locator.locations(cands, s, b, SMALL).count() == 0
+    nothing = spark.createDataFrame([], "read_id long, bucket_id long, offset int, seg_off int, votes int, is_original boolean")
+    assert align.aligned_rows(nothing, reads, buckets, SMALL).count() == 0
     assert mapper.segments(spark.createDataFrame([], "read_id long, seq string, qual string"), SMALL).count() == 0
