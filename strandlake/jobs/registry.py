@@ -215,41 +215,41 @@ def fastq_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return models.canonical_profile(_refs(spark, sf), "ref_ord", 4)
+    return models.canonical_profile(_refs(spark, sf, spread=True), "ref_ord", 4)
 
 
 def gapped_kmers(spark: SparkSession, sf: str) -> DataFrame:
-    return models.gapped_counts(_buckets(spark, sf), "bucket_id", [0, 2, 3, 5])
+    return models.gapped_counts(_buckets(spark, sf, spread=True), "bucket_id", [0, 2, 3, 5])
 
 
 def frequency_model(spark: SparkSession, sf: str) -> DataFrame:
-    return models.frequency_model(_refs(spark, sf), "ref_ord", 5).select("ref_ord", "kmer", F.round("logp", 6).alias("logp"))
+    return models.frequency_model(_refs(spark, sf, spread=True), "ref_ord", 5).select("ref_ord", "kmer", F.round("logp", 6).alias("logp"))
 
 
 def frequency_model_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return models.frequency_model(_refs(spark, sf), "ref_ord", 4, rate=0.01).select("ref_ord", "kmer", F.round("logp", 6).alias("logp"))
+    return models.frequency_model(_refs(spark, sf, spread=True), "ref_ord", 4, rate=0.01).select("ref_ord", "kmer", F.round("logp", 6).alias("logp"))
 
 
 def markov_model(spark: SparkSession, sf: str) -> DataFrame:
-    return models.markov_model(_refs(spark, sf), "ref_ord", 4).select("ref_ord", "prefix", "base", F.round("logp", 6).alias("logp"))
+    return models.markov_model(_refs(spark, sf, spread=True), "ref_ord", 4).select("ref_ord", "prefix", "base", F.round("logp", 6).alias("logp"))
 
 
 def classified_reads(spark: SparkSession, sf: str) -> DataFrame:
     """Each read's most likely contig by 9-mer frequencies."""
-    model = models.frequency_model(_refs(spark, sf), "ref_ord", P.q)
+    model = models.frequency_model(_refs(spark, sf, spread=True), "ref_ord", P.q)
     reads = _reads(spark, sf).select("read_id", F.when(F.col("is_rev"), S.revcomp("seq")).otherwise(F.col("seq")).alias("seq"))
     return models.classify(model, models.kmers(reads, "read_id", P.q), "ref_ord", "read_id")
 
 
 def contig_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of distinct k-mer sets with a similarity of half or more, by the least contig of each set."""
-    sets = stored(models.kmer_sets(_refs(spark, sf), "ref_ord", 14), "sets")
+    sets = stored(models.kmer_sets(_refs(spark, sf, spread=True), "ref_ord", 14), "sets")
     return models.jaccard(stored(models.representatives(sets, "ref_ord").select("ref_ord", "s"), "distinct"), "ref_ord", 0.5)
 
 
 def contig_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Every contig with the least contig that has the same canonical k-mers."""
-    sets = models.kmer_sets(_refs(spark, sf), "ref_ord", 14)
+    sets = models.kmer_sets(_refs(spark, sf, spread=True), "ref_ord", 14)
     return models.members(stored(sets, "sets"), "ref_ord")
 
 
@@ -261,7 +261,7 @@ def locator_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 def bucket_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical 3-mers of every bucket."""
-    return models.canonical_profile(_buckets(spark, sf), "bucket_id", 3)
+    return models.canonical_profile(_buckets(spark, sf, spread=True), "bucket_id", 3)
 
 
 def bucket_accuracy(spark: SparkSession, sf: str) -> DataFrame:
