@@ -292,6 +292,8 @@ def components(links: DataFrame) -> DataFrame:
         step = common.cut(common.keyed_join(nearer, jump, ["comp"], "size", n_nodes).select("node", "degree", "was", F.least("comp", "jc").alias("comp")))
         changed = step.where(F.col("was") != F.col("comp")).limit(1).count()
         labels = step.select("node", "comp", "degree")
+        del near, seen, nearer, sizes, jump, step
+        common.tidy(links.sparkSession)
         if not changed:
             return labels.select("node", "comp")
 
@@ -385,8 +387,10 @@ def links_of(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: floa
     met = common.cut(common.keyed_join(members.drop("n", "score"), pivots, ["key"], "n", members.count()).where(F.col("node") != F.col("pivot")))
     near = F.least("weight", "pivot_weight") >= F.lit(threshold) * F.greatest("weight", "pivot_weight")
     links = common.cut(_undirected(verified(common.cut(met.where(near).select("pivot", "node", "words").distinct()), texts, shared, threshold)))
+    del flat, met_keys, members, pivots, shared_keys
     labels = components(links)
     more = common.cut(across(met, labels, texts, shared, threshold))
+    common.tidy(docs.sparkSession)
     if not more.isEmpty():
         links = common.cut(_undirected(links.union(more)))
         labels = components(links)
@@ -419,6 +423,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     idf = damped_idf(document_frequency(docs, text))
     signed = common.written(signatures(docs, idf, text), "signatures")
     nodes = common.written(distinct_nodes(signed), "nodes")
+    common.tidy(docs.sparkSession)
     classes = common.written(_classes(nodes, links_of(docs, nodes, idf, threshold, text)), "classes")
     rows = common.keyed_join(signed.select("doc_id", "node"), classes, ["node"], "n", signed.count())
     return rows.select("doc_id", "node", F.when(F.col("class_size") == 1, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_size", "n_links")
