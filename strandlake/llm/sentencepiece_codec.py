@@ -7,8 +7,9 @@ byte fallback. Encoding and decoding go by *chunks*: a text is cut before every
 run of spaces that follows another character. No piece has the marker after
 another character (``Spec.splits`` checks it when the model is read), so no
 merge crosses a cut and the pieces of the chunks, one after another, are the
-pieces of the text. Distinct chunks are few, so each is encoded once, in
-multithreaded batches, and kept in a bounded cache.
+pieces of the text. Distinct chunks are few, so each is encoded once and kept in
+a bounded cache. Those without spaces are joined again to be encoded, a group of
+them as one text, whose ids are parted at the marked pieces.
 
 Parity: every distinct chunk is also encoded by the sentencepiece library, and
 decoded by both; a text has parity where all its chunks agree.
@@ -21,10 +22,13 @@ columns pass through; one that has the name of an output column gives way to it.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ MARK = "▁"
 TOKENIZERS = "/opt/tokenizers"
 #: Distinct chunks that a worker keeps, the first that it meets (about 100 MB).
 CACHE_CHUNKS = 400_000
+#: Chunks that are encoded and decoded as one text.
+GROUP = 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A run of spaces (or of the marker, which the model takes for one) and what follows it; those at the end stay with the last chunk.
 _CHUNKS = re.compile(r"[ \u2581]*[^ \u2581]+(?:[ \u2581]+\Z)?|\A[ \u2581]+\Z")
@@ -174,21 +180,42 @@ def build_tokenizer(spec: Spec):
     return tok
 
 
-@dataclass(slots=True)
-class Chunk:
-    """What is kept of a distinct chunk: little-endian uint32 ids, how many, how many of bytes, and what held."""
+@dataclass
+class Encoded:
+    """Encoded chunks, one after another: chunk i has ``ids[first[i] : first[i + 1]]``; how many of them are bytes, and what held."""
+
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, "<u4"))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    n_bytes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parity: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    text_back: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+
+    def then(self, other: Encoded) -> Encoded:
+        both = (np.concatenate([getattr(self, x), getattr(other, x)]) for x in ("n_bytes", "parity", "text_back"))
+        return Encoded(np.concatenate([self.ids, other.ids]), np.concatenate([self.first, self.first[-1] + other.first[1:]]), *both)
+
+    def head(self, n: int) -> Encoded:
+        return Encoded(self.ids[: self.first[n]].copy(), self.first[: n + 1].copy(), *(x[:n].copy() for x in (self.n_bytes, self.parity, self.text_back)))
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks at these places, one after another, and where each chunk's begin and the last one's end."""
+        size = self.first[at + 1] - self.first[at]
+        before = _before(size)
+        return self.ids[np.repeat(self.first[at] - before[:-1], size) + np.arange(before[-1])], before
 
-    ids: bytes
-    n: int
-    n_bytes: int
-    parity: bool
-    text_back: bool
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    """The sum of the sizes before each place, and of all."""
+    out = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
 
 
 @lru_cache(4)
 def _built(raw: bytes) -> tuple:
     """A model's tokenizer, kept for the worker's life: its threads keep a cache of their own for every tokenizer that was ever built,
-    so one that is built anew in each stage grows the worker."""
+    so one that is built anew in each stage grows the worker. It runs on the task's own core: Spark has a task for every core already."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     spec = parse_model(raw)
     return spec, build_tokenizer(spec)
 
@@ -199,8 +226,12 @@ class Codec:
     def __init__(self, raw: bytes, verify: bool = True, cache: int = CACHE_CHUNKS):
         self.spec, self.tok = _built(raw)
         self.size = cache
-        self.cache: dict[str, Chunk] = {}
+        self.index: dict[str, int] = {}
+        self.known = Encoded()
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.spec.pieces])
+        self.is_marked = np.array([MARK in p for p, _, _ in self.spec.pieces])
+        #: Pieces of the user's are cut out of a text before it is normalised, so they see what a chunk is joined with.
+        self.joins = self.spec.splits and not any(kind == USER for _, _, kind in self.spec.pieces)
         self.other = None
         if verify:
             import sentencepiece
@@ -217,43 +248,78 @@ class Codec:
             return text.split(" ")
         return [c[1:] for c in _CHUNKS.findall(" " + text)]
 
-    def _learn(self, missing: list[str]) -> dict[str, Chunk]:
-        found = {}
-        encoded = [e.ids for e in self.tok.encode_batch_fast(missing, add_special_tokens=False)]
-        back = self.tok.decode_batch(encoded, skip_special_tokens=False)
-        theirs = self.other.encode(missing, num_threads=1) if self.other else encoded
-        theirs_back = self.other.decode(theirs, num_threads=1) if self.other else back
-        for chunk, ids, text, ids2, text2 in zip(missing, encoded, back, theirs, theirs_back, strict=True):
-            a = np.array(ids, "<u4")
-            found[chunk] = Chunk(a.tobytes(), len(ids), int(self.is_byte[a].sum()), ids == ids2 and text == text2, text == chunk)
-        return found
-
-    def learn(self, texts: list[str]) -> tuple[list[list[str]], dict[str, Chunk]]:
-        """The chunks of each text and a mapping that has them all."""
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Ids of the chunks, one after another, how many each has, and the chunks decoded."""
+        encoded = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids = np.fromiter(chain.from_iterable(encoded), "<u4", int(sizes.sum()))
+        return ids, sizes, self.tok.decode_batch(encoded, skip_special_tokens=False)
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The same of chunks without spaces, encoded and decoded many at a time, as most of a call's time goes to each text of it.
+
+        A chunk's only marker is its first character, so at most one of its pieces has one. Where a group has as many marked pieces as
+        chunks, each begins a chunk; where it decodes to as many words, each chunk gave one space. Any other group is encoded chunk by chunk.
+        """
+        groups = [chunks[i : i + GROUP] for i in range(0, len(chunks), GROUP)]
+        encoded = [e.ids for e in self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)]
+        decoded = self.tok.decode_batch(encoded, skip_special_tokens=False)
+        found = []
+        for group, ids, text in zip(groups, encoded, decoded, strict=True):
+            a, words = np.array(ids, "<u4"), text.split(" ")
+            starts = np.flatnonzero(self.is_marked[a])
+            fits = len(starts) == len(words) == len(group) and starts[0] == 0
+            found.append((a, np.diff(starts, append=len(a)), words) if fits else self._alone(group))
+        return np.concatenate([a for a, _, _ in found]), np.concatenate([n for _, n, _ in found]), [w for _, _, words in found for w in words]
+
+    def _learn(self, missing: list[str]) -> tuple[list[str], Encoded]:
+        """The chunks in the order in which they are encoded, and what is kept of them."""
+        plain = [c for c in missing if " " not in c and MARK not in c] if self.joins else []
+        odd = [c for c in missing if " " in c or MARK in c] if self.joins else missing
+        done = [how(chunks) for how, chunks in ((self._joined, plain), (self._alone, odd)) if chunks]
+        chunks, back = plain + odd, [t for _, _, texts in done for t in texts]
+        ids, first = np.concatenate([a for a, _, _ in done]), _before(np.concatenate([n for _, n, _ in done]))
+        parity = np.ones(len(chunks), bool)
+        if self.other:
+            theirs = self.other.encode(chunks, num_threads=1)
+            flat, at = ids.tolist(), first.tolist()
+            same = (flat[i:j] == other and a == b for i, j, other, a, b in zip(at, at[1:], theirs, back, self.other.decode(theirs, num_threads=1)))
+            parity = np.fromiter(same, bool, len(chunks))
+        text_back = np.fromiter(map(eq, back, chunks), bool, len(chunks))
+        return chunks, Encoded(ids, first, np.diff(_before(self.is_byte[ids])[first]), parity, text_back)
+
+    def learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Encoded]:
+        """Where each text's chunks begin and the last one's end, the place of every chunk among encoded ones, and those."""
         parts = [self.chunks_of(t) for t in texts]
-        known = self.cache
-        missing = list({c for p in parts for c in p if c not in known})
-        if not missing:
-            return parts, known
-        new = self._learn(missing)
-        if len(known) + len(new) <= self.size:
-            known.update(new)
-            return parts, known
-        if len(known) < self.size:
-            for c in missing[: self.size - len(known)]:
-                known[c] = new[c]
-        return parts, Both(new, known)
-
-
-class Both(dict):
-    """A batch's own chunks before those of the cache."""
-
-    def __init__(self, first: dict, then: dict):
-        super().__init__(first)
-        self.then = then
-
-    def __missing__(self, key):
-        return self.then[key]
+        first = _before(np.fromiter(map(len, parts), np.int64, len(parts)))
+        chunks = list(chain.from_iterable(parts))
+        index, n, known = self.index, len(self.index), self.known
+        missing = list(set(chunks).difference(index))
+        if missing:
+            missing, new = self._learn(missing)
+            known = known.then(new)
+            index.update(zip(missing, range(n, n + len(missing)), strict=True))
+        at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+        self.known = known
+        if len(index) > self.size:
+            for c in missing[self.size - n :]:
+                del index[c]
+            self.known = known.head(self.size)
+        return first, at, known
+
+    def encode(self, texts: list[str]) -> list[pa.Array]:
+        """The columns ``ENCODED`` of the texts."""
+        first, at, known = self.learn(texts)
+        ids, before = known.ids_of(at)
+        ends, raw = before[first], ids.tobytes()
+        parity, text_back = (np.diff(_before(~x[at])[first]) == 0 for x in (known.parity, known.text_back))
+        return [
+            pa.array([raw[4 * i : 4 * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()),
+            pa.array(np.diff(ends)),
+            pa.array(np.diff(_before(known.n_bytes[at])[first])),
+            pa.array(parity),
+            pa.array(text_back & np.fromiter((MARK not in t for t in texts), bool, len(texts))),
+        ]
 
 
 def codec(raw: bytes, verify: bool = True) -> Codec:
@@ -287,16 +353,7 @@ def encode(docs: DataFrame, model_path: str = f"{TOKENIZERS}/piece_bpe_32k.model
         c = codec(raw)
         for batch in batches:
             for part in common.text_chunks(batch, name):
-                texts = part.column(name).fill_null("").to_pylist()
-                parts, known = c.learn(texts)
-                rows = [[known[x] for x in p] for p in parts]
-                made = [
-                    pa.array([b"".join([x.ids for x in r]) for r in rows], pa.binary()),
-                    pa.array([sum([x.n for x in r]) for r in rows], pa.int64()),
-                    pa.array([sum([x.n_bytes for x in r]) for r in rows], pa.int64()),
-                    pa.array([all([x.parity for x in r]) for r in rows], pa.bool_()),
-                    pa.array([all([x.text_back for x in r]) and MARK not in t for r, t in zip(rows, texts, strict=True)], pa.bool_()),
-                ]
+                made = c.encode(part.column(name).fill_null("").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), *made], names=[*cols, "ids", "n_tokens", "n_byte_tokens", "parity", "round_trip"])
         common.release()
 

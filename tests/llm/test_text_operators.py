@@ -127,6 +127,42 @@ def test_parsed_model():
     assert sentencepiece_codec.build_tokenizer(unigram).encode("a a", add_special_tokens=False).tokens == ["▁a", "▁a"]
 
 
+def test_distinct_chunks_are_encoded_in_groups():
+    raw = sentencepiece_codec.read_model(f"{sentencepiece_codec.TOKENIZERS}/piece_bpe_32k.model")
+    rng = random.Random(4)
+    letters = "abcdefgé字\n\t\u00a0\x00<>0A"
+    plain = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(500)) for _ in range(8)]
+    odd = ["", " ", "  a", "a  b ", "▁", "a▁b c", "▁▁a  ▁", "<s> <0x20> </s> <unk>", "a\u2028b \u3000 c", "\n \n", "x" * 3000]
+    asked = []
+
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.decode_batch = tok, tok.decode_batch
+
+        def encode_batch_fast(self, texts, **more):
+            asked.append(len(texts))
+            return self.tok.encode_batch_fast(texts, **more)
+
+    def made(c, *batches):
+        return [row for batch in batches for row in zip(*(column.to_pylist() for column in c.encode(batch)), strict=True)]
+
+    c = sentencepiece_codec.Codec(raw)
+    tok, c.tok = c.tok, Counting(c.tok)
+    want = made(c, plain)
+    assert 0 < sum(asked) <= len({w for t in plain for w in t.split(" ")}) // 100
+    for text, (ids, n, n_bytes, parity, back) in zip(plain + odd, want + made(c, odd), strict=True):
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == c.other.encode(text) and n == len(ids) and parity and back == ("▁" not in text)
+        assert n_bytes == sum(tok.id_to_token(i).startswith("<0x") for i in ids)
+    for change in ({"joins": False}, {"is_marked": np.zeros_like(c.is_marked)}, {"size": 10}, {"size": 0}):
+        other = sentencepiece_codec.Codec(raw)
+        vars(other).update(change)
+        assert made(other, plain[:5], odd, plain[3:], []) == want[:5] + made(c, odd) + want[3:]
+        assert len(other.index) == len(other.known.parity) <= other.size
+    other.other.encode = lambda chunks, **more: [[5] if x == "bad" else c.other.encode(x) for x in chunks]
+    assert [r[3] for r in made(other, ["good", "a bad one", "good one"])] == [True, False, True]
+
+
 # 7
 
 
