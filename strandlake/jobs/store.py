@@ -29,7 +29,7 @@ def publish(df: DataFrame, base: str, name: str, params: dict) -> int:
     """Writes a table and publishes it as the next version; its number."""
     spark = df.sparkSession
     folder = f"data-{uuid.uuid4().hex}"
-    df.write.parquet(f"{base}/{name}/{folder}")
+    df.write.option("compression", "zstd").parquet(f"{base}/{name}/{folder}")
     manifest = json.dumps({"folder": folder, "params": params, "schema": df.schema.jsonValue()}, sort_keys=True)
     number = (versions(spark, base, name) or [0])[-1]
     while True:
