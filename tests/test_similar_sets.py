@@ -38,3 +38,10 @@ def test_similar_sets_against_brute_force(spark, codes, k, least):
     rows = found.collect()
     assert len(rows) == len(want) and {(r.a, r.b): r.shared for r in rows} == want
     assert all(r.jaccard == round(r.shared / (len(sets[r.a]) + len(sets[r.b]) - r.shared), 9) for r in rows)
+
+
+def test_rows_of_megabytes_have_a_file_each(spark):
+    from strandlake.jobs import registry
+
+    table = registry.stored(spark.range(5).selectExpr("id", "cast(repeat('x', 1000) as binary) as blob").coalesce(1), "packed", 1)
+    assert len(table.inputFiles()) == 5 and table.count() == 5
